@@ -12,25 +12,32 @@ from sigtide.operators import features as ft
 
 def nearest_vectors(vectors: DataFrame, query: Column, vector: str, k: int) -> DataFrame:
     """The k rows nearest to one query vector: a narrow distance and a top-k per task, no shuffle of the table."""
-    return vectors.withColumn("dist", scoring.euclidean(F.col(vector), query)).orderBy("dist", vectors.columns[0]).limit(k)
+    return (vectors.withColumn("_q", query).withColumn("dist", scoring.euclidean(F.col(vector), F.col("_q"))).drop("_q")
+            .orderBy("dist", vectors.columns[0]).limit(k))
 
 
-def scaled_windows(daily: DataFrame, keys: list[str], lookback: int) -> DataFrame:
-    """Scaled feature vector of every past window and of the current one (``is_query``) per series.
+def window_distances(daily: DataFrame, keys: list[str], lookback: int) -> DataFrame:
+    """Distance of every past window to the current one of its series, in scaled feature space.
 
-    Scaling statistics come from the past windows alone.
+    The means cancel in a difference, so the deviation of each feature over the past windows and the
+    current vector are all it takes. Both come from windows over the series the features are already
+    partitioned by: one pass, no join, no further shuffle.
     """
     feats = ft.feature_names()
-    rows = ft.build_features(ft.with_next_day(daily, keys), keys, [lookback]).withColumn("is_query", F.col("row_no") == F.col("n_rows"))
-    past = ~F.col("is_query")
-    stats = rows.groupBy(*keys).agg(
-        F.array(*[F.avg(F.when(past, F.col(f))) for f in feats]).alias("_m"),
-        F.array(*[F.stddev_pop(F.when(past, F.col(f))) for f in feats]).alias("_s"))
-    scaled = F.transform(
-        F.arrays_zip(F.array(*[F.col(f) for f in feats]).alias("x"), F.col("_m").alias("m"), F.col("_s").alias("s")),
-        lambda t: (t["x"] - t["m"]) / F.when(t["s"] > 1e-9, t["s"]).otherwise(1.0))
-    return (rows.join(stats, keys)
-            .select(*keys, "date", "row_no", (F.col("n_rows") - 1).alias("n_days"), "is_query", scaled.alias("vector")))
+    rows = ft.build_features(ft.with_next_day(daily, keys), keys, [lookback])
+    is_query = F.col("row_no") == F.col("n_rows")
+    series = Window.partitionBy(*keys)
+    vector = F.array(*[F.col(f) for f in feats])
+    current = F.max(F.when(is_query, F.struct(vector.alias("v")))).over(series)["v"]
+    spread = F.array(*[F.stddev_pop(F.when(~is_query, F.col(f))).over(series) for f in feats])
+    triples = F.arrays_zip("_x", "_q", "_s")
+    parts = F.transform(triples, lambda t: (t["_x"] - t["_q"]) / F.when(t["_s"] > 1e-9, t["_s"]).otherwise(1.0))
+    return (
+        rows.withColumns({"_x": vector, "_q": current, "_s": spread})
+        .select(*keys, "date", "row_no", (F.col("n_rows") - 1).alias("n_days"), is_query.alias("is_query"), parts.alias("_d"))
+        .withColumn("dist", F.sqrt(F.aggregate("_d", F.lit(0.0), lambda acc, v: acc + v * v)))
+        .filter(~F.col("is_query")).drop("is_query", "_d")
+    )
 
 
 def find_analogs(daily: DataFrame, keys: list[str], lookback: int = K.ANALOG_LOOKBACK, k: int = K.ANALOG_K,
@@ -39,33 +46,31 @@ def find_analogs(daily: DataFrame, keys: list[str], lookback: int = K.ANALOG_LOO
 
     Windows without a full horizon behind them are left out. Similarity is 1 - d / (largest of the k).
     """
-    rows = scaled_windows(daily, keys, lookback)
-    query = rows.filter("is_query").select(*keys, F.col("vector").alias("_q"))
-    past = rows.filter(~F.col("is_query") & (F.col("row_no") <= F.col("n_days") - horizon))
-    measured = past.join(query, keys).withColumn("dist", scoring.euclidean(F.col("vector"), F.col("_q")))
+    past = window_distances(daily, keys, lookback).filter(F.col("row_no") <= F.col("n_days") - horizon)
     w = Window.partitionBy(*keys).orderBy("dist", "date")
-    top = measured.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    top = past.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     largest = F.max("dist").over(Window.partitionBy(*keys)) + 1e-9
     return top.select(*keys, "date", "rank", "dist", (1 - F.col("dist") / largest).alias("similarity"))
 
 
-def following_days(analogs: DataFrame, keys: list[str], horizon: int = K.ANALOG_HORIZON) -> DataFrame:
+def following_days(analogs: DataFrame, horizon: int = K.ANALOG_HORIZON) -> DataFrame:
     """The days 1..horizon after each anchor, ready for an equi-join on the date."""
+    rest = [c for c in analogs.columns if c != "date"]
     return analogs.select(
-        *keys, F.col("date").alias("anchor"), F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("offset")
+        *rest, F.col("date").alias("anchor"), F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("offset")
     ).withColumn("date", F.date_add("anchor", F.col("offset")))
 
 
 def what_followed(analogs: DataFrame, daily: DataFrame, keys: list[str], horizon: int = K.ANALOG_HORIZON) -> DataFrame:
     """Per anchor: days to the next incident, fire and hit flags, the farthest reach."""
     days = daily.select(*keys, "date", "inc_count", "fire_count", "hit_count", "reach_score")
-    after = following_days(analogs, keys, horizon).join(days, [*keys, "date"], "left")
-    facts = after.groupBy(*keys, "anchor").agg(
+    after = following_days(analogs, horizon).join(days, [*keys, "date"], "left")
+    rest = [c for c in analogs.columns if c != "date"]
+    return after.groupBy(*rest, "anchor").agg(
         F.min(F.when(F.col("inc_count") > 0, F.col("offset"))).alias("days_to_next"),
         F.coalesce(F.max("fire_count") > 0, F.lit(False)).alias("fire"),
         F.coalesce(F.max("hit_count") > 0, F.lit(False)).alias("hit"),
-        F.coalesce(F.max("reach_score"), F.lit(0)).alias("max_reach"))
-    return analogs.join(facts.withColumnRenamed("anchor", "date"), [*keys, "date"])
+        F.coalesce(F.max("reach_score"), F.lit(0)).alias("max_reach")).withColumnRenamed("anchor", "date")
 
 
 def analog_summary(followed: DataFrame, keys: list[str]) -> DataFrame:
@@ -86,7 +91,7 @@ def following_distribution(analogs: DataFrame, occurrences: DataFrame, keys: lis
     Occurrences shrink to one count per (series, date, value) before the join.
     """
     counts = occurrences.groupBy(*keys, "date", value).agg(F.count("*").alias("_n"))
-    hits = following_days(analogs, keys, horizon).join(counts, [*keys, "date"])
+    hits = following_days(analogs, horizon).join(counts, [*keys, "date"])
     return top_shares(hits.groupBy(*keys, value).agg(F.sum("_n").alias("n")), keys, value, top)
 
 

@@ -6,26 +6,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigtide import constants as K
+from sigtide.session import fan_out
 
 
-def unpivot(df: DataFrame, ids: list[str], cols: list[str], name: str, value: str) -> DataFrame:
-    return df.unpivot([F.col(c) for c in ids], [F.col(c).cast("double").alias(c) for c in cols], name, value)
+def pair_corr(df: DataFrame, keys: list[str], xs: list[str], ys: list[str], x_name: str, y_name: str) -> DataFrame:
+    """Pearson r of every x column with every y column, per key: (keys, x_name, y_name, n, r).
 
+    Both sides turn into rows, so the aggregation stays narrow however many pairs there are, and the
+    partial moments merge on the map side. Null when either column of a pair is constant.
+    """
+    def entries(cols: list[str]) -> Column:
+        return F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").cast("double").alias("v")) for c in cols])
 
-def _r(x: Column, y: Column) -> Column:
-    r = F.corr(x, y)
-    return F.when(~F.isnan(r), r)
+    pairs = (fan_out(df.select(*keys, *xs, *[F.col(f"`{y}`") for y in ys])).select(*keys, entries(ys).alias("_ys"), F.explode(entries(xs)).alias("_x"))
+             .select(*keys, "_x", F.explode("_ys").alias("_y"))
+             .select(*keys, F.col("_x.name").alias(x_name), F.col("_y.name").alias(y_name), F.col("_x.v").alias("x"), F.col("_y.v").alias("y"))
+             .filter(F.col("x").isNotNull() & F.col("y").isNotNull()))
+    spread = F.stddev_pop("x") * F.stddev_pop("y")
+    r = F.when((F.stddev_pop("x") > 1e-12) & (F.stddev_pop("y") > 1e-12), F.try_divide(F.covar_pop("x", "y"), spread))
+    return pairs.groupBy(*keys, x_name, y_name).agg(F.count("*").alias("n"), r.alias("r"))
 
 
 def feature_outcome_corr(dataset: DataFrame, keys: list[str], features: list[str], outcomes: list[str]) -> DataFrame:
-    """Pearson r of every feature with every outcome: long form (keys, feature, outcome, r).
-
-    Features turn into rows and outcomes stay columns, so a row fans out by the features alone and
-    the partial correlations merge on the map side.
-    """
-    long = unpivot(dataset.select(*keys, *features, *outcomes), [*keys, *outcomes], features, "feature", "x")
-    wide = long.groupBy(*keys, "feature").agg(*[_r(F.col("x"), F.col(o).cast("double")).alias(o) for o in outcomes])
-    return wide.unpivot([*keys, "feature"], outcomes, "outcome", "r")
+    """Pearson r of every feature with every outcome: long form (keys, feature, outcome, r)."""
+    return pair_corr(dataset, keys, features, outcomes, "feature", "outcome").drop("n")
 
 
 def lagged_corr(daily: DataFrame, keys: list[str], signals: list[str] = K.SIGNALS, target: str = "inc_count",
@@ -36,16 +40,10 @@ def lagged_corr(daily: DataFrame, keys: list[str], signals: list[str] = K.SIGNAL
     """
     w = Window.partitionBy(*keys).orderBy("date")
     lags = range(-max_lag, max_lag + 1)
-    shifted = daily.select(*keys, *signals, *[F.lead(target, lag).over(w).cast("double").alias(f"y{lag}") for lag in lags])
-    long = unpivot(shifted, [*keys, *[f"y{lag}" for lag in lags]], signals, "feature", "x")
-    pairs = [F.struct(F.lit(lag).alias("lag"), F.count(f"y{lag}").alias("n"),
-                      _r(F.col("x"), F.col(f"`y{lag}`")).alias("r")) for lag in lags]
-    return (
-        long.groupBy(*keys, "feature").agg(F.array(*pairs).alias("_p"))
-        .select(*keys, "feature", F.explode("_p").alias("p"))
-        .select(*keys, "feature", "p.lag", F.col("p.n").alias("n_pairs"),
-                F.when(F.col("p.n") >= K.MIN_LAG_PAIRS, F.col("p.r")).alias("pearson_r"))
-    )
+    shifted = daily.select(*keys, *signals, *[F.lead(target, lag).over(w).alias(str(lag)) for lag in lags])
+    r = pair_corr(shifted, keys, signals, [str(lag) for lag in lags], "feature", "lag")
+    return r.select(*keys, "feature", F.col("lag").cast("int").alias("lag"), F.col("n").alias("n_pairs"),
+                    F.when(F.col("n") >= K.MIN_LAG_PAIRS, F.col("r")).alias("pearson_r"))
 
 
 def best_positive_lag(ccf: DataFrame, keys: list[str]) -> DataFrame:

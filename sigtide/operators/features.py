@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigtide import constants as K
+from sigtide.session import fan_out
 
 SIGNAL_PARTS = ["sum", "ewm", "lag1", "lag3", "lag7", "slope", "zscore", "alert_days"]
 CONTEXT = ["s_mention_x_s_report", "sin_month", "cos_month", "is_heating_season",
@@ -79,16 +80,19 @@ def with_history(daily: DataFrame, keys: list[str], signals: list[str], longest:
 
 
 def build_features(daily: DataFrame, keys: list[str], lookbacks: list[int],
-                   signals: list[str] = K.SIGNALS_EXT, carry: list[str] = ()) -> DataFrame:
+                   signals: list[str] = K.SIGNALS_EXT, carry: list[str] = (), few_series: bool = False) -> DataFrame:
     """One row per (series, date, lookback) with the 87 features.
 
+    With ``few_series`` the rows spread over all cores once their history is attached; with many
+    series the window already does that and the histories stay where they are.
+
     Columns: keys, date, lookback, row_no, n_rows, ``carry`` columns, features. Rows with a shorter
     history than the lookback are left out.
     """
     lb = F.col("lookback")
     hist = with_history(daily, keys, signals, max(lookbacks))
     wide = (
-        hist.withColumn("lookback", F.explode(F.array(*[F.lit(x) for x in lookbacks])))
+        (fan_out(hist) if few_series else hist).withColumn("lookback", F.explode(F.array(*[F.lit(x) for x in lookbacks])))
         .filter(F.col("_rn") > lb)
         .withColumn("_w", F.slice("_hist", F.size("_hist") - lb + 1, lb))
         .withColumn("_day", F.date_sub("date", 1))
@@ -148,10 +152,10 @@ def valid_rows() -> Column:
 
 
 def build_dataset(daily: DataFrame, keys: list[str], lookbacks: list[int], horizons: list[int], specs: list[dict],
-                  signals: list[str] = K.SIGNALS_EXT, carry: list[str] = ()) -> DataFrame:
+                  signals: list[str] = K.SIGNALS_EXT, carry: list[str] = (), few_series: bool = False) -> DataFrame:
     """Features and labels per (series, date, lookback, horizon): the training table."""
     labelled = build_labels(daily, keys, horizons, specs)
-    feats = build_features(labelled, keys, lookbacks, signals, carry=["labels", *carry])
+    feats = build_features(labelled, keys, lookbacks, signals, ["labels", *carry], few_series)
     out = feats.withColumn("_l", F.explode("labels")).drop("labels")
     head = [*keys, "date", "lookback", "row_no", "n_rows", *carry]
     return (out.select(*head, "_l.*", *feature_names(signals)).filter(valid_rows()))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigtide.functions import scoring
 from sigtide.functions import text as tx
+from sigtide.operators.matching import OpenIncidents
 
 FLAGS = ["combined", "defended", "fire", "shutdown", "confirmed"]
 TRACKED = ["area", "site_types", "combined", "defended", "fire", "shutdown", "explosions", "confirmed",
@@ -154,9 +156,6 @@ def assign_incidents(candidates: DataFrame, days: int = 2) -> DataFrame:
               .select("area", "island", "day", "cand_id", "types"))
 
     def fold(batches):
-        import pandas as pd
-
-        from sigtide.operators.matching import OpenIncidents
         key, store = None, OpenIncidents(days)
         for pdf in batches:
             ids, isnew = [], []

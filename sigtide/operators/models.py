@@ -100,17 +100,30 @@ GRID_SCHEMA = ("outcome string, lookback int, horizon int, auc double, auc_std d
                "baseline_auc double, n_folds int, n bigint, pos_rate double, lift double, note string")
 
 
-def training_table(daily: DataFrame, keys: list[str], lookbacks: list[int], specs: list[dict], horizons: list[int],
-                   carry: list[str] = ()) -> DataFrame:
-    """Features per lookback with the outcomes of every horizon as one array column."""
-    return ft.build_features(ft.build_labels(daily, keys, horizons, specs), keys, lookbacks, carry=["labels", *carry])
+def label_column(name: str, horizon: int) -> str:
+    return f"y_{name}_{horizon}"
+
+
+def training_table(daily: DataFrame, keys: list[str], lookbacks: list[int], specs: list[dict], horizons: list[int]) -> DataFrame:
+    """Features per lookback with one label column per (outcome, horizon)."""
+    w = ft.series_window(keys)
+    labels = {label_column(s["name"], h): ft.outcome(s, daily.columns, w, h) for s in specs for h in horizons}
+    return ft.build_features(daily.withColumns(labels), keys, lookbacks, carry=list(labels), few_series=True)
 
 
 def _cell(g: pd.DataFrame, feats: list[str], h: int, name: str) -> tuple[np.ndarray, np.ndarray]:
     """Feature matrix and labels of one configuration; ``g`` is sorted by row number."""
     keep = (g["row_no"] <= g["n_rows"] - h + 1).to_numpy()
-    picked = [next(e for e in labels if e["horizon"] == h)[name] for labels in g["labels"].to_numpy()[keep]]
-    return g[feats].to_numpy(float)[keep], np.array(picked, dtype=float)
+    return g[feats].to_numpy(float)[keep], g[label_column(name, h)].to_numpy(float)[keep]
+
+
+def _frame(rows: list[dict], columns: list[str]) -> pd.DataFrame:
+    """Result rows as a frame; what a row lacks stays None, also in array columns."""
+    return pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in columns})
+
+
+def _columns(schema: str) -> list[str]:
+    return [part.strip().split()[0] for part in schema.split(", ")]
 
 
 def keyed_schema(df: DataFrame, keys: list[str], rest: str) -> str:
@@ -140,8 +153,7 @@ def grid_search(daily: DataFrame, keys: list[str], specs: list[dict] = K.GRID_TA
                     if row["auc"] is not None and row["baseline_auc"] is not None:
                         row["lift"] = row["auc"] - row["baseline_auc"]
                 rows.append(row)
-        cols = [*keys, *[c.split()[0] for c in GRID_SCHEMA.split(", ")]]
-        return pd.DataFrame(rows).reindex(columns=cols)
+        return _frame(rows, [*keys, *_columns(GRID_SCHEMA)])
 
     return table.groupBy(*keys, "lookback").applyInPandas(fit, keyed_schema(daily, keys, GRID_SCHEMA))
 
@@ -161,10 +173,6 @@ MODEL_SCHEMA = ("outcome string, lookback int, horizon int, status string, n big
                 "coef array<double>, intercept double, importance array<double>")
 
 
-def _columns(schema: str) -> list[str]:
-    return [part.strip().split()[0] for part in schema.split(", ")]
-
-
 def train_bank(daily: DataFrame, keys: list[str], configs: list[dict], specs: list[dict], feats: list[str] | None = None,
                recent: list[int | None] | None = None) -> DataFrame:
     """One model row per series and configuration {outcome, lookback, horizon}.
@@ -195,7 +203,7 @@ def train_bank(daily: DataFrame, keys: list[str], configs: list[dict], specs: li
                 x, y = (x[-best:], y[-best:]) if best else (x, y)
                 row["recent_rows"] = best
             rows.append(row | _fit_row(x, y, feats))
-        return pd.DataFrame(rows).reindex(columns=[*keys, *_columns(MODEL_SCHEMA + extra)])
+        return _frame(rows, [*keys, *_columns(MODEL_SCHEMA + extra)])
 
     return table.groupBy(*keys, "lookback").applyInPandas(fit, keyed_schema(daily, keys, MODEL_SCHEMA + extra))
 
@@ -214,8 +222,7 @@ def _fit_row(x: np.ndarray, y: np.ndarray, feats: list[str], splits: int = K.CV_
 
 def ridge_scores(daily: DataFrame, keys: list[str], spec: dict, lookback: int, horizon: int) -> DataFrame:
     """Regression path: cross-validated R squared of a ridge fit per series; flat folds are skipped."""
-    table = training_table(daily, keys, [lookback], [spec], [horizon])
-    feats = ft.feature_names()
+    table, feats = training_table(daily, keys, [lookback], [spec], [horizon]), ft.feature_names()
 
     def fit(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         x, y = _cell(g.sort_values("row_no"), feats, horizon, spec["name"])

@@ -62,7 +62,9 @@ def forecast_document(signals: DataFrame, keys: list[str]) -> DataFrame:
     """The nested forecast of each series: band -> dimension -> signals, with its warning level, and as JSON."""
     per_band = band_lists(signals, keys).groupBy(*keys, "band").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("dimension", "signals")))).alias("dims"))
-    doc = per_band.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("band", "dims")))).alias("bands"))
+    by_name = lambda a, b: F.when(a["band"] < b["band"], -1).when(a["band"] > b["band"], 1).otherwise(0)
+    doc = per_band.groupBy(*keys).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("band", "dims")), by_name)).alias("bands"))
     empty = F.create_map().cast(dict(doc.dtypes)["bands"])
     return (warning(signals, keys).join(doc, keys, "left").withColumn("bands", F.coalesce("bands", empty))
             .withColumn("json", F.to_json(F.struct("warning", "bands"))))
