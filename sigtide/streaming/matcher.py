@@ -45,8 +45,11 @@ class IncidentMatcher(StatefulProcessor):
         pass
 
 
-def match_stream(candidates: DataFrame, delay: str = "2 days", days: int = K.MERGE_DAYS) -> DataFrame:
-    """Assign streamed candidates (cand_id, area, incident_date, site_types, ts, seg) to incidents."""
+def match_stream(candidates: DataFrame, delay: str = "30 days", days: int = K.MERGE_DAYS) -> DataFrame:
+    """Assign streamed candidates (cand_id, area, incident_date, site_types, ts, seg) to incidents.
+
+    ``delay`` is how far back a message may date an incident: older open incidents are forgotten.
+    """
     narrow = candidates.select(
         "area", "cand_id", "seg", "ts", F.col("ts").cast("timestamp").alias("event_time"),
         F.unix_date("incident_date").alias("day"), F.array_distinct("site_types").alias("types"))
