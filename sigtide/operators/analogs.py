@@ -16,15 +16,15 @@ def nearest_vectors(vectors: DataFrame, query: Column, vector: str, k: int) -> D
             .orderBy("dist", vectors.columns[0]).limit(k))
 
 
-def window_distances(daily: DataFrame, keys: list[str], lookback: int) -> DataFrame:
+def window_distances(daily: DataFrame, keys: list[str], lookback: int, few_series: bool = False) -> DataFrame:
     """Distance of every past window to the current one of its series, in scaled feature space.
 
     The means cancel in a difference, so the deviation of each feature over the past windows and the
     current vector are all it takes. Both come from windows over the series the features are already
-    partitioned by: one pass, no join, no further shuffle.
+    partitioned by: one pass and no join, and no further shuffle unless ``few_series`` spreads the rows.
     """
     feats = ft.feature_names()
-    rows = ft.build_features(ft.with_next_day(daily, keys), keys, [lookback])
+    rows = ft.build_features(ft.with_next_day(daily, keys), keys, [lookback], few_series=few_series)
     is_query = F.col("row_no") == F.col("n_rows")
     series = Window.partitionBy(*keys)
     vector = F.array(*[F.col(f) for f in feats])
@@ -41,12 +41,12 @@ def window_distances(daily: DataFrame, keys: list[str], lookback: int) -> DataFr
 
 
 def find_analogs(daily: DataFrame, keys: list[str], lookback: int = K.ANALOG_LOOKBACK, k: int = K.ANALOG_K,
-                 horizon: int = K.ANALOG_HORIZON) -> DataFrame:
+                 horizon: int = K.ANALOG_HORIZON, few_series: bool = False) -> DataFrame:
     """The k past windows of each series nearest to its current one, with similarity.
 
     Windows without a full horizon behind them are left out. Similarity is 1 - d / (largest of the k).
     """
-    past = window_distances(daily, keys, lookback).filter(F.col("row_no") <= F.col("n_days") - horizon)
+    past = window_distances(daily, keys, lookback, few_series).filter(F.col("row_no") <= F.col("n_days") - horizon)
     w = Window.partitionBy(*keys).orderBy("dist", "date")
     top = past.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     largest = F.max("dist").over(Window.partitionBy(*keys)) + 1e-9

@@ -270,13 +270,13 @@ _FOLLOW = _ANALOGS + """, fo AS (SELECT t.macro_area, t.date, min(CASE WHEN f.in
 
 @query("ML24 J8 D5", _ANALOGS + """ SELECT macro_area, date, rank, round(dist, 6) AS dist, round(1 - dist / (max(dist) OVER (PARTITION BY macro_area) + 1e-9), 6) AS similarity FROM top""")
 def analog_windows(spark, sf):
-    return rounded(analogs.find_analogs(long_daily(spark, sf), LONG), "dist", "similarity")
+    return rounded(analogs.find_analogs(long_daily(spark, sf), LONG, few_series=True), "dist", "similarity")
 
 
 @query("ML24 J7 W17", _FOLLOW + " SELECT macro_area, date, days_to_next, fire, hit, max_reach FROM fo")
 def analog_outcomes(spark, sf):
     d = long_daily(spark, sf)
-    f = analogs.what_followed(analogs.find_analogs(d, LONG), d, LONG)
+    f = analogs.what_followed(analogs.find_analogs(d, LONG, few_series=True), d, LONG)
     return f.select("macro_area", "date", "days_to_next", "fire", "hit", "max_reach")
 
 
@@ -287,7 +287,7 @@ def analog_outcomes(spark, sf):
   count(days_to_next) AS n_with_incidents, count(*) AS k FROM fo GROUP BY 1""")
 def analog_forecast(spark, sf):
     d = long_daily(spark, sf)
-    f = analogs.what_followed(analogs.find_analogs(d, LONG), d, LONG)
+    f = analogs.what_followed(analogs.find_analogs(d, LONG, few_series=True), d, LONG)
     return rounded(analogs.analog_summary(f, LONG), "days_estimate", "days_p25", "days_p75", "fire_rate", "hit_rate", "far_rate")
 
 
@@ -297,6 +297,6 @@ SELECT macro_area, area, n, round(n / sum(n) OVER (PARTITION BY macro_area), 6)
 FROM hits QUALIFY rank <= 5""")
 def analog_areas(spark, sf):
     from sigtide.operators import incidents as inc
-    a = analogs.find_analogs(long_daily(spark, sf), LONG)
+    a = analogs.find_analogs(long_daily(spark, sf), LONG, few_series=True)
     occ = inc.active(td.incidents_long(spark, sf)).select("macro_area", "date", "area")
     return rounded(analogs.following_distribution(a, occ, LONG, "area"), "share")

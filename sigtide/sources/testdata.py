@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigtide.operators.areas import reach_table
+from sigtide.session import spread
 
 
+@lru_cache(maxsize=256)
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """One fixture table; footers and listing are read once per session."""
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
@@ -105,8 +110,8 @@ def sites(spark: SparkSession, sf: str) -> DataFrame:
 
 def incident_sites(spark: SparkSession, sf: str) -> DataFrame:
     """Bridge rows as delivered; duplicates are still in."""
-    return table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("incident_id"), F.col("l_partkey").alias("site_id"))
+    return spread(table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("incident_id"), F.col("l_partkey").alias("site_id")))
 
 
 def reach_short(spark: SparkSession) -> DataFrame:
