@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sigtide.functions import scoring
 from sigtide.functions import text as tx
 from sigtide.operators.matching import OpenIncidents
+from sigtide.operators.prefix import running_before
 
 FLAGS = ["combined", "defended", "fire", "shutdown", "confirmed"]
 TRACKED = ["area", "site_types", "combined", "defended", "fire", "shutdown", "explosions", "confirmed",
@@ -173,18 +174,18 @@ def assign_incidents(candidates: DataFrame, days: int = 2) -> DataFrame:
 def running_audit(assigned: DataFrame) -> DataFrame:
     """Audit rows of the arrival-order merge for the running maxima and flags.
 
-    The state before each candidate is a running aggregate over the earlier ones of its incident.
+    The state before each candidate is the running maximum over the earlier ones of its incident,
+    taken hour by hour.
     """
-    w = Window.partitionBy("incident_id").orderBy("ts", "seg", "cand_id")
-    before, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
     conf = F.when(F.col("inserted"), F.col("confidence")).otherwise(candidate_confidence())
-    base = assigned.withColumn("confidence", conf)
     fields = [*FLAGS, "explosions", "confidence"]
-    pairs = [F.struct(F.lit(c).alias("field"), F.max(c).over(before).cast("string").alias("old_value"),
-                      F.max(c).over(upto).cast("string").alias("new_value")) for c in fields]
+    base = assigned.withColumn("confidence", conf)
+    ran = running_before(base, ["incident_id"], F.date_trunc("hour", "ts"), ["ts", "seg", "cand_id"],
+                         {f"_old_{c}": (F.max, F.col(c)) for c in fields})
+    pairs = [F.struct(F.lit(c).alias("field"), F.col(f"_old_{c}").cast("string").alias("old_value"),
+                      F.greatest(f"_old_{c}", c).cast("string").alias("new_value")) for c in fields]
     return (
-        base.withColumn("_d", F.array(*pairs)).filter(~F.col("inserted"))
-        .select("incident_id", "cand_id", F.explode("_d").alias("d"))
+        ran.filter(~F.col("inserted")).select("incident_id", "cand_id", F.explode(F.array(*pairs)).alias("d"))
         .filter(~F.col("d.old_value").eqNullSafe(F.col("d.new_value")))
         .select("incident_id", "cand_id", "d.*")
     )

@@ -11,8 +11,9 @@ from sigtide.functions import text as tx
 from sigtide.operators import daily, merge
 from sigtide.operators import incidents as inc
 from sigtide.plans import oracle as o
-from sigtide.plans.common import LONG, rounded, signals_short
+from sigtide.plans.common import signals_short
 from sigtide.plans.registry import query
+from sigtide.session import materialise
 from sigtide.sources import testdata as td
 
 _LINKS = "links AS (SELECT DISTINCT l_orderkey AS incident_id, l_partkey AS site_id FROM lineitem)"
@@ -246,7 +247,7 @@ def arrival_merge(spark, sf):
 @query("M6 M5")
 def arrival_audit(spark, sf):
     c = _arrivals(spark, sf).withColumn("confidence", merge.candidate_confidence())
-    return merge.running_audit(c.join(merge.assign_incidents(c), "cand_id"))
+    return merge.running_audit(materialise(c.join(merge.assign_incidents(c), "cand_id"), "placed"))
 
 
 @query("A5", f"""WITH {o.INC_LONG} SELECT area, max({o.REACH_LONG}) AS reach, count(*) AS n FROM inc_long

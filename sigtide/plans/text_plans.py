@@ -14,6 +14,7 @@ from sigtide.functions.detect import Detector
 from sigtide.operators import segments
 from sigtide.operators.areas import area_table, with_macro_area
 from sigtide.operators.extract import count_signals, extract_incidents, prepare
+from sigtide.operators.prefix import running_before
 from sigtide.plans import oracle as o
 from sigtide.plans.common import PACK
 from sigtide.plans.registry import query
@@ -271,9 +272,14 @@ def message_signals(spark, sf):
 s AS (SELECT *, sum(CASE WHEN prev IS NOT NULL AND role <> prev THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS seg FROM c)
 SELECT conv_id, CAST(seg AS BIGINT) AS seg, min(role) AS role, count(*) AS n_turns, sum(length(text))::BIGINT AS n_chars FROM s GROUP BY conv_id, seg""")
 def turn_segments(spark, sf):
-    """The segment rule on ordered rows instead of sentences: a role change opens a segment."""
-    from pyspark.sql import Window
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    change = F.coalesce(F.col("role") != F.lag("role").over(w), F.lit(False)).cast("int")
-    t = td.table(spark, sf, "conversations").withColumn("_c", change).withColumn("seg", F.sum("_c").over(w))
-    return t.groupBy("conv_id", "seg").agg(F.min("role").alias("role"), F.count("*").alias("n_turns"), F.sum(F.length("text")).alias("n_chars"))
+    """The segment rule on ordered rows instead of sentences: a role change opens a segment.
+
+    Both the previous role and the segment number are running aggregates over blocks of turns.
+    """
+    block, key, order = F.floor(F.col("turn") / 1000), ["conv_id"], ["turn"]
+    t = td.table(spark, sf, "conversations").select("conv_id", "turn", "role", F.length("text").alias("n_chars"))
+    t = running_before(t, key, block, order, {"_prev": (F.max, F.struct("turn", "role"))})
+    change = F.coalesce(F.col("role") != F.col("_prev.role"), F.lit(False)).cast("bigint")
+    t = running_before(t.withColumn("_c", change), key, block, order, {"_before": (F.sum, F.col("_c"))})
+    t = t.withColumn("seg", F.coalesce("_before", F.lit(0)) + F.col("_c"))
+    return t.groupBy("conv_id", "seg").agg(F.min("role").alias("role"), F.count("*").alias("n_turns"), F.sum("n_chars").alias("n_chars"))

@@ -177,3 +177,14 @@ def test_open_incidents_expire():
     s.place(2, 13, ["a"])
     s.expire(13)
     assert [r["id"] for r in s.rows()] == [2]
+
+
+def test_running_aggregates_over_blocks(spark):
+    from sigtide.operators.prefix import running_before
+    rng = random.Random(2)
+    rows = [("hot" if i % 3 else "cold", i, rng.randint(-5, 5)) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, i int, v int")
+    got = running_before(df, ["k"], F.floor(F.col("i") / 17), ["i"], {"s": (F.sum, F.col("v")), "m": (F.max, F.col("v"))}).collect()
+    for r in got:
+        before = [v for k, i, v in rows if k == r["k"] and i < r["i"]]
+        assert (r["s"], r["m"]) == ((sum(before), max(before)) if before else (None, None))
