@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL: dict[str, str] = {}
+
 
 def build_session(app: str = "sigtide", master: str | None = None, **conf: str) -> SparkSession:
     b = SparkSession.builder.appName(app)
@@ -28,14 +30,16 @@ def build_session(app: str = "sigtide", master: str | None = None, **conf: str)
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder.
+    """A fresh folder under the cluster's shared checkpoint folder, ``spark.checkpoint.dir``.
 
-    Only where ``spark.checkpoint.dir`` is unset, as in tests, a temporary folder stands in.
+    Where that is unset, a local session (as in tests) uses a temporary folder; a cluster uses its warehouse folder, which is shared.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = tempfile.mkdtemp(prefix="sigtide-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    conf = spark.sparkContext.getConf()
+    base = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
+    if not base and spark.sparkContext.master.split("[")[0] == "local":
+        base = _LOCAL.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="sigtide-")
+        _LOCAL[spark.sparkContext.applicationId] = base
+    base = base or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
