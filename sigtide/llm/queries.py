@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sigtide.llm.common import table
 from sigtide.llm.quality_rules import quality_rules
+from sigtide.llm.simhash import near_duplicates
 from sigtide.llm.sql import SQL
 
 
@@ -14,6 +15,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: f for k, f in sorted(globals().items()) if k.startswith("op") and k[2].isdigit()}
 
