@@ -2,13 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sigtide.llm import pieces, secrets
 from sigtide.llm.common import table
+from sigtide.llm.packing import pack
 from sigtide.llm.quality_rules import quality_rules
 from sigtide.llm.simhash import near_duplicates
 from sigtide.llm.sql import SQL
 
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def joined(spans: str) -> Column:
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["stop"])), ",")
+
+
+def number(kind: str) -> Column:
+    return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths, found = secrets.scan(table(spark, sf_dir, "documents"), secrets.new_ledger(spark), "doc_id", "text")
+    d = secrets.spans_by_path(paths, found)
+    d = d.withColumn("base", F.filter("spans", lambda x: x["kind"].isin(*secrets.BASE)))
+    return d.select(F.col("path").alias("doc_id"), *(number(k) for k in secrets.BASE), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), PIECE_BPE), PIECE_BPE)
+    return d.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+                    F.sha2("decoded", 256).alias("decoded_sha256"))
+
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).select(
