@@ -1,7 +1,7 @@
 """Personal data: fixed patterns as seeds, and bootstrapped contextual extraction of identifiers the patterns do not know.
 
 DataFrame expressions only. One pass over the texts keeps, per document, the spans of the fixed patterns and the candidate tokens
-(words with a digit or an at sign) with the two words before them. Candidates inside a fixed pattern's span are the seeds. Then, on
+(words with a digit or an at sign) with the two words before them. Candidates that are what a fixed pattern takes are the seeds. Then, on
 distinct (context, token) edges: a context is as good as the share of its tokens that are believed, tokens are believed by the good
 contexts they stand in, for a few rounds. Candidates behind good contexts are new spans of the context's leading kind.
 """
@@ -16,15 +16,18 @@ from pyspark.sql import functions as F
 from sigtide.llm.common import fresh, row_key, stored, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
-#: Equal in what they match, left to right, to the plain forms in the docstring of ``base_spans``. Possessive, and bound to start where
+#: Equal in what they match, left to right, to the plain forms in the docstring of ``searches``. Possessive, and bound to start where
 #: a run of their first characters starts (or the last match ended), so that no text makes them try a run over and over. A shorter run of
 #: digits has no card in it, so the least length stands in the pattern.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+#: A phone or card number, or else a word with a digit or an at sign.
+CANDIDATE = rf"(?<![^\x20\x09-\x0D])(?:{PHONE}|{CARD}|[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+)"
 SPAN = "array<struct<start:int,stop:int,token:string>>"
+#: Numbers that are added up at once; see ``_before``.
+STEP = 256
 
 
 @dataclass(frozen=True)
@@ -37,19 +40,37 @@ class Bootstrap:
     min_length: int = 6
 
 
-def _spans(text: Column, pattern: str) -> Column:
-    """All matches with their places in code points: pieces between matches and the matches, added up in turn."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    steps = F.zip_with(F.transform(gaps, lambda g: F.length(g)), hits, lambda g, h: F.struct(g.alias("g"), h.alias("h")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+def _before(sizes: Column) -> Column:
+    """For each number the sum of those before it. Blocks first, then inside each block: appending within one long array would copy it each time.
 
-    def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + x["g"]
-        z = a + F.length(x["h"])
-        return F.struct(F.coalesce(z, a).alias("at"), F.concat(acc["out"], F.array(F.struct(a.alias("start"), z.alias("stop"), x["h"].alias("token")))).alias("out"))
+    ``sizes`` must be a column of its own, as lambdas read it.
+    """
+    def running(a: Column, start: Column) -> Column:
+        zero = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(a, zero, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+
+    count = F.ceil(F.size(sizes) / STEP).cast("int")
+    blocks = F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda b: F.slice(sizes, b * STEP + 1, F.lit(STEP)))).otherwise(
+        F.array().cast("array<array<int>>"))
+    starts = running(F.transform(blocks, lambda x: F.aggregate(x, F.lit(0), lambda s, v: s + v)), F.lit(0))
+    return F.flatten(F.zip_with(blocks, starts, lambda x, s: running(x, s)))
 
-    return F.filter(F.aggregate(steps, start, step)["out"], lambda s: s["token"].isNotNull())
+
+def located(d: DataFrame, patterns: dict[str, tuple[str, Column]]) -> DataFrame:
+    """Per pattern an array of (start, stop, token) in code points, under its name; ``<name>_gaps`` has the pieces between. The text goes.
+
+    A pattern comes with a condition that the text must meet to be searched. Places are pieces and matches added up in turn.
+    """
+    names = list(patterns)
+    none = F.array().cast("array<string>")
+    keep = [c for c in d.columns if c != "text"]
+    d = d.select(*keep, *[x for k, (p, gate) in patterns.items() for x in (
+        F.when(gate, F.regexp_extract_all("text", F.lit(p), F.lit(0))).otherwise(none).alias(k), F.when(gate, F.split("text", p, -1)).otherwise(none).alias(f"{k}_gaps"))])
+    d = d.withColumns({f"{k}_n": F.zip_with(F.slice(f"{k}_gaps", F.lit(1), F.size(k)), k, lambda g, h: F.length(g) + F.length(h)) for k in names})
+    d = d.withColumns({f"{k}_at": _before(F.col(f"{k}_n")) for k in names})
+    place = lambda k: F.zip_with(F.zip_with(f"{k}_at", f"{k}_n", lambda a, n: a + n), k, lambda z, h: F.struct(
+        (z - F.length(h)).alias("start"), z.alias("stop"), h.alias("token")))
+    return d.select(*keep, *[x for k in names for x in (place(k).alias(k), F.col(f"{k}_gaps"))])
 
 
 def _digits(token: Column) -> Column:
@@ -63,72 +84,67 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(odd, F.lit(0), lambda s, d: s + d) % 10 == 0
 
 
-def _only(spans: Column, gate: Column, keep) -> Column:  # noqa: ANN001
-    return F.when(gate, F.filter(spans, keep)).otherwise(F.array().cast(SPAN))
+def _size(token: Column) -> Column:
+    return F.length(_digits(token))
 
 
-def base_spans(text: Column) -> dict[str, Column]:
-    """Per kind the spans of: email ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+``; ip ``[0-9]+(\\.[0-9]+){3}``, parts at most 255;
-    card ``[0-9]([ -]?[0-9])+``, 14 to 19 digits that pass Luhn; phone ``\\+[0-9][ ().0-9-]+[0-9]``, 10 to 15 digits.
+def _is_card(token: Column) -> Column:
+    return F.when(_size(token).between(14, 19), _luhn(_digits(token))).otherwise(F.lit(False))
 
-    The long forms are looked for only in texts that can hold them.
-    """
-    def size(s: Column) -> Column:
-        return F.length(_digits(s["token"]))
 
-    part = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-    return {
-        "email": _only(_spans(text, EMAIL), text.contains("@"), lambda s: F.lit(True)),
-        "ip": _only(_spans(text, IP), text.rlike(r"[0-9]\.[0-9]"), lambda s: s["token"].rlike(rf"^{part}(?:\.{part}){{3}}$")),
-        "card": _only(_spans(text, CARD), text.rlike(r"(?:[0-9][\x20-]?){13}[0-9]"),
-                      lambda s: F.when(size(s).between(14, 19), _luhn(_digits(s["token"]))).otherwise(F.lit(False))),
-        "phone": _only(_spans(text, PHONE), text.contains("+"), lambda s: size(s).between(10, 15)),
-    }
+OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+
+
+def searches(text: Column) -> dict[str, tuple[str, Column]]:
+    """Per kind its pattern and what a text must have: email ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+``; ip ``[0-9]+(\\.[0-9]+){3}``;
+    card ``[0-9]([ -]?[0-9])+``; phone ``\\+[0-9][ ().0-9-]+[0-9]``."""
+    return {"email": (EMAIL, text.contains("@")), "ip": (IP, text.rlike(r"[0-9]\.[0-9]")), "card": (CARD, text.rlike(r"(?:[0-9][\x20-]?){13}[0-9]")),
+            "phone": (PHONE, text.contains("+"))}
+
+
+def passes(kind: str, spans: Column) -> Column:
+    """The spans that hold: ip parts are at most 255, a card has 14 to 19 digits and passes Luhn, a phone has 10 to 15 digits."""
+    tests = {"ip": lambda s: s["token"].rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$"), "card": lambda s: _is_card(s["token"]), "phone": lambda s: _size(s["token"]).between(10, 15)}
+    return F.filter(spans, tests[kind]) if kind in tests else spans
 
 
 def _normal(words: Column) -> Column:
     return F.lower(F.regexp_replace(words, r"[0-9]+", "0"))
 
 
+def _kind(token: Column) -> Column:
+    """What a candidate is by the fixed patterns, null if nothing."""
+    return (F.when(token.rlike(EMAIL), "email").when(token.rlike(IP), "ip").when(token.rlike(PHONE) & _size(token).between(10, 15), "phone")
+            .when(_is_card(token), "card"))
+
+
 def evidence(docs: DataFrame) -> DataFrame:
     """(doc_id, text) to doc_id, key, spans (start, rank, kind, stop, token) and cands (start, stop, token, context)."""
     d = docs.select("doc_id", row_key("doc_id", "text").alias("key"), "text")
-    d = d.withColumns({k: s for k, s in base_spans(F.col("text")).items()})
-    # The words before a token come from the same cut: the gap's last two words, which a token closer than that shortens.
-    hits = F.when(F.col("text").rlike("[0-9@]"), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    gaps = F.when(F.col("text").rlike("[0-9@]"), F.split("text", CANDIDATE, -1)).otherwise(F.array().cast("array<string>"))
-    d = d.select("*", hits.alias("hits"), gaps.alias("gaps")).drop("text")
-    ends = F.transform("gaps", lambda g: F.struct(F.length(g).alias("n"), F.regexp_extract(
-        F.right(g, F.lit(80)), r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1).alias("before")))
-    steps = F.zip_with(ends, "hits", lambda g, h: F.struct(g["n"].alias("g"), g["before"].alias("before"), h.alias("h")))
-    kind = "array<struct<start:int,stop:int,token:string,context:string>>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + x["g"]
-        # A token goes without the marks around it.
-        lead = F.length(F.regexp_extract(x["h"], r"^[^\p{L}\p{N}+]*", 0))
-        bare = F.regexp_replace(x["h"], r"^[^\p{L}\p{N}+]+|[^\p{L}\p{N}]+$", "")
-        new = F.struct((a + lead).alias("start"), (a + lead + F.length(bare)).alias("stop"), bare.alias("token"),
-                       F.regexp_replace(_normal(x["before"]), r"[\x20\x09-\x0D]+", " ").alias("context"))
-        return F.struct(F.coalesce(a + F.length(x["h"]), a).alias("at"), F.when(x["h"].isNull(), acc["out"]).otherwise(
-            F.concat(acc["out"], F.array(new))).alias("out"))
-
-    cands = F.filter(F.aggregate(steps, zero, step)["out"], lambda c: F.length(c["token"]) > 0)
+    d = located(d, searches(F.col("text")) | {"cand": (CANDIDATE, F.col("text").rlike("[0-9@]"))})
     named = F.concat(*[_named(k, i) for i, k in enumerate(KINDS)])
+
+    def candidate(s: Column, gap: Column) -> Column:
+        # A token goes without the marks around it; its context is the last two words of the piece before it.
+        lead = F.length(F.regexp_extract(s["token"], r"^[^\p{L}\p{N}+]*", 0))
+        bare = F.regexp_replace(s["token"], r"^[^\p{L}\p{N}+]+|[^\p{L}\p{N}]+$", "")
+        two = F.regexp_extract(F.right(gap, F.lit(80)), r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1)
+        return F.struct((s["start"] + lead).alias("start"), (s["start"] + lead + F.length(bare)).alias("stop"), bare.alias("token"),
+                        F.regexp_replace(_normal(two), r"[\x20\x09-\x0D]+", " ").alias("context"))
+
+    cands = F.zip_with("cand", F.slice("cand_gaps", F.lit(1), F.size("cand")), candidate)
+    cands = F.filter(cands, lambda c: (F.length(c["token"]) > 0) & (F.length(c["context"]) > 0))
     return d.select("doc_id", "key", F.sort_array(named).alias("spans"), cands.alias("cands"))
 
 
 def _named(kind: str, rank: int) -> Column:
-    return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"),
+    return F.transform(passes(kind, F.col(kind)), lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"),
                                                 s["stop"].alias("stop"), s["token"].alias("token")))
 
 
 def discover(found: DataFrame, b: Bootstrap = Bootstrap()) -> DataFrame:
     """(key, spans): the identifiers that good contexts show and no fixed pattern does, per distinct document."""
-    c = found.dropDuplicates(["key"]).select("key", "spans", F.explode("cands").alias("c"))
-    over = F.filter("spans", lambda s: (s["start"] < F.col("c.stop")) & (s["stop"] > F.col("c.start")))
-    c = c.select("key", "c.*", F.get(over, F.lit(0))["kind"].alias("kind")).where(F.length("context") > 0)
+    c = found.select("key", F.explode("cands").alias("c")).select("key", "c.*", _kind(F.col("c.token")).alias("kind"))
     c = stored(c, "candidates")
     edges = stored(c.groupBy("context", "token").agg(F.max("kind").alias("kind")), "edges")
     belief = edges.select("token", F.when(F.col("kind").isNotNull(), 1.0).otherwise(0.0).alias("belief")).groupBy("token").agg(F.max("belief").alias("belief"))
