@@ -29,7 +29,7 @@ def clean_text(c: Column) -> Column:
     t = F.replace(F.replace(c, F.lit(_NBSP), F.lit(" ")), F.lit(_ZERO_WIDTH), F.lit(" "))
     unlinked = F.regexp_replace(F.regexp_replace(t, _LINK, "$1"), _URL, "")
     t = F.when(c.contains("http"), unlinked).otherwise(t)
-    t = F.when(c.contains("*") | c.contains("__"), F.regexp_replace(t, _MARKUP, "")).otherwise(t)
+    t = F.when(t.contains("*") | t.contains("__"), F.regexp_replace(t, _MARKUP, "")).otherwise(t)
     return F.trim(F.regexp_replace(t, _SPACE, " "))
 
 
@@ -175,7 +175,7 @@ def readable_feature(c: Column, exact: Mapping[str, str], bases: Mapping[str, st
         cond = c == name
         out = F.when(cond, label) if out is None else out.when(cond, label)
     for base in sorted(bases, key=len, reverse=True):
-        rest = F.substring(c, len(base) + 2, 1_000)
+        rest = F.substring(c, F.lit(len(base) + 2), F.length(c))
         suffix = rest
         for key, label in suffixes.items():
             suffix = F.when(rest == key, label).otherwise(suffix)
@@ -183,5 +183,5 @@ def readable_feature(c: Column, exact: Mapping[str, str], bases: Mapping[str, st
         cond = c.startswith(base + "_")
         out = F.when(cond, label) if out is None else out.when(cond, label)
     spaced = F.lower(F.regexp_replace(c, "_", " "))
-    plain = F.concat(F.upper(F.substring(spaced, 1, 1)), F.substring(spaced, 2, 1_000))
+    plain = F.concat(F.upper(F.substring(spaced, 1, 1)), F.substring(spaced, F.lit(2), F.length(spaced)))
     return plain if out is None else out.otherwise(plain)

@@ -81,7 +81,7 @@ def fold_summary(folds: DataFrame, keys: list[str], metric: str) -> DataFrame:
 # ── quality gates over grid results ───────────────────────────────────────────
 
 def with_rejection(grid: DataFrame) -> DataFrame:
-    return grid.withColumn("rejected", scoring.rejection_reason(
+    return grid.withColumn("rejected", scoring.rejection(
         F.col("auc"), F.col("pos_rate"), F.col("auc_std"), F.col("lift")))
 
 

@@ -130,7 +130,7 @@ def outcome(spec: dict, columns: list[str], w, horizon: int) -> Column:
     frame = w.rowsBetween(0, horizon - 1)
     s, m = F.sum(spec["col"]).over(frame), F.max(spec["col"]).over(frame)
     ops = {
-        "gt0": s > 0, "ge3": m >= 3, "sum_ge": s >= spec.get("threshold", 1), "max_ge": m >= spec.get("threshold", 1),
+        "sum_ge": s >= spec.get("threshold", 1), "max_ge": m >= spec.get("threshold", 1),
         "sum": s, "max": m,
     }
     if spec["op"] not in ops:

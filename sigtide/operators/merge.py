@@ -57,7 +57,7 @@ def fold_candidates(candidates: DataFrame, key: str, order: list[str]) -> DataFr
         base.select(key, "_pos", F.posexplode("site_types").alias("_i", "_type"))
         .groupBy(key, "_type").agg(F.min(F.struct("_pos", "_i")).alias("_first"))
         .groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_first", "_type"))).alias("_ts"))
-        .select(key, F.transform("_ts", lambda t: t["_type"]).alias("n_site_types"))
+        .select(key, tx.merge_type_arrays(F.array().cast("array<string>"), F.transform("_ts", lambda t: t["_type"])).alias("n_site_types"))
     )
     return flat.join(types, key, "left")
 

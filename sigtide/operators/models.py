@@ -146,10 +146,10 @@ def grid_search(daily: DataFrame, keys: list[str], specs: list[dict] = K.GRID_TA
                 row = dict(zip(keys, key)) | {"outcome": name, "lookback": lb, "horizon": h, "n": len(y),
                                              "pos_rate": float(y.mean()) if len(y) else None}
                 if len(np.unique(y)) < 2:
-                    row |= {"n_folds": 0, "note": "single class"}
+                    row |= {"n_folds": 0, "note": "one_class"}
                 else:
                     row |= cross_validate(x, y, with_baseline=with_baseline)
-                    row["note"] = f"{row['n_folds']}/{K.CV_SPLITS} folds"
+                    row["note"] = "scored" if row["n_folds"] == K.CV_SPLITS else "folds_missing"
                     if row["auc"] is not None and row["baseline_auc"] is not None:
                         row["lift"] = row["auc"] - row["baseline_auc"]
                 rows.append(row)
@@ -177,9 +177,9 @@ def train_bank(daily: DataFrame, keys: list[str], configs: list[dict], specs: li
                recent: list[int | None] | None = None) -> DataFrame:
     """One model row per series and configuration {outcome, lookback, horizon}.
 
-    Cross-validation and the final fit use separate scalers. ``recent`` adds a choice of training
-    windows (latest rows), taken by mean minus deviation of the fold AUCs. Models are table rows, so
-    saving a bank is writing a table and scoring it is a join.
+    Cross-validation and the final fit use separate scalers. Models are table rows, so saving a bank is
+    writing a table and scoring it is a join. With ``recent``, training windows (latest rows, None: all) are
+    part of a configuration: each is a model row with ``recent_rows``, for ``choose_window`` to pick from.
     """
     feats = feats or ft.feature_names()
     lookbacks = sorted({c["lookback"] for c in configs})
@@ -192,25 +192,26 @@ def train_bank(daily: DataFrame, keys: list[str], configs: list[dict], specs: li
         for c in (c for c in configs if c["lookback"] == lb):
             x, y = _cell(g, feats, c["horizon"], c["outcome"])
             row = dict(zip(keys, key)) | {"outcome": c["outcome"], "lookback": lb, "horizon": c["horizon"]}
-            if recent:
-                scored = []
-                for r in recent:
-                    xr, yr = (x[-r:], y[-r:]) if r else (x, y)
-                    cv = cross_validate(xr, yr, with_baseline=False) if len(np.unique(yr)) > 1 else {"n_folds": 0}
-                    if cv["n_folds"] >= K.CV_SPLITS:
-                        scored.append((cv["auc"] - cv["auc_std"], r))
-                best = max(scored, key=lambda s: s[0])[1] if scored else recent[1]
-                x, y = (x[-best:], y[-best:]) if best else (x, y)
-                row["recent_rows"] = best
-            rows.append(row | _fit_row(x, y, feats))
+            rows += [row | {"recent_rows": r} | _fit_row(x[-(r or len(x)):], y[-(r or len(y)):], feats) for r in recent or [None]]
         return _frame(rows, [*keys, *_columns(MODEL_SCHEMA + extra)])
 
     return table.groupBy(*keys, "lookback").applyInPandas(fit, keyed_schema(daily, keys, MODEL_SCHEMA + extra))
 
 
+def choose_window(bank: DataFrame, keys: list[str], fallback: int | None = K.RECENT_FALLBACK) -> DataFrame:
+    """Of each configuration's training windows the one with the highest mean less deviation of its fold AUCs, the earlier
+    of two as good; only windows with all folds compete, and the fallback stands in where none has them."""
+    full = F.col("n_folds") >= K.CV_SPLITS
+    size = F.coalesce("recent_rows", F.lit(2**31 - 1))
+    rank = F.when(full, F.struct(F.lit(1), F.col("cv_auc") - F.col("cv_std"), -size)).otherwise(
+        F.struct(F.lit(0), F.col("recent_rows").eqNullSafe(F.lit(fallback)).cast("double"), -size))
+    whole = F.struct(*bank.columns)
+    return bank.groupBy(*keys, "outcome", "lookback", "horizon").agg(F.max_by(whole, rank).alias("_b")).select("_b.*")
+
+
 def _fit_row(x: np.ndarray, y: np.ndarray, feats: list[str], splits: int = K.CV_SPLITS) -> dict:
     if len(np.unique(y)) < 2:
-        return {"status": "skipped: insufficient data or single class", "n": len(y), "n_folds": 0}
+        return {"status": "one_class", "n": len(y), "n_folds": 0}
     cv = cross_validate(x, y, splits, with_baseline=False)
     mean, std = scale_fit(x)
     beta = logit_fit((x - mean) / std, y)
@@ -262,8 +263,8 @@ def score(rows: DataFrame, models: DataFrame, keys: list[str]) -> DataFrame:
         F.arrays_zip("features", "_c"), lambda t: F.struct(F.abs(t["_c"]).alias("size"), t["features"].alias("feature"),
                                                           t["_c"].alias("contribution"))), asc=False), 1, 4)
     status = (F.when(F.col("status") != "trained", F.col("status"))
-               .when(F.col("_v").isNull(), F.format_string("insufficient data (lookback %d)", "lookback"))
-               .when(F.exists("_x", lambda v: v.isNull()), "feature mismatch").otherwise("ok"))
+               .when(F.col("_v").isNull(), F.lit("history_too_short"))
+               .when(F.exists("_x", lambda v: v.isNull()), "features_differ").otherwise("ok"))
     return (
         j.withColumn("_x", scaled).withColumn("_c", parts)
         .withColumn("prob", 1 / (1 + F.exp(-margin)))

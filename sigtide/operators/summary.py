@@ -11,8 +11,7 @@ from sigtide.functions import text as tx
 
 
 def dimension_table(spark: SparkSession) -> DataFrame:
-    rows = [(d, t) for d, ts in K.DIMENSIONS.items() for t in ts]
-    return spark.createDataFrame(rows, "dimension string, outcome string")
+    return spark.createDataFrame(K.DIMENSIONS, "dimension string, outcome string")
 
 
 def outcome_label(c: Column) -> Column:

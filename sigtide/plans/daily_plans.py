@@ -169,17 +169,15 @@ def best_lags(spark, sf):
     return rounded(correlate.best_positive_lag(correlate.lagged_corr(long_daily(spark, sf), LONG), LONG), "pearson_r")
 
 
-_FEATS = [f for f in ft.feature_names() if f.startswith(("s_mention", "s_broad", "recent", "incident_momentum", "days"))]
-_OUTS = ["any_fire", "multi_incident", "far_reach"]
-_SPECS = [s for s in K.OUTCOMES if s["name"] in _OUTS]
+_FEATS, _OUTS = ft.feature_names(), [s["name"] for s in K.OUTCOMES]
+_LABELS = ", ".join(f"CASE WHEN {s['col']} >= {s['threshold']} THEN 1.0 ELSE 0 END AS {s['name']}" for s in K.OUTCOMES)
 
 
 @query("A11", f"""{o.feature_query(o.LONG_DAILY, 'macro_area', 10)},
-lab AS (SELECT macro_area, date, CASE WHEN fire_count > 0 THEN 1.0 ELSE 0 END AS any_fire, CASE WHEN inc_count >= 3 THEN 1.0 ELSE 0 END AS multi_incident,
-  CASE WHEN reach_score >= 3 THEN 1.0 ELSE 0 END AS far_reach FROM full_daily),
-d AS (SELECT macro_area, any_fire, multi_incident, far_reach, {', '.join(f'{f}::DOUBLE AS {f}' for f in _FEATS)} FROM feats JOIN lab USING (macro_area, date)),
+lab AS (SELECT macro_area, date, {_LABELS} FROM full_daily),
+d AS (SELECT macro_area, {', '.join(_OUTS)}, {', '.join(f'{f}::DOUBLE AS {f}' for f in _FEATS)} FROM feats JOIN lab USING (macro_area, date)),
 u AS (UNPIVOT d ON {', '.join(_FEATS)} INTO NAME feature VALUE x)
 {' UNION ALL '.join(f"SELECT macro_area, feature, '{n}' AS outcome, round(CASE WHEN stddev_pop({n}) > 1e-12 AND stddev_pop(x) > 1e-12 THEN corr(x, {n}) END, 6) AS r FROM u GROUP BY ALL" for n in _OUTS)}""")
 def feature_outcome_correlation(spark, sf):
-    data = ft.build_dataset(long_daily(spark, sf), LONG, [10], [1], _SPECS)
+    data = ft.build_dataset(long_daily(spark, sf), LONG, [10], [1], K.OUTCOMES)
     return rounded(correlate.feature_outcome_corr(data, LONG, _FEATS, _OUTS), "r")

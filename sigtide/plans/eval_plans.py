@@ -105,14 +105,14 @@ def grid_table(spark: SparkSession, sf: str) -> DataFrame:
     return p.groupBy("target", "lookback", "horizon").agg(*mean, F.min("n_folds").cast("int").alias("n_folds"))
 
 
-_REJECT = """CASE WHEN auc IS NULL THEN 'auc=nan' WHEN pos_rate > 0.70 THEN 'saturated' WHEN auc_std > 0.15 THEN 'unstable'
-  WHEN auc < 0.52 THEN 'weak' WHEN lift < 0.01 THEN 'no lift' END"""
+_REJECT = """CASE WHEN auc IS NULL THEN 'no_auc' WHEN pos_rate > 0.70 THEN 'pos_rate' WHEN auc_std > 0.15 THEN 'auc_std'
+  WHEN auc < 0.52 THEN 'auc' WHEN lift < 0.01 THEN 'lift' END"""
 
 
-@query("ML10", f"WITH {_GRID} SELECT target, lookback, horizon, {_REJECT} AS rejected FROM grid")
+@query("ML10", f"WITH {_GRID} SELECT target, lookback, horizon, {_REJECT} AS rejected, CASE {_REJECT} WHEN 'pos_rate' THEN pos_rate WHEN 'auc_std' THEN auc_std WHEN 'auc' THEN auc WHEN 'lift' THEN lift END AS value FROM grid")
 def rejection_reasons(spark, sf):
     g = evaluate.with_rejection(grid_table(spark, sf))
-    return g.select("target", "lookback", "horizon", F.regexp_replace("rejected", r" \(.*", "").alias("rejected"))
+    return g.select("target", "lookback", "horizon", F.col("rejected.code").alias("rejected"), F.col("rejected.value").alias("value"))
 
 
 _TIERS = f"""WITH {_GRID}, g AS (SELECT *, {_REJECT} IS NULL AS t1, pos_rate <= 0.70 AND coalesce(auc, 0) >= 0.52 AND coalesce(lift, 0.01) >= 0.01 AS t2 FROM grid),
@@ -213,7 +213,7 @@ def regime_centroids(spark: SparkSession, sf: str) -> DataFrame:
     return r.groupBy("macro_area", "regime").agg(*[F.round(F.avg(s), 9).alias(s) for s in K.REGIME_SIGNALS])
 
 
-_TOP2 = "list_sort([" + ", ".join(f"{{'size': -abs({s}), 'ord': {i}, 't': '{s.replace('_', ' ')}' || CASE WHEN {s} > 0 THEN ' up' ELSE ' down' END}}"
+_TOP2 = "list_sort([" + ", ".join(f"{{'size': -abs({s}), 'ord': {i}, 't': '{s}' || CASE WHEN {s} > 0 THEN '+' ELSE '-' END}}"
                                 for i, s in enumerate(K.REGIME_SIGNALS)) + "])"
 
 
@@ -221,13 +221,13 @@ _TOP2 = "list_sort([" + ", ".join(f"{{'size': -abs({s}), 'ord': {i}, 't': '{s.re
   FROM nr JOIN sc USING (macro_area, date) WHERE NOT nr.cold GROUP BY ALL),
 i AS (SELECT *, (s_mention + s_report + s_confirmed) / 3 AS intensity FROM cent),
 r AS (SELECT *, row_number() OVER (PARTITION BY macro_area ORDER BY intensity, regime) - 1 AS rk, count(*) OVER (PARTITION BY macro_area) AS k FROM i),
-t AS (SELECT *, CASE WHEN rk / greatest(k - 1, 1) >= 0.67 THEN 'high' WHEN rk / greatest(k - 1, 1) >= 0.33 THEN 'mid' ELSE 'low' END AS tier FROM r),
+t AS (SELECT *, CASE WHEN rk / greatest(k - 1, 1) >= 0.67 THEN 2 WHEN rk / greatest(k - 1, 1) >= 0.33 THEN 1 ELSE 0 END AS tier FROM r),
 n AS (SELECT *, row_number() OVER (PARTITION BY macro_area, tier ORDER BY rk) AS no FROM t)
-SELECT macro_area, CAST(regime AS INTEGER) AS regime, tier, CASE tier WHEN 'high' THEN 'High tempo' WHEN 'mid' THEN 'Building' ELSE 'Quiet phase' END
-  || CASE WHEN no > 1 THEN ' ' || no ELSE '' END AS name, ({_TOP2})[1].t || ', ' || ({_TOP2})[2].t AS description FROM n""")
+SELECT macro_area, CAST(regime AS INTEGER) AS regime, CAST(tier AS INTEGER) AS tier, CAST(no AS INTEGER) AS nth,
+  ({_TOP2})[1].t || ' ' || ({_TOP2})[2].t AS leading FROM n""")
 def regime_labels(spark, sf):
     out = clusters.label_regimes(regime_centroids(spark, sf), keys=LONG)
-    return out.select("macro_area", "regime", "tier", "name", "description")
+    return out.select("macro_area", "regime", "tier", "nth", F.array_join("leading", " ").alias("leading"))
 
 
 @query("J11", o.LONG_DAILY + _ASSIGN + f""", cent AS (SELECT macro_area, near AS regime, {', '.join(f'round(avg({s}), 9) AS {s}' for s in K.REGIME_SIGNALS)}

@@ -77,7 +77,7 @@ def rolling_baseline(spark, sf):
 
 _H = [1, 3, 14]
 _SPECS = [*K.OUTCOMES, {"name": "total", "col": "inc_count", "op": "sum"}, {"name": "peak", "col": "inc_count", "op": "max"},
-          {"name": "missing", "col": "no_such_column", "op": "gt0"}]
+          {"name": "missing", "col": "no_such_column", "op": "sum_ge"}]
 
 
 def _outcome_sql(s: dict, h: int) -> str:
@@ -85,7 +85,7 @@ def _outcome_sql(s: dict, h: int) -> str:
         return "0.0"
     w = f"OVER (PARTITION BY macro_area ORDER BY date ROWS BETWEEN CURRENT ROW AND {h - 1} FOLLOWING)"
     total, top, t = f"sum({s['col']}) {w}", f"max({s['col']}) {w}", s.get("threshold", 1)
-    return {"gt0": f"CAST({total} > 0 AS DOUBLE)", "ge3": f"CAST({top} >= 3 AS DOUBLE)", "sum_ge": f"CAST({total} >= {t} AS DOUBLE)",
+    return {"sum_ge": f"CAST({total} >= {t} AS DOUBLE)",
             "max_ge": f"CAST({top} >= {t} AS DOUBLE)", "sum": f"CAST({total} AS DOUBLE)", "max": f"CAST({top} AS DOUBLE)"}[s["op"]]
 
 
@@ -111,12 +111,12 @@ def _dataset_sql() -> str:
         ctes += "," + body
         for h in (1, 3):
             cols = ", ".join(f"round({c}::DOUBLE, 6) AS {c}" for c in _DATA_NAMES)
-            selects.append(f"SELECT macro_area, date, {lb} AS lookback, {h} AS horizon, {cols}, any_incident, significant FROM feats{lb} "
+            selects.append(f"SELECT macro_area, date, {lb} AS lookback, {h} AS horizon, {cols}, inc_count_sum1, significant_sum1 FROM feats{lb} "
                            f"JOIN lab{h} USING (macro_area, date) WHERE rn <= n - {h} + 1")
     for h in (1, 3):
         w = f"OVER (PARTITION BY macro_area ORDER BY date ROWS BETWEEN CURRENT ROW AND {h - 1} FOLLOWING)"
-        ctes += (f", lab{h} AS (SELECT macro_area, date, CAST(sum(inc_count) {w} > 0 AS DOUBLE) AS any_incident, "
-                 f"CAST(sum(significant) {w} > 0 AS DOUBLE) AS significant FROM full_daily)")
+        ctes += (f", lab{h} AS (SELECT macro_area, date, CAST(sum(inc_count) {w} > 0 AS DOUBLE) AS inc_count_sum1, "
+                 f"CAST(sum(significant) {w} > 0 AS DOUBLE) AS significant_sum1 FROM full_daily)")
     return ctes + " " + " UNION ALL ".join(selects)
 
 
@@ -124,7 +124,7 @@ def _dataset_sql() -> str:
 def training_rows(spark, sf):
     """Two lookbacks by two horizons in one plan: the configuration grid is data."""
     data = ft.build_dataset(long_daily(spark, sf), LONG, [2, 10], [1, 3], K.GRID_TARGETS)
-    return rounded(data.select("macro_area", "date", "lookback", "horizon", *_DATA_NAMES, "any_incident", "significant"), *_DATA_NAMES)
+    return rounded(data.select("macro_area", "date", "lookback", "horizon", *_DATA_NAMES, K.ANY, K.SIGNIFICANT), *_DATA_NAMES)
 
 
 @query("W17", o.LONG_DAILY + """, j AS (SELECT a.macro_area, a.date, min(b.date) AS nxt FROM full_daily a JOIN full_daily b

@@ -31,13 +31,13 @@ def outcome_grid_best(spark, sf):
 
 @query("ML8 O3 R2")
 def grid_selected(spark, sf):
-    grid = models.grid_search(long_daily(spark, sf), LONG, lookbacks=[2, 5, 10], horizons=[1, 3, 5])
+    grid = models.grid_search(long_daily(spark, sf), LONG)
     return evaluate.select_configs(grid, [*LONG, "outcome"])
 
 
 @query("ML12 U1")
 def stability(spark, sf):
-    grid = models.stability_grid(long_daily(spark, sf), LONG, lookbacks=[2, 5, 10], horizons=[1, 2, 3])
+    grid = models.stability_grid(long_daily(spark, sf), LONG)
     return evaluate.stable_configs(grid, [*LONG, "outcome"])
 
 
@@ -54,7 +54,7 @@ def model_bank(spark, sf):
 def recent_window_bank(spark, sf):
     feats = clusters.model_columns(ft.feature_names())
     b = models.train_bank(long_daily(spark, sf), LONG, [K.PREDICTOR_CONFIGS[0]], K.GRID_TARGETS, feats, K.RECENT_WINDOWS)
-    return b.select(*LONG, "outcome", "status", "n", "cv_auc", "cv_std", "recent_rows")
+    return models.choose_window(b, LONG).select(*LONG, "outcome", "status", "n", "cv_auc", "cv_std", "recent_rows")
 
 
 @query("ML20 ML23 ML26 S6 O4 O5 P13")
@@ -92,21 +92,19 @@ def ridge_totals(spark, sf):
 
 @query("ML4")
 def boosted_scores(spark, sf):
-    """Boosted trees on the pooled panel, scored on it; few rounds keep the check short."""
-    spec = [s for s in K.OUTCOMES if s["name"] == "significant"]
+    """Boosted trees on the pooled panel, all rounds, scored on it."""
+    spec = [s for s in K.OUTCOMES if s["name"] == K.SIGNIFICANT]
     data = ft.build_dataset(long_daily(spark, sf), LONG, [10], [1], spec).persist()
-    model = models.boosted_model(data, "significant", rounds=5)
+    model = models.boosted_model(data, K.SIGNIFICANT)
     from pyspark.ml.functions import vector_to_array
-    scored = model.transform(data).select(*LONG, "date", "significant", vector_to_array("probability")[1].alias("prob"))
-    return evaluate.roc_auc(scored, "prob", "significant", LONG)
+    scored = model.transform(data).select(*LONG, "date", K.SIGNIFICANT, vector_to_array("probability")[1].alias("prob"))
+    return evaluate.roc_auc(scored, "prob", K.SIGNIFICANT, LONG)
 
 
 @query("ML13 A18")
 def signal_profiles(spark, sf):
-    feats = [f for f in ft.feature_names() if f.endswith(("_ewm", "_slope", "_zscore"))]
-    specs = [s for s in K.OUTCOMES if s["name"] in ("any_incident", "significant", "any_fire")]
-    data = ft.build_dataset(long_daily(spark, sf), LONG, [10], [3], specs).persist()
-    p = clusters.find_profiles(data, feats, [s["name"] for s in specs])
+    data = ft.build_dataset(long_daily(spark, sf), LONG, [10], [3], K.OUTCOMES)
+    p = clusters.find_profiles(data, ft.feature_names(), [s["name"] for s in K.OUTCOMES])
     return p.withColumn("dominant", F.array_join("dominant", ", ")).withColumn("suppressed", F.array_join("suppressed", ", "))
 
 
@@ -115,7 +113,7 @@ def detected_regimes(spark, sf):
     """Regimes found by K-means, k by silhouette, then assigned to every day."""
     rolled = clusters.rolling_signals(long_daily(spark, sf), LONG)
     scaled = clusters.standardise(rolled, LONG, K.REGIME_SIGNALS).persist()
-    k = clusters.choose_k(scaled, K.REGIME_SIGNALS, scaled.count(), upto=4)
+    k = clusters.choose_k(scaled, K.REGIME_SIGNALS, scaled.count())
     centroids = clusters.fit_kmeans(scaled, K.REGIME_SIGNALS, k, seed=0)
     return clusters.assign_regimes(scaled, LONG, K.REGIME_SIGNALS, centroids).select(*LONG, "date", "regime", "dist", "ood")
 

@@ -44,7 +44,7 @@ def stream_distinct(spark, sf):
     """Every message twice in the stream, once in the output."""
     out, checkpoint = work_dir(spark, "distinct"), work_dir(spark, "distinct-cp")
     m = td.as_messages(stream_table(spark, sf, "documents")).select("msg_id", "channel", "ts")
-    ingest.run_available(ingest.distinct_messages(m.unionByName(m)), out, checkpoint)
+    ingest.land_distinct(m.unionByName(m), out, checkpoint)
     return spark.read.parquet(out).select("msg_id", "channel", F.to_date("ts").alias("date"))
 
 
@@ -54,8 +54,6 @@ def stream_matches(spark, sf):
     landed, out, checkpoint = work_dir(spark, "cands"), work_dir(spark, "matches"), work_dir(spark, "matches-cp")
     cands = _arrivals(spark, sf).select("cand_id", "area", "incident_date", "site_types", "ts", "seg")
     cands.write.mode("overwrite").parquet(landed)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
-                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     stream = spark.readStream.schema(cands.schema).option("maxFilesPerTrigger", 1000).parquet(landed)
     ingest.run_available(match_stream(stream), out, checkpoint)
     return spark.read.parquet(out)

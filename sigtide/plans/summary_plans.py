@@ -13,9 +13,9 @@ from sigtide.plans.common import rounded
 from sigtide.plans.registry import query
 from sigtide.sources import testdata as td
 
-TARGETS = [t for ts in K.DIMENSIONS.values() for t in ts]
+TARGETS = [t for _, t in K.DIMENSIONS]
 _N = len(TARGETS)
-_DIM = "CASE " + " ".join(f"WHEN outcome IN ({', '.join(o.q(t) for t in ts)}) THEN {o.q(d)}" for d, ts in K.DIMENSIONS.items()) + " END"
+_DIM = "CASE " + " ".join(f"WHEN outcome = {o.q(t)} THEN {o.q(d)}" for d, t in K.DIMENSIONS) + " END"
 _LABEL = "array_to_string(list_transform(string_split(replace(regexp_replace(outcome, '^type_', ''), '_', ' '), ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
 
 _PREDS = f"""preds AS (SELECT c_nationkey AS series, [{', '.join(o.q(t) for t in TARGETS)}][CAST(c_custkey % {_N} AS INTEGER) + 1] AS outcome,

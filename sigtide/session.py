@@ -20,8 +20,6 @@ def build_session(app: str = "sigtide", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        # Type lists per incident are short; the default of 128 groups would sort instead of hash.
-        "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "50000",
         **conf,
     }
     for k, v in settings.items():

@@ -27,16 +27,17 @@ def append_log(df: DataFrame, path: str, partition: str = "run_date") -> None:
 
 
 def save_bank(models: DataFrame, path: str, version: str) -> None:
-    """One folder per version, so an earlier bank stays readable."""
-    models.withColumn("version", F.lit(version)).write.mode("overwrite").option(
+    """One folder per version, so an earlier bank stays readable; rows carry the time of saving."""
+    models.withColumns({"version": F.lit(version), "saved_at": F.current_timestamp()}).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic").partitionBy("version").parquet(path)
 
 
 def load_bank(spark: SparkSession, path: str, version: str | None = None) -> DataFrame:
-    """A saved bank, by default the latest version."""
+    """A saved bank, by default the version saved last, whatever its name. Version names are text, never numbers or dates."""
     bank = spark.read.parquet(path)
-    wanted = bank.agg(F.max("version")).scalar() if version is None else F.lit(version)
-    return bank.filter(F.col("version") == wanted).drop("version")
+    bank = bank.withColumn("version", F.col("version").cast("string"))
+    wanted = bank.agg(F.max_by("version", "saved_at")).scalar() if version is None else F.lit(version)
+    return bank.filter(F.col("version") == wanted).drop("version", "saved_at")
 
 
 def upsert_signals(spark: SparkSession, path: str, updates: DataFrame, keys: list[str] = ("date", "channel")) -> None:
@@ -44,7 +45,9 @@ def upsert_signals(spark: SparkSession, path: str, updates: DataFrame, keys: lis
     from pyspark.errors import AnalysisException
     try:
         table = spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # a table that is there but cannot be read must not be overwritten
+            raise
         table = None
     out = updates
     if table is not None:

@@ -4,21 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sigtide.operators.extract import count_signals, extract_incidents
-from sigtide.operators.merge import assign_incidents, fold_candidates
 from sigtide.rules import RulePack
 from sigtide.sources.sinks import upsert_signals
 
-REPLAY_HORIZON = "7 days"
 
+def land_distinct(messages: DataFrame, out: str, checkpoint: str) -> None:
+    """Append the messages whose id has not landed yet, however late they are; replays and repeats drop.
 
-def distinct_messages(messages: DataFrame, within: str = REPLAY_HORIZON) -> DataFrame:
-    """Replayed messages drop: the first of each id within the watermark stays."""
-    timed = messages.withColumn("event_time", F.col("ts").cast("timestamp"))
-    return timed.withWatermark("event_time", within).dropDuplicatesWithinWatermark(["msg_id"]).drop("event_time")
+    Each batch is reduced to one row per id and anti-joined with the landed ids, so there is no watermark
+    behind which a first message could be lost, and no state but the table itself. A batch that is retried
+    after a failed write finds what it wrote and adds the rest.
+    """
+    def write(batch: DataFrame, _: int) -> None:
+        spark, fresh = batch.sparkSession, batch.dropDuplicates(["msg_id"])
+        try:
+            landed = spark.read.schema(batch.schema).parquet(out).select("msg_id")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+        else:
+            fresh = fresh.join(landed, "msg_id", "left_anti")
+        fresh.write.mode("append").parquet(out)
+
+    run_batches(messages, write, checkpoint, "append")
 
 
 def run_available(df: DataFrame, out: str, checkpoint: str, partition: str | None = None) -> None:
@@ -37,18 +49,18 @@ def ingest_incidents(messages: DataFrame, pack: RulePack, out: str, checkpoint:
     run_available(extract_incidents(messages, pack), out, checkpoint)
 
 
-def ingest_signals(spark: SparkSession, messages: DataFrame, pack: RulePack, path: str, checkpoint: str,
-                   delay: str = "2 days") -> None:
+def ingest_signals(spark: SparkSession, messages: DataFrame, pack: RulePack, path: str, checkpoint: str) -> None:
     """Daily counters of a message stream, kept as running state and upserted batch by batch.
 
     Update mode re-sends the complete counts of every day that changed, so a replayed batch
-    overwrites its rows with the same values.
+    overwrites its rows with the same values. Messages may be late by any time: state is one row of
+    counters per day and channel, bounded by the calendar, so nothing is evicted and nothing is lost.
     """
-    timed = messages.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", delay)
-    day = F.window(F.col("event_time") + F.expr("interval 3 hours"), "1 day")
-    counts = count_signals(timed.withColumn("day", day), pack, extra_keys=("channel", "day")).drop("day")
+    counts = count_signals(messages, pack, extra_keys=("channel",))
 
     def write(batch: DataFrame, _: int) -> None:
+        batch.persist()  # the upsert reads it twice
         upsert_signals(batch.sparkSession, path, batch)
+        batch.unpersist()
 
     run_batches(counts, write, checkpoint)

@@ -117,8 +117,7 @@ def test_arrival_order_merge_equals_replay(spark):
     assert set(folded) == set(store)
     for i, s in store.items():
         f = folded[i]
-        types = [t for t in f["n_site_types"] if t not in ("unknown", "other")] or f["n_site_types"][:1]
-        assert (types, f["n_confidence"], f["n_explosions"], f["n_severity"], f["n_fire"], f["n_scale"], f["n_merged"]) == (
+        assert (f["n_site_types"], f["n_confidence"], f["n_explosions"], f["n_severity"], f["n_fire"], f["n_scale"], f["n_merged"]) == (
             s["types"], s["conf"], s["exp"], s["sev"], s["fire"], s["scale"], s["n"])
 
 

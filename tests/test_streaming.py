@@ -36,7 +36,7 @@ def test_stream_equals_batch(spark, sf):
 
 def test_stream_counters_over_batches_equal_batch(spark, sf):
     path, out = landed(spark, sf), work_dir(spark, "sig")
-    ingest.ingest_signals(spark, src.stream_messages(spark, path, files_per_batch=1), PACK, out, work_dir(spark, "cp"), "60 days")
+    ingest.ingest_signals(spark, src.stream_messages(spark, path, files_per_batch=1), PACK, out, work_dir(spark, "cp"))
     want = count_signals(td.messages(spark, sf), PACK)
     cols = want.columns
     assert sorted(map(tuple, spark.read.parquet(out).select(*cols).collect())) == sorted(map(tuple, want.collect()))
@@ -45,10 +45,32 @@ def test_stream_counters_over_batches_equal_batch(spark, sf):
 def test_replayed_messages_drop(spark, sf):
     path, out = landed(spark, sf, 2), work_dir(spark, "dedup")
     m = src.stream_messages(spark, path)
-    ingest.run_available(ingest.distinct_messages(m.unionByName(m), "60 days"), out, work_dir(spark, "cp"))
+    ingest.land_distinct(m.unionByName(m), out, work_dir(spark, "cp"))
     assert spark.read.parquet(out).count() == td.messages(spark, sf).count()
 
 
+def test_late_first_messages_land(spark):
+    """Unique messages years late are kept; only their replays drop."""
+    path, out, cp = work_dir(spark, "late"), work_dir(spark, "late-out"), work_dir(spark, "late-cp")
+    schema = "msg_id long, ts string"
+    for rows in ([(1, "2024-06-01"), (2, "2024-06-02")], [(3, "2020-01-01"), (1, "2024-06-01")], [(4, "2019-01-01"), (3, "2020-01-01"), (4, "2019-01-01")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        ingest.land_distinct(spark.readStream.schema(schema).parquet(path), out, cp)
+    assert sorted(r.msg_id for r in spark.read.parquet(out).collect()) == [1, 2, 3, 4]
+
+
+def test_upsert_stops_at_a_table_it_cannot_read(spark):
+    import pathlib
+
+    import pytest
+    path = work_dir(spark, "broken")
+    pathlib.Path(f"{path}/date=2024-01-01").mkdir(parents=True)
+    pathlib.Path(f"{path}/date=2024-01-01/part-0.parquet").write_bytes(b"no table")
+    with pytest.raises(Exception):
+        sinks.upsert_signals(spark, path, spark.createDataFrame([(dt.date(2024, 1, 1), "a", 1)], "date date, channel string, n int"))
+    assert pathlib.Path(f"{path}/date=2024-01-01/part-0.parquet").read_bytes() == b"no table"
+
+
 def test_matcher_stream_equals_batch_fold(spark):
     rows = sorted(candidates(11, 200), key=lambda r: (r[4], r[5], r[0]))
     path, out = work_dir(spark, "cands"), work_dir(spark, "match")

@@ -119,3 +119,25 @@ def test_types(spark):
 @pytest.mark.parametrize("n,high,medium,want", [(0, 0, 0, "NONE"), (2, 2, 0, "CRITICAL"), (1, 1, 0, "HIGH"), (1, 0, 1, "ELEVATED"), (1, 0, 0, "LOW")])
 def test_warning(spark, n, high, medium, want):
     assert one(spark, scoring.warning_level(F.lit(n), F.lit(high), F.lit(medium))) == want
+
+
+def test_markup_that_links_leave_behind(spark):
+    """What a removed link joins up is markup too."""
+    df = spark.createDataFrame([("[_](http://x.y)_ fire",), ("a [*b*](https://q.r)** c",)], "t string")
+    assert [r.c for r in df.select(tx.clean_text(F.col("t")).alias("c")).collect()] == ["fire", "a b c"]
+
+
+def test_long_feature_names_stay_whole(spark):
+    name = "unknown_" + "x" * 3000
+    got = spark.createDataFrame([(name,)], "f string").select(tx.readable_feature(F.col("f"), {}, {"s_a": "A"}, {}).alias("l")).first().l
+    assert got == "Unknown " + "x" * 3000
+
+
+def test_tenth_bank_is_loaded(spark):
+    from sigtide.session import work_dir
+    from sigtide.sources import sinks
+    path = work_dir(spark, "banks")
+    for k in range(1, 11):
+        sinks.save_bank(spark.createDataFrame([(k,)], "n int"), path, f"v{k}")
+    assert [r.n for r in sinks.load_bank(spark, path).collect()] == [10]
+    assert [r.n for r in sinks.load_bank(spark, path, "v9").collect()] == [9]
