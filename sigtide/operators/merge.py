@@ -17,16 +17,15 @@ TRACKED = ["area", "site_types", "combined", "defended", "fire", "shutdown", "ex
 
 
 def upsert(existing: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of both frames, the update winning per key.
+    """Rows of both frames, the update winning per key; of repeated update keys one row stays.
 
-    A union and one grouped pick: a single shuffle, and map tasks keep one row per key before it.
+    What the update replaces leaves by an anti-join, which moves the store only where the update's keys are too many to
+    broadcast; null keys are equal to each other.
     """
-    cols = existing.columns
-    rest = [c for c in cols if c not in keys]
-    both = (existing.select(*cols, F.lit(0).alias("_new"))
-            .unionByName(updates.select(*cols, F.lit(1).alias("_new"))))
-    picked = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("_new")).alias("_row"))
-    return picked.select(*keys, "_row.*").select(*cols)
+    cols, new = existing.columns, updates.select(*existing.columns).dropDuplicates(keys)
+    gone = new.select(*[F.col(k).alias(f"_k_{k}") for k in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    return existing.select(*cols).join(gone, same, "left_anti").unionByName(new)
 
 
 def candidate_confidence() -> Column:
