@@ -171,20 +171,33 @@ def assign_incidents(candidates: DataFrame, days: int = 2) -> DataFrame:
 
 
 def running_audit(assigned: DataFrame) -> DataFrame:
-    """Audit rows of the arrival-order merge for the running maxima and flags.
+    """Audit rows of the arrival-order merge for every tracked field; the area never changes, as candidates match within one.
 
-    The state before each candidate is the running maximum over the earlier ones of its incident,
-    taken hour by hour.
+    The state before each candidate comes from the earlier ones of its incident: running maxima hour by hour for flags, numbers,
+    severity and the first known scale, and for types the position at which each first came up.
     """
     conf = F.when(F.col("inserted"), F.col("confidence")).otherwise(candidate_confidence())
-    fields = [*FLAGS, "explosions", "confidence"]
-    base = assigned.withColumn("confidence", conf)
-    ran = running_before(base, ["incident_id"], F.date_trunc("hour", "ts"), ["ts", "seg", "cand_id"],
-                         {f"_old_{c}": (F.max, F.col(c)) for c in fields})
-    pairs = [F.struct(F.lit(c).alias("field"), F.col(f"_old_{c}").cast("string").alias("old_value"),
-                      F.greatest(f"_old_{c}", c).cast("string").alias("new_value")) for c in fields]
-    return (
-        ran.filter(~F.col("inserted")).select("incident_id", "cand_id", F.explode(F.array(*pairs)).alias("d"))
-        .filter(~F.col("d.old_value").eqNullSafe(F.col("d.new_value")))
-        .select("incident_id", "cand_id", "d.*")
-    )
+    fields, order = [*FLAGS, "explosions", "confidence"], ["ts", "seg", "cand_id"]
+    rank = F.struct(scoring.merge_rank(F.col("severity")).alias("rank"), "severity")
+    early = F.struct((-F.unix_micros(F.col("ts").cast("timestamp"))).alias("t"), (-F.col("seg")).alias("s"), (-F.col("cand_id")).alias("c"), "scale")
+    base = assigned.withColumns({"confidence": conf, "_pos": F.struct(*order), "_rank": rank, "_early": F.when(F.col("scale").isNotNull(), early)})
+    ran = running_before(base, ["incident_id"], F.date_trunc("hour", "ts"), order,
+                         {**{f"_old_{c}": (F.max, F.col(c)) for c in fields}, "_old_rank": (F.max, F.col("_rank")), "_old_early": (F.max, F.col("_early"))})
+    firsts = (base.select("incident_id", "_pos", F.posexplode("site_types").alias("_i", "_type"))
+              .groupBy("incident_id", "_type").agg(F.min(F.struct("_pos", "_i")).alias("_at"))
+              .groupBy("incident_id").agg(F.array_sort(F.collect_list(F.struct("_at", "_type"))).alias("_firsts")))
+    ran = ran.filter(~F.col("inserted")).join(firsts, "incident_id", "left")
+    none = F.array().cast("array<string>")
+    seen = F.transform(F.filter("_firsts", lambda t: t["_at"]["_pos"] < F.col("_pos")), lambda t: t["_type"])
+    old_types = tx.merge_type_arrays(none, F.coalesce(seen, none))
+    old_scale = F.col("_old_early.scale")
+    worse = F.col("_rank.rank") > F.col("_old_rank.rank")
+    values = {c: (F.col(f"_old_{c}"), F.greatest(f"_old_{c}", c)) for c in fields} | {
+        "severity": (F.col("_old_rank.severity"), F.when(worse, F.col("severity")).otherwise(F.col("_old_rank.severity"))),
+        "scale": (old_scale, F.coalesce(old_scale, "scale")),
+        "site_types": (old_types, tx.merge_type_arrays(old_types, F.coalesce("site_types", none))),
+    }
+    pairs = [F.struct(F.lit(c).alias("field"), _text(c, old).alias("old_value"), _text(c, new).alias("new_value")) for c, (old, new) in values.items()]
+    return (ran.select("incident_id", "cand_id", F.explode(F.array(*pairs)).alias("d"))
+            .filter(~F.col("d.old_value").eqNullSafe(F.col("d.new_value")))
+            .select("incident_id", "cand_id", "d.*"))
