@@ -121,6 +121,30 @@ def test_arrival_order_merge_equals_replay(spark):
             s["types"], s["conf"], s["exp"], s["sev"], s["fire"], s["scale"], s["n"])
 
 
+def test_hot_day_keeps_one_incident_per_type():
+    """Matching with bounded state equals a search of all incidents, over soft, mixed-case and empty types."""
+    from sigtide.operators.matching import SOFT, OpenIncidents, _unknown
+    rng = random.Random(3)
+    for _ in range(60):
+        store, every, clock = OpenIncidents(2), [], 0
+        for i in range(300):
+            d = rng.randint(0, 6)
+            types = rng.choice([["a"], ["B"], ["b", "c"], ["unknown"], ["other"], ["unknown", "a"], ["a", "unknown"], [], ["c", "other"], ["d", "A"]])
+            clock += 1
+            near = sorted((r for r in every if 0 <= d - r["day"] <= 2), key=lambda r: (r["day"], r["updated"]), reverse=True)
+            hit = next((r for r in near if {t.lower() for t in types} & {t.lower() for t in r["types"]}), None) or next((r for r in near if _unknown(types) or _unknown(r["types"])), None)
+            if hit is None:
+                hit = {"id": i, "day": d, "types": list(types), "updated": clock}
+                every.append(hit)
+            else:
+                union = [t for t in dict.fromkeys([*hit["types"], *types]) if t not in SOFT]
+                hit.update(types=union or hit["types"] or types or ["other"], updated=clock)
+            assert store.place(i, d, list(types)) == (hit["id"], hit["id"] == i)
+            if i % 50 == 49:   # as a stream does between batches
+                store = OpenIncidents(2, [dict(r) for r in store.rows()], store.clock)
+        assert len(store.rows()) <= 7 * 12
+
+
 def test_running_audit_counts_changes(spark):
     rows = candidates(9, 150)
     df = spark.createDataFrame(rows, CAND)
