@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from sigtide.operators import features as ft
 from sigtide.plans.common import LONG, long_daily, rounded
 from sigtide.plans.eval_plans import regime_rows
 from sigtide.plans.registry import query
+from sigtide.session import materialise
 
 CONFIGS = [{"outcome": s["name"], "lookback": lb, "horizon": h}
            for s in K.OUTCOMES for lb, h in ((5, 1), (10, 3), (10, 7))]
@@ -24,8 +27,8 @@ def grid_results(spark, sf):
 
 @query("ML7 A13")
 def outcome_grid_best(spark, sf):
-    """All outcomes over a coarser grid, best configuration per outcome under the positive-rate gate."""
-    grid = models.grid_search(long_daily(spark, sf), LONG, specs=K.OUTCOMES, lookbacks=[3, 10], horizons=[1, 3, 7], with_baseline=False)
+    """All outcomes over the whole grid, best configuration per outcome under the positive-rate gate."""
+    grid = models.grid_search(long_daily(spark, sf), LONG, specs=K.OUTCOMES, with_baseline=False)
     return evaluate.best_under_gate(grid, [*LONG, "outcome"])
 
 
@@ -67,22 +70,25 @@ def forecast_scores(spark, sf):
                          top.alias("top_features")).orderBy(*LONG, F.desc("prob"))
 
 
+def each_predictor(spark: SparkSession, sf: str, run) -> DataFrame:  # noqa: ANN001
+    """One trained bank of the predictor configurations, and what ``run`` makes of each, in one frame."""
+    d = long_daily(spark, sf)
+    trained = materialise(models.train_bank(d, LONG, K.PREDICTOR_CONFIGS, K.GRID_TARGETS), "predictors")
+    spec = {s["name"]: s for s in K.GRID_TARGETS}
+    parts = [run(d, LONG, trained, spec[c["outcome"]], c["lookback"], c["horizon"], cfg=c) for c in K.PREDICTOR_CONFIGS]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("ML21 A17")
 def backtest(spark, sf):
-    d = long_daily(spark, sf)
-    cfg = K.PREDICTOR_CONFIGS[2]
-    one = models.train_bank(d, LONG, [cfg], K.GRID_TARGETS)
-    spec = next(s for s in K.GRID_TARGETS if s["name"] == cfg["outcome"])
-    return models.backtest(d, LONG, one, spec, cfg["lookback"], cfg["horizon"])
+    """Every predictor configuration over the latest labelled days."""
+    return each_predictor(spark, sf, lambda *a, cfg: models.backtest(*a).withColumns({k: F.lit(v) for k, v in cfg.items()}))
 
 
 @query("ML11")
 def permutation_importance(spark, sf):
-    d = long_daily(spark, sf)
-    cfg = K.PREDICTOR_CONFIGS[0]
-    one = models.train_bank(d, LONG, [cfg], K.GRID_TARGETS)
-    spec = next(s for s in K.GRID_TARGETS if s["name"] == cfg["outcome"])
-    return models.permutation_importance(d, LONG, one, spec, cfg["lookback"], cfg["horizon"])
+    """Every predictor configuration, every feature."""
+    return each_predictor(spark, sf, lambda *a, cfg: models.permutation_importance(*a))
 
 
 @query("ML5")
