@@ -129,8 +129,10 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.when(F.size("lines") > 0, 1 - lost / every).otherwise(F.lit(0.0)).alias("kept_share"),
     )
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.repeat_percent * F.col("n_words"))
-    return d.withColumn("base_failed", failed).withColumn(
-        "kept", ~F.col("base_failed") & (F.col("kept_share") >= 1 - rules.max_loss))
+    d = d.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("kept_share") >= 1 - rules.max_loss))
+    # A later filter on a measure would be pushed to the scan with all that leads to it written out again at each use; it stops at a generator.
+    one = F.array(F.struct(*[c for c in d.columns if c != "doc_id"]))
+    return d.select("doc_id", F.inline(one))
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
