@@ -32,7 +32,7 @@ class ChunkTable:
         cut = [self.cut(t) for t in texts]
         if len(self.table) > self.rows:
             self.table.clear()
-        new = list({c for chunks in cut for c in chunks} - self.table.keys())
+        new = list(set().union(*cut).difference(self.table))
         for at in range(0, len(new), 20_000):
             part = new[at:at + 20_000]
             self.table.update((c, np.array(i, "<u4").tobytes()) for c, i in zip(part, self.encode(part), strict=True))

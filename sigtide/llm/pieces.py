@@ -49,7 +49,7 @@ def decode(encoded: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
             at = b.schema.get_field_index(ids_col)
             for k in range(0, b.num_rows, 64):
                 part = b.slice(k, 64)
-                text = [text_of(x or []) for x in part.column(at).to_pylist()]
+                text = [text_of(x.values.to_numpy(zero_copy_only=False).tolist()) if x.is_valid else "" for x in part.column(at)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(text, pa.string())], [*part.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, f"{kinds}, decoded string")
