@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 _STEP, _MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
-#: Characters that are worked on together; cuts fall on white space where there is any.
+#: Characters that are worked on together. Cuts fall anywhere: n-grams read on past them, and words are carried over (``Words``).
 BLOCK = 200_000
 
 
@@ -44,28 +44,53 @@ def ngrams(c: np.ndarray, sizes: range, bits: int) -> Iterator[tuple[int, np.nda
             yield n, _slot(h, n, bits)
 
 
-def subwords(c: np.ndarray, sizes: range, bits: int) -> Iterator[np.ndarray]:
-    """n-grams inside a word with its edges: white space may stand first or last, not inside."""
+def subwords(c: np.ndarray, sizes: range, bits: int, starts: int | None = None) -> Iterator[np.ndarray]:
+    """n-grams inside a word with its edges: white space may stand first or last, not inside. Only those that begin at the first ``starts`` places, if given."""
     blank = blanks(c)
     c = np.where(blank, np.uint64(32), c)
     upto = np.concatenate([[0], np.cumsum(blank)])
     for n, slot in ngrams(c, sizes, bits):
         inner = upto[n - 1:len(c)] - upto[1:len(c) - n + 2]
-        yield slot[inner == 0]
+        yield slot[:starts][inner[:starts] == 0]
+
+
+class Words:
+    """A 64-bit hash of every word in order, of a text that comes in parts: a word that a part leaves open is carried into the next."""
+
+    def __init__(self) -> None:
+        self.open, self.length = np.uint64(0), 0
+
+    def add(self, c: np.ndarray) -> np.ndarray:
+        """The words that end in this part."""
+        solid = ~blanks(c)
+        before = self.end() if self.length and len(c) and not solid[0] else np.zeros(0, np.uint64)
+        if not solid.any():
+            return before
+        new = solid & ~np.concatenate([[False], solid[:-1]])
+        starts = np.flatnonzero(new)
+        spot = np.arange(len(c)) - np.concatenate([np.zeros(starts[0], np.int64), np.repeat(starts, np.diff(np.concatenate([starts, [len(c)]])))])
+        power = _powers(int(spot.max()) + 1)
+        h = np.add.reduceat(np.where(solid, (c + np.uint64(1)) * power[spot], np.uint64(0)), starts)
+        if self.length:  # the first word goes on from the part before
+            h[:1] = h[:1] * np.uint64(pow(int(_STEP), self.length, 1 << 64)) + self.open
+        if solid[-1]:
+            self.open, self.length = h[-1], len(c) - int(starts[-1]) + (self.length if len(starts) == 1 else 0)
+            h = h[:-1]
+        else:
+            self.open, self.length = np.uint64(0), 0
+        return np.concatenate([before, h * _MIX])
+
+    def end(self) -> np.ndarray:
+        """The word that is still open, if there is one."""
+        last = np.array([self.open], np.uint64)[:self.length] * _MIX
+        self.open, self.length = np.uint64(0), 0
+        return last
 
 
 def words(c: np.ndarray) -> np.ndarray:
     """A 64-bit hash of every word in order."""
-    solid = ~blanks(c)
-    if not solid.any():
-        return np.zeros(0, np.uint64)
-    new = solid & ~np.concatenate([[False], solid[:-1]])
-    starts = np.flatnonzero(new)
-    spot = np.arange(len(c)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(c)]]))) if starts[0] == 0 else None
-    if spot is None:
-        spot = np.arange(len(c)) - np.concatenate([np.zeros(starts[0], np.int64), np.repeat(starts, np.diff(np.concatenate([starts, [len(c)]])))])
-    power = _powers(int(spot.max()) + 1)
-    return np.add.reduceat(np.where(solid, (c + np.uint64(1)) * power[spot], np.uint64(0)), starts) * _MIX
+    w = Words()
+    return np.concatenate([w.add(c), w.end()])
 
 
 _POWERS = np.ones(1, np.uint64)

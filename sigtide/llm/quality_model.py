@@ -32,14 +32,21 @@ class Model:
 
 
 def features(text: str) -> Iterator[np.ndarray]:
-    """Slots of a whole text's features, in arrays."""
-    for part in ht.blocks(text, 0):
+    """Slots of a whole text's features, in arrays. Blocks bound the arrays of characters only: words and word runs are those of the whole text."""
+    words, found = ht.Words(), []
+    overlap = SIZES.stop - 2
+    for at, part in enumerate(ht.blocks(text, overlap)):
         c = ht.codes(part)
-        w = ht.words(c)
+        last = at * ht.BLOCK + len(part) == len(text)
+        own = c if last else c[:ht.BLOCK]
+        w = words.add(own)
+        if last:
+            w = np.concatenate([w, words.end()])
+        found.append(w)
         yield (w >> np.uint64(64 - BITS)).astype(np.int64)
-        yield from ht.subwords(c, SIZES, BITS)
-        seen = ht.seen_before(w)
-        yield np.repeat(np.where(seen, SEEN, NEW), MARK_WEIGHT)
+        yield from ht.subwords(c, SIZES, BITS, len(own))
+    seen = ht.seen_before(np.concatenate(found))
+    yield np.repeat(np.where(seen, SEEN, NEW), MARK_WEIGHT)
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Model:

@@ -63,6 +63,25 @@ def test_scores_of_whole_texts_do_not_depend_on_blocks(monkeypatch):
     assert np.allclose(whole[0], toxicity.total(text, m)) and whole[1] == toxicity.slots(text, seen).tolist() and not seen.any()
 
 
+def test_quality_features_of_whole_texts_do_not_depend_on_blocks(monkeypatch):
+    rng = np.random.default_rng(2)
+    passage = " ".join("".join(rng.choice(list("abcdeé"), rng.integers(1, 9))) for _ in range(2000))
+    texts = [" \n ".join([passage] * 3), "x" * 5000 + "  \t" + "y" * 3000 + " x", passage[:777] + " " * 1600 + passage, "", " ", "a b c", "x" * 776 + " y z", "x" * 777 + " y z", "x" * 1554]
+    counts = lambda t: np.bincount(np.concatenate(list(quality_model.features(t))), minlength=1 << quality_model.BITS).tolist()
+    whole = [counts(t) for t in texts]
+    monkeypatch.setattr(ht, "BLOCK", 777)
+    assert [counts(t) for t in texts] == whole
+    monkeypatch.setattr(ht, "BLOCK", 1)
+    assert [counts(t) for t in texts[3:]] == whole[3:]
+
+
+def test_repeats_far_back_in_a_long_text_count_as_seen():
+    passage = " ".join(f"w{i}" for i in range(ht.BLOCK // 5))
+    assert len(passage) > ht.BLOCK
+    marks = list(quality_model.features(" ".join([passage] * 3)))[-1]
+    assert abs(float((marks == quality_model.SEEN).mean()) - 2 / 3) < 1e-3
+
+
 def test_words_and_ngrams_against_loops():
     text = "  Ab cd\n\nab cd ab cd ab xé😀 "
     c = ht.codes(text)
