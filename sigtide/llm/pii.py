@@ -2,8 +2,9 @@
 
 DataFrame expressions only. One pass over the texts keeps, per document, the spans of the fixed patterns and the candidate tokens
 (words with a digit or an at sign) with the two words before them. Candidates that are what a fixed pattern takes are the seeds. Then, on
-distinct (context, token) edges: a context is as good as the share of its tokens that are believed, tokens are believed by the good
-contexts they stand in, for a few rounds. Candidates behind good contexts are new spans of the context's leading kind.
+distinct (context, token) edges: a context is good when enough of its tokens are believed, and a token behind a good context is believed,
+so that it counts towards other contexts; round after round, until no context is added. Candidates behind good contexts are new spans of
+the context's leading kind.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: A phone or card number, or else a word with a digit or an at sign.
 CANDIDATE = rf"(?<![^\x20\x09-\x0D])(?:{PHONE}|{CARD}|[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+)"
+#: Tried at the starts of words alone, and possessive, so that a long piece is read a few times at most.
+LAST_TWO = r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++[\x20\x09-\x0D]++[^\x20\x09-\x0D]++)[\x20\x09-\x0D]*+\z"
 SPAN = "array<struct<start:int,stop:int,token:string>>"
 #: Numbers that are added up at once; see ``_before``.
 STEP = 256
@@ -32,9 +35,12 @@ STEP = 256
 
 @dataclass(frozen=True)
 class Bootstrap:
-    """Rounds of the bootstrap and what a context must show: distinct seeds among its tokens, share of belief, length of a token."""
+    """What a context must show: distinct seeds or believed identifiers among its tokens, share of believed tokens, length of an identifier.
 
-    rounds: int = 3
+    ``rounds`` is a bound on the rounds, for comparison; None goes on until no context is added.
+    """
+
+    rounds: int | None = None
     min_seeds: int = 3
     min_share: float = 0.8
     min_length: int = 6
@@ -128,7 +134,7 @@ def evidence(docs: DataFrame) -> DataFrame:
         # A token goes without the marks around it; its context is the last two words of the piece before it.
         lead = F.length(F.regexp_extract(s["token"], r"^[^\p{L}\p{N}+]*", 0))
         bare = F.regexp_replace(s["token"], r"^[^\p{L}\p{N}+]+|[^\p{L}\p{N}]+$", "")
-        two = F.regexp_extract(F.right(gap, F.lit(80)), r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1)
+        two = F.regexp_extract(gap, LAST_TWO, 1)
         return F.struct((s["start"] + lead).alias("start"), (s["start"] + lead + F.length(bare)).alias("stop"), bare.alias("token"),
                         F.regexp_replace(_normal(two), r"[\x20\x09-\x0D]+", " ").alias("context"))
 
@@ -147,19 +153,23 @@ def discover(found: DataFrame, b: Bootstrap = Bootstrap()) -> DataFrame:
     c = found.select("key", F.explode("cands").alias("c")).select("key", "c.*", _kind(F.col("c.token")).alias("kind"))
     c = stored(c, "candidates")
     edges = stored(c.groupBy("context", "token").agg(F.max("kind").alias("kind")), "edges")
-    belief = edges.select("token", F.when(F.col("kind").isNotNull(), 1.0).otherwise(0.0).alias("belief")).groupBy("token").agg(F.max("belief").alias("belief"))
-    for _ in range(b.rounds):
-        seen = edges.join(belief, "token")
-        seeds = [F.count_if(F.col("kind") == k).alias(k) for k in KINDS]
-        context = seen.groupBy("context").agg(F.sum("belief").alias("sum"), F.count("*").alias("n"), *seeds)
+    # What is believed never gets less, and contexts and tokens keep the kind with which they came in: the rounds end, and their order changes nothing.
+    tokens = edges.where("kind is not null").select("token", F.col("kind").alias("as_kind"), F.lit(True).alias("counts")).distinct()
+    context, done = edges.select("context", F.lit("").alias("as_kind"), F.lit(-1).alias("round")).limit(0), 0
+    while b.rounds is None or done < b.rounds:
+        seen = edges.select("context", "token").join(tokens, "token", "left")
+        votes = [F.count_if(F.col("counts") & (F.col("as_kind") == k)).alias(k) for k in KINDS]
         lead = F.greatest(*[F.struct(F.col(k).alias("n"), F.lit(k).alias("kind")) for k in KINDS])
-        context = context.select("context", (F.col("sum") / F.col("n")).alias("share"), lead.alias("lead"), sum(F.col(k) for k in KINDS).alias("seeds"))
-        context = context.where((F.col("share") >= b.min_share) & (F.col("seeds") >= b.min_seeds))
-        context = stored(context.select("context", "share", F.col("lead.kind").alias("as_kind")), "contexts")
-        # A token is doubted only as far as every good context it stands in fails.
-        shown = edges.join(context, "context").groupBy("token").agg(F.sum(F.log(F.lit(1.0000001) - F.col("share"))).alias("doubt"))
-        belief = stored(belief.join(shown, "token", "left").select(
-            "token", F.greatest("belief", 1 - F.exp(F.coalesce("doubt", F.lit(0.0)))).alias("belief")), "belief")
+        good = seen.groupBy("context").agg(F.count("as_kind").alias("believed"), F.count("*").alias("n"), *votes)
+        good = good.where((F.col("believed") / F.col("n") >= b.min_share) & (sum(F.col(k) for k in KINDS) >= b.min_seeds))
+        good = good.select("context", lead["kind"].alias("as_kind"), F.lit(done).alias("round")).join(context, "context", "left_anti")
+        context = stored(context.unionByName(good), "contexts")
+        added, done = context.where(F.col("round") == done), done + 1
+        if added.isEmpty():
+            break
+        # Tokens too short for an identifier are believed, but do not count as seeds.
+        shown = edges.join(added, "context").groupBy("token").agg(F.max("as_kind").alias("as_kind")).join(tokens, "token", "left_anti")
+        tokens = stored(tokens.unionByName(shown.withColumn("counts", F.length("token") >= b.min_length)), "tokens")
     new = c.where(F.col("kind").isNull() & (F.length("token") >= b.min_length)).join(context, "context")
     span = F.struct("start", F.array_position(F.array(*map(F.lit, KINDS)), "as_kind").cast("int").alias("rank"),
                     F.concat(F.lit("found_"), "as_kind").alias("kind"), "stop", "token")

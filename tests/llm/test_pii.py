@@ -72,6 +72,28 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert all([s.kind for s in got[i].spans] == ["email"] for i, _ in known)
 
 
+def test_discovered_identifiers_open_further_contexts(spark):
+    """A chain: seeds, a context, new tokens, a context of these alone, new tokens, ... over more rounds than three."""
+    size, leads = [256, 64, 16, 4, 1], ["please reach", "kindly contact", "or else", "failing which"]
+    token = lambda g, i: f"u{i}@mail{i}.example" if g == 0 else f"user{g}x{i}-at-mail"
+    rows = [f"we say {lead} {token(g + d, i)} today." for g, lead in enumerate(leads) for d in (0, 1) for i in range(size[g + d])]
+    rows += [f"we say about page number{i}x today." for i in range(20)]
+    got = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(rows):
+        want = [] if "about page" in t else [("email" if "@" in t else "found_email", t.split()[4].rstrip("."))]
+        assert [(s.kind, t[s.start:s.stop]) for s in got[i].spans] == want, t
+
+
+def test_contexts_are_whole_words_however_long(spark):
+    far, last = "thanks " + "reach" * 30, "a" * 60 + " " + "b" * 60
+    rows = [f"we {far} u{i}@mail.example" for i in range(8)] + [f"we {far} user{i}-at-mail" for i in range(2)]
+    rows += [f"we x{last} u{i}@mail.example" for i in range(8)] + [f"we y{last} user{i}-at-home" for i in range(2)]
+    long = ["a " * 100_000 + "1", "a" * 200_000 + " 1", "a" + " " * 200_000 + "1", "a" * 100_000 + " " + "b" * 100_000 + "  1", "1 " + "a b " * 50_000]
+    got = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(list(enumerate(rows + long)), "doc_id long, text string")).collect()}
+    assert [[s.kind for s in got[i].spans] for i in range(20)] == [["email"]] * 8 + [["found_email"]] * 2 + [["email"]] * 8 + [[]] * 2
+    assert not any(got[20 + i].spans for i in range(len(long)))
+
+
 def test_redaction(spark):
     rows = [(1, "é mail a.b@c.de or 10.0.0.1, +1 (375) 555-4393."), (2, "nothing here"), (3, None), (3, None), (None, "x y@z.com"), (4, "4111 1111 1111 1111")]
     d = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("text", "doc_id", "'q' as `key`", "1 as spans")
