@@ -126,6 +126,26 @@ def best_params(grid: DataFrame, keys: list[str]) -> DataFrame:
     return usable.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.*")
 
 
+def bank_configs(grid: DataFrame, keys: list[str], horizons: list[int] = K.FORECAST_HORIZONS, fixed: list[dict] = K.PREDICTOR_CONFIGS) -> DataFrame:
+    """Distinct (keys, outcome, lookback, horizon) that a bank is trained on, as the grid finds them for each series.
+
+    Per outcome and forecast horizon the lookback with the highest AUC (all folds before some, some before none; ties go to the smaller, so that
+    an outcome nobody could score has its row as well), per outcome the best parameters, and the fixed configurations.
+    """
+    auc = F.coalesce(_number("auc"), F.lit(-1.0))
+    rank = F.struct((F.col("n_folds") >= K.CV_SPLITS).cast("int"), auc, -F.col("lookback"))
+    per_horizon = grid.filter(F.col("horizon").isin(horizons)).groupBy(*keys, "outcome", "horizon").agg(F.max_by("lookback", rank).alias("lookback"))
+    parts = [per_horizon, best_params(grid, [*keys, "outcome"])]
+    if fixed:
+        each = F.explode(F.array(*[F.struct(*[F.lit(c[k]).alias(k) for k in ("outcome", "lookback", "horizon")]) for c in fixed]))
+        parts.append(grid.select(*keys).distinct().withColumn("_c", each).select(*keys, "_c.*"))
+    cols = [*keys, "outcome", "lookback", "horizon"]
+    out = parts[0].select(*cols)
+    for part in parts[1:]:
+        out = out.union(part.select(*cols))
+    return out.distinct()
+
+
 def best_by(grid: DataFrame, keys: list[str], min_folds: int = 3) -> DataFrame:
     """Row with the highest AUC per key among those with enough folds."""
     rank = F.struct(F.col("auc"), -F.col("lookback"), -F.col("horizon"))

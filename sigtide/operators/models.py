@@ -198,6 +198,26 @@ def train_bank(daily: DataFrame, keys: list[str], configs: list[dict], specs: li
     return table.groupBy(*keys, "lookback").applyInPandas(fit, keyed_schema(daily, keys, MODEL_SCHEMA + extra))
 
 
+def train_chosen(daily: DataFrame, keys: list[str], chosen: DataFrame, specs: list[dict], lookbacks: list[int] = K.LOOKBACKS,
+                 horizons: list[int] = K.HORIZONS) -> DataFrame:
+    """One model row per row of ``chosen`` (keys, outcome, lookback, horizon), which may differ from series to series.
+
+    The lookbacks and horizons must cover those of ``chosen``. A configuration without a row of features is one class.
+    """
+    feats = ft.feature_names()
+    table = training_table(daily, keys, lookbacks, specs, horizons)
+
+    def fit(key: tuple, g: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        g, rows = g.sort_values("row_no"), []
+        for c in own.sort_values(["outcome", "horizon"]).itertuples():
+            x, y = _cell(g, feats, int(c.horizon), c.outcome)
+            rows.append(dict(zip(keys, key)) | {"outcome": c.outcome, "lookback": int(key[-1]), "horizon": int(c.horizon)} | _fit_row(x, y, feats))
+        return _frame(rows, [*keys, *_columns(MODEL_SCHEMA)])
+
+    by = [*keys, "lookback"]
+    return table.groupBy(*by).cogroup(chosen.groupBy(*by)).applyInPandas(fit, keyed_schema(daily, keys, MODEL_SCHEMA))
+
+
 def choose_window(bank: DataFrame, keys: list[str], fallback: int | None = K.RECENT_FALLBACK) -> DataFrame:
     """Of each configuration's training windows the one with the highest mean less deviation of its fold AUCs, the earlier
     of two as good; only windows with all folds compete, and the fallback stands in where none has them."""

@@ -11,14 +11,9 @@ from sigtide import constants as K
 from sigtide.operators import clusters, evaluate, models
 from sigtide.operators import features as ft
 from sigtide.plans.common import LONG, long_daily, rounded
-from sigtide.plans.eval_plans import regime_rows
 from sigtide.plans.registry import query
 from sigtide.session import materialise
 
-CONFIGS = [{"outcome": s["name"], "lookback": lb, "horizon": h}
-           for s in K.OUTCOMES for lb, h in ((5, 1), (10, 3), (10, 7))]
-
-
 @query("ML3 ML6 J10 U2")
 def grid_results(spark, sf):
     """Every lookback by every horizon for both targets of every series, with lift over the random baseline."""
@@ -45,7 +40,11 @@ def stability(spark, sf):
 
 
 def bank(spark: SparkSession, sf: str) -> DataFrame:
-    return models.train_bank(long_daily(spark, sf), LONG, CONFIGS, K.OUTCOMES)
+    """Every outcome at every forecast horizon with the lookback that the grid finds, at its best parameters, and the predictor configurations."""
+    d = long_daily(spark, sf)
+    grid = materialise(models.grid_search(d, LONG, specs=K.OUTCOMES, with_baseline=False), "bank_grid")
+    chosen = materialise(evaluate.bank_configs(grid, LONG), "bank_configs")
+    return materialise(models.train_chosen(d, LONG, chosen, K.OUTCOMES), "bank")
 
 
 @query("ML20 ML22 ML25")
@@ -64,7 +63,7 @@ def recent_window_bank(spark, sf):
 def forecast_scores(spark, sf):
     """Latest window of each series scored by every model of its bank."""
     d = long_daily(spark, sf)
-    scored = models.score(ft.latest_window(d, LONG, [5, 10]), bank(spark, sf), LONG)
+    scored = models.score(ft.latest_window(d, LONG, K.LOOKBACKS), bank(spark, sf), LONG)
     top = F.array_join(F.transform("top_features", lambda t: t["feature"]), ", ")
     return scored.select(*LONG, "outcome", "lookback", "horizon", "status", "prob", "predicted", "cv_auc", "data_through",
                          top.alias("top_features")).orderBy(*LONG, F.desc("prob"))
@@ -114,28 +113,32 @@ def signal_profiles(spark, sf):
     return p.withColumn("dominant", F.array_join("dominant", ", ")).withColumn("suppressed", F.array_join("suppressed", ", "))
 
 
-@query("ML14 ML15")
-def detected_regimes(spark, sf):
-    """Regimes found by K-means, k by silhouette, then assigned to every day."""
+def detected(spark: SparkSession, sf: str) -> tuple[DataFrame, list[list[float]]]:
+    """Every day with its regime, and the centroids that K-means found, k by silhouette."""
     rolled = clusters.rolling_signals(long_daily(spark, sf), LONG)
     scaled = clusters.standardise(rolled, LONG, K.REGIME_SIGNALS).persist()
     k = clusters.choose_k(scaled, K.REGIME_SIGNALS, scaled.count())
     centroids = clusters.fit_kmeans(scaled, K.REGIME_SIGNALS, k, seed=0)
-    return clusters.assign_regimes(scaled, LONG, K.REGIME_SIGNALS, centroids).select(*LONG, "date", "regime", "dist", "ood")
+    return clusters.assign_regimes(scaled, LONG, K.REGIME_SIGNALS, centroids), centroids
+
+
+@query("ML14 ML15")
+def detected_regimes(spark, sf):
+    """Regimes found by K-means, k by silhouette, then assigned to every day."""
+    return detected(spark, sf)[0].select(*LONG, "date", "regime", "dist", "ood")
 
 
 @query("ML17 R4")
 def regime_bank(spark, sf):
-    regimes = regime_rows(spark, sf)
+    regimes, _ = detected(spark, sf)
     return clusters.regime_summary(clusters.train_regime_bank(long_daily(spark, sf), LONG, regimes), regimes, LONG)
 
 
 @query("ML18 J11")
 def regime_predictions(spark, sf):
-    from sigtide.plans.eval_plans import _CENTROIDS
-    d, regimes = long_daily(spark, sf), regime_rows(spark, sf)
+    d, (regimes, centroids) = long_daily(spark, sf), detected(spark, sf)
     trained = clusters.train_regime_bank(d, LONG, regimes)
     current = regimes.groupBy(*LONG).agg(F.max_by(F.struct("regime", "ood"), "date").alias("c")).select(*LONG, "c.*")
-    serving = clusters.serve_regime(trained, current, _CENTROIDS, LONG)
+    serving = clusters.serve_regime(trained, current, centroids, LONG)
     scored = models.score(ft.latest_window(d, LONG, [2, 10]), serving, LONG)
     return scored.select(*LONG, "outcome", "lookback", "horizon", "regime", "ood", "status", "prob", "predicted", "cv_auc", "n")

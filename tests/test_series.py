@@ -257,3 +257,37 @@ def test_summary_rejections(spark):
     g = spark.createDataFrame(rows, "target string, lookback int, horizon int, auc double, auc_std double, pos_rate double, lift double, n_folds int")
     got = [(r["target"], r["horizon"], r["tier"]) for r in evaluate.select_configs(g, ["target"]).orderBy("target", "rank").collect()]
     assert got == [("t", 1, 2), ("u", 1, 3), ("u", 2, 3)]
+
+
+def test_bank_takes_its_configurations_from_the_grid(spark):
+    cols = "ch string, outcome string, lookback int, horizon int, auc double, auc_std double, pos_rate double, n_folds int"
+    rows = [("a", "o", 1, 1, 0.6, 0.1, 0.2, 3), ("a", "o", 2, 1, 0.7, 0.1, 0.2, 3), ("a", "o", 3, 1, 0.7, 0.1, 0.2, 3), ("a", "o", 4, 1, 0.9, 0.1, 0.2, 2),
+            ("a", "o", 1, 4, 0.8, 0.1, 0.2, 3), ("a", "o", 5, 2, None, None, 0.0, 0), ("a", "o", 6, 2, None, None, 0.0, 0), ("b", "o", 1, 1, 0.6, 0.1, 0.2, 3)]
+    got = evaluate.bank_configs(spark.createDataFrame(rows, cols), ["ch"], [1, 2], [{"outcome": "p", "lookback": 7, "horizon": 9}])
+    # Per horizon, best parameters (two folds are enough there), fixed; (b, o, 1, 1) is both and comes once.
+    assert sorted(map(tuple, got.collect())) == [("a", "o", 2, 1), ("a", "o", 4, 1), ("a", "o", 5, 2), ("a", "p", 7, 9), ("b", "o", 1, 1), ("b", "p", 7, 9)]
+
+
+def test_bank_of_chosen_configurations_equals_the_fixed_bank(spark):
+    rng, start = np.random.RandomState(3), dt.date(2022, 1, 1)
+    counters = [*K.INCIDENT_DAILY, *K.SIGNALS_EXT]
+    rows = [(s, start + dt.timedelta(days=i), *[int(v) for v in rng.poisson(0.6, len(counters))]) for s in "ab" for i in range(80)]
+    d = spark.createDataFrame(rows, "ch string, date date, " + ", ".join(f"{c} long" for c in counters))
+    chosen = [("a", K.ANY, 2, 1), ("a", K.SIGNIFICANT, 2, 3), ("b", K.ANY, 3, 3)]
+    got = models.train_chosen(d, ["ch"], spark.createDataFrame(chosen, "ch string, outcome string, lookback int, horizon int"), K.GRID_TARGETS, [2, 3], [1, 3]).collect()
+    assert sorted((r.ch, r.outcome, r.lookback, r.horizon) for r in got) == sorted(chosen)
+    configs = [{"outcome": o, "lookback": lb, "horizon": h} for _, o, lb, h in chosen]
+    want = {(r.ch, r.outcome, r.lookback, r.horizon): r for r in models.train_bank(d, ["ch"], configs, K.GRID_TARGETS).collect()}
+    for r in got:
+        w = want[r.ch, r.outcome, r.lookback, r.horizon]
+        assert (r.status, r.n, r.n_folds) == (w.status, w.n, w.n_folds) and np.allclose(r.coef or [], w.coef or [])
+
+
+def test_regime_bank_uses_the_detected_regimes(spark, sf, monkeypatch):
+    from sigtide.plans import model_plans
+
+    monkeypatch.setattr(clusters, "choose_k", lambda *a, **k: 2)
+    monkeypatch.setattr(clusters, "fit_kmeans", lambda *a, **k: [[100.0] * 4, [0.0] * 4])
+    monkeypatch.setattr(clusters, "train_regime_bank", lambda daily, keys, regimes: regimes)
+    monkeypatch.setattr(clusters, "regime_summary", lambda bank, regimes, keys: bank)
+    assert {r.regime for r in model_plans.regime_bank(spark, sf).select("regime").distinct().collect()} == {-1, 1}
