@@ -54,9 +54,10 @@ def model_bank(spark, sf):
 
 @query("ML19")
 def recent_window_bank(spark, sf):
+    """Every predictor configuration with the training window chosen for it."""
     feats = clusters.model_columns(ft.feature_names())
-    b = models.train_bank(long_daily(spark, sf), LONG, [K.PREDICTOR_CONFIGS[0]], K.GRID_TARGETS, feats, K.RECENT_WINDOWS)
-    return models.choose_window(b, LONG).select(*LONG, "outcome", "status", "n", "cv_auc", "cv_std", "recent_rows")
+    b = models.train_bank(long_daily(spark, sf), LONG, K.PREDICTOR_CONFIGS, K.GRID_TARGETS, feats, K.RECENT_WINDOWS)
+    return models.choose_window(b, LONG).select(*LONG, "outcome", "lookback", "horizon", "status", "n", "cv_auc", "cv_std", "recent_rows")
 
 
 @query("ML20 ML23 ML26 S6 O4 O5 P13")

@@ -291,3 +291,13 @@ def test_regime_bank_uses_the_detected_regimes(spark, sf, monkeypatch):
     monkeypatch.setattr(clusters, "train_regime_bank", lambda daily, keys, regimes: regimes)
     monkeypatch.setattr(clusters, "regime_summary", lambda bank, regimes, keys: bank)
     assert {r.regime for r in model_plans.regime_bank(spark, sf).select("regime").distinct().collect()} == {-1, 1}
+
+
+def test_recent_window_bank_has_every_predictor_configuration(spark, monkeypatch):
+    from sigtide.plans import model_plans
+
+    p = planted(80).assign(macro_area=lambda d: d["ch"]).drop(columns="ch")
+    monkeypatch.setattr(model_plans, "long_daily", lambda spark, sf: spark.createDataFrame(p))
+    got = model_plans.recent_window_bank(spark, "").collect()
+    want = {(s, c["outcome"], c["lookback"], c["horizon"]) for s in "ab" for c in K.PREDICTOR_CONFIGS}
+    assert len(got) == len(want) and {(r.macro_area, r.outcome, r.lookback, r.horizon) for r in got} == want
