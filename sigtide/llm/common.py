@@ -45,6 +45,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Write to the shared folder in buckets of ``key`` and read back: later groupings and cogroupings by ``key`` need no shuffle of it.
+
+    The table's name lives in the session's catalogue only while it is looked up; the files stay, as those of ``stored``.
+    """
+    spark = df.sparkSession
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * df.rdd.getNumPartitions())
+    label = f"{name}_{uuid.uuid4().hex}"
+    (df.write.bucketBy(min(buckets, 100_000), key).option("path", work_dir(spark, name)).option("compression", "zstd").saveAsTable(label))
+    out = spark.table(label)
+    spark.sql(f"DROP TABLE {label}")
+    return out
+
+
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Connected components: columns ``node`` and ``root`` (its component's smallest node), nodes with an edge only.
 

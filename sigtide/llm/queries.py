@@ -10,9 +10,12 @@ from sigtide.llm import pieces, pii, secrets, warc
 from sigtide.llm.ann import nearest
 from sigtide.llm.common import table
 from sigtide.llm.packing import pack
+from sigtide.llm.phrases import collocations
 from sigtide.llm.quality_model import quality
 from sigtide.llm.quality_rules import quality_rules
+from sigtide.llm.repeats import remove_repeats
 from sigtide.llm.simhash import near_duplicates
+from sigtide.llm.spelling import spelling_variants
 from sigtide.llm.sql import SQL
 from sigtide.llm.toxicity import toxicity
 
@@ -75,6 +78,20 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = remove_repeats(table(spark, sf_dir, "documents"))
+    lost = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
+    return d.select("doc_id", "n_words", lost.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: f for k, f in sorted(globals().items()) if k.startswith("op") and k[2].isdigit()}
 

@@ -72,4 +72,34 @@ a AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_str
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {_R.min_words} OR 100 * n_repeat_words > {_R.repeat_percent} * n_words AS base_failed,
   NOT (n_words < {_R.min_words} OR 100 * n_repeat_words > {_R.repeat_percent} * n_words) AND share >= 1 - {_R.max_loss} AS kept FROM a"""
 
-SQL: dict[str, str] = {"op1_secret_scan": _SECRETS, "op7_warc": _WARC, "op9_quality_rules": _QUALITY}
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_PHRASES = f"""WITH pieces AS MATERIALIZED (SELECT row_number() OVER () AS p, lang, piece FROM (SELECT coalesce(lang, 'und') AS lang,
+  unnest(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)),
+t AS (SELECT p, lang, unnest(w) AS w1, unnest(range(1, len(w) + 1)) AS i FROM (SELECT p, lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM pieces)),
+g AS MATERIALIZED (SELECT lang, w1, lead(w1) OVER s AS w2, lead(w1, 2) OVER s AS w3 FROM t WINDOW s AS (PARTITION BY p ORDER BY i)),
+f1 AS MATERIALIZED (SELECT lang, w1, count(*) AS a FROM g GROUP BY ALL),
+f2 AS MATERIALIZED (SELECT lang, w1, w2, count(*) AS a FROM g WHERE w2 IS NOT NULL GROUP BY ALL HAVING a >= 10),
+f3 AS MATERIALIZED (SELECT lang, w1, w2, w3, count(*) AS a FROM g WHERE w3 IS NOT NULL GROUP BY ALL HAVING a >= 10),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f1 GROUP BY lang),
+longer AS (SELECT lang, w1, w2, max(a) AS longest FROM (SELECT lang, w1, w2, a FROM f3 UNION ALL SELECT lang, w2, w3, a FROM f3) GROUP BY ALL),
+cuts AS (SELECT c.lang, c.w1 || ' ' || c.w2 AS phrase, c.a, 1 AS j, x.a AS l, y.a AS r FROM f2 AS c LEFT JOIN longer AS m USING (lang, w1, w2)
+  JOIN f1 AS x ON x.lang = c.lang AND x.w1 = c.w1 JOIN f1 AS y ON y.lang = c.lang AND y.w1 = c.w2 WHERE NOT coalesce(100 * m.longest >= 50 * c.a, false)
+  UNION ALL SELECT c.lang, c.w1 || ' ' || c.w2 || ' ' || c.w3, c.a, 1, x.a, y.a FROM f3 AS c
+  JOIN f1 AS x ON x.lang = c.lang AND x.w1 = c.w1 JOIN f2 AS y ON y.lang = c.lang AND y.w1 = c.w2 AND y.w2 = c.w3
+  UNION ALL SELECT c.lang, c.w1 || ' ' || c.w2 || ' ' || c.w3, c.a, 2, x.a, y.a FROM f3 AS c
+  JOIN f2 AS x ON x.lang = c.lang AND x.w1 = c.w1 AND x.w2 = c.w2 JOIN f1 AS y ON y.lang = c.lang AND y.w1 = c.w3),
+best AS (SELECT *, CAST((1000000::HUGEINT * a * a) // (l::HUGEINT * r) AS BIGINT) AS score FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best JOIN n USING (lang) QUALIFY rank <= 2000"""
+
+_REPEATS = f"""WITH {_DOCS}, w AS (SELECT rid, doc_id, list_filter(string_split_regex(text, {_lit(_BLANK)}), lambda x: x <> '') AS w FROM docs),
+g AS (SELECT rid, doc_id, i, array_to_string(w[i:i + 19], ' ') AS g FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM w)),
+later AS (SELECT rid, i FROM g QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS LAST, i) > 1),
+gone AS (SELECT rid, list(p) AS ps FROM (SELECT DISTINCT rid, unnest(range(i, i + 20)) AS p FROM later) GROUP BY rid),
+kept AS (SELECT rid, string_agg(word, ' ' ORDER BY p) AS kept FROM (SELECT rid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM w)
+  ANTI JOIN (SELECT rid, unnest(ps) AS p FROM gone) USING (rid, p) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN gone USING (rid) LEFT JOIN kept USING (rid)"""
+
+SQL: dict[str, str] = {"op1_secret_scan": _SECRETS, "op7_warc": _WARC, "op9_quality_rules": _QUALITY, "op11_phrase_collocations": _PHRASES,
+                       "op12_substring_dedup": _REPEATS}

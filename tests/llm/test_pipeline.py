@@ -1,5 +1,6 @@
 """The corpus pipeline stage by stage against plain versions, and the guard of the entry module."""
 
+import os
 import pathlib
 import re
 import subprocess
@@ -113,6 +114,8 @@ def test_entry_without_the_subpackage(tmp_path):
             (tmp_path / "c" / "sigtide" / p.name).symlink_to(p)
     (tmp_path / "c" / "__spark_entry__.py").symlink_to(root / "__spark_entry__.py")
     code = "import __spark_entry__ as e; print(len([n for n in e.queries() if n.startswith('op')]), len(e.queries()) > 100)"
-    run = {d: subprocess.run([sys.executable, "-P", "-c", f"import sys; sys.path.insert(0, {str(tmp_path / d)!r}); {code}"], capture_output=True, text=True, cwd=tmp_path) for d in "abc"}
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYTHONPATH": os.pathsep.join(
+        p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p and not (pathlib.Path(p) / "sigtide").exists())}
+    run = {d: subprocess.run([sys.executable, "-P", "-c", f"import sys; sys.path.insert(0, {str(tmp_path / d)!r}); {code}"], capture_output=True, text=True, cwd=tmp_path, env=env) for d in "abc"}
     assert run["a"].stdout.strip() == "0 True" and run["c"].stdout.strip() == "0 True", (run["a"].stderr, run["c"].stderr)
     assert run["b"].returncode and "no_such_module" in run["b"].stderr

@@ -11,7 +11,7 @@ TABLES = "documents embeddings pages benchmark labels conversations".split()
 
 def test_all_operators_are_registered():
     names = entry.queries()
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 11)} and "pipeline" in names
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 14)} and "pipeline" in names
     assert set(q.oracle_sql()) <= set(entry.oracle_sql()) <= set(names)
 
 
