@@ -1,6 +1,6 @@
 """Phrase collocations by set-oriented mining (SETM) over sorted occurrence relations.
 
-Level 1 numbers the words of a part (a bounded run of documents of one task) by first appearance and writes the occurrence
+Level 1 numbers the words of a part (a bounded run of documents of one task) and writes the occurrence
 relation, in order of piece and position, with a dictionary of the part's distinct words and their counts. Each further level
 counts the groups over all parts, semi-joins every part's relation with those that are frequent, and merge-joins it with
 itself at the next position of the same piece. Dictionaries, never occurrences, are shuffled: the relation lies in buckets
@@ -20,83 +20,61 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigtide.llm import chunks
 from sigtide.llm.common import bucketed, stored
 
-#: Words of a part, about: what one task holds in memory at a time.
-PART_WORDS = 4_000_000
+#: Bytes of text of a part: what one task holds in memory at a time, with some ten times that for its numbers.
+PART_BYTES = 12_000_000
 MIN_COUNT, MAX_WORDS, TOP, ABSORBED_PERCENT, SCALE = 10, 3, 2000, 50, 1_000_000
 #: Piece ends become line feeds, tabs become spaces; then words stand between single spaces.
 _CUT = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
 _END, _NONE, _FIRST = 0, 1, 2  # a piece's end, the empty string between two spaces, the first word's number
 
 
-class _Numbers(dict):
-    """Words to numbers; a new word gets the next one."""
-
-    def __init__(self, numbers: Iterator[int]):
-        super().__init__({b"\n": _END, b"": _NONE})
-        self.numbers = numbers
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = next(self.numbers)
-        return n
-
-
-class _Part:
-    def __init__(self) -> None:
-        self.numbers = count(_FIRST)
-        self.by_lang: dict[str, _Numbers] = {}
-        self.counts = np.zeros(1, np.int64)
-        self.words = 0
-
-    def add(self, texts: list[bytes], langs: list[str]) -> np.ndarray:
-        """The occurrences of some texts in order: a number per word, one mark between pieces."""
-        runs = []
-        for text, lang in zip(texts, langs, strict=True):
-            number = self.by_lang.get(lang) or self.by_lang.setdefault(lang, _Numbers(self.numbers))
-            words = text.lower().translate(_CUT).replace(b"\n", b" \n ").split(b" ")
-            words.append(b"\n")
-            runs.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
-        ids = np.concatenate(runs)
-        ids = ids[ids != _NONE]
-        ids = ids[(ids != _END) | np.concatenate([[True], ids[:-1] != _END])]
-        seen = np.bincount(ids)
-        seen[:len(self.counts)] += self.counts[:len(seen)]
-        self.counts = np.concatenate([seen, self.counts[len(seen):]])
-        self.words += int((ids != _END).sum())
-        return ids
-
-    def dictionary(self) -> Iterator[tuple[list[str], np.ndarray, list[str]]]:
-        for lang, number in self.by_lang.items():
-            words = [w for w in number if w not in (b"\n", b"")]
-            for at in range(0, len(words), 100_000):
-                some = words[at:at + 100_000]
-                yield [lang] * len(some), np.array([number[w] for w in some], np.int32), [w.decode("utf-8", "surrogatepass") for w in some]
-
-
-def _relation(batches: Iterator[pa.RecordBatch], part_words: int) -> Iterator[pa.RecordBatch]:
+def _numbered(texts: list[bytes], first: int) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """Texts of one language to their occurrences in order (a number per word from ``first`` on, one mark between pieces), words, their numbers and counts."""
+    cut = [t.lower().translate(_CUT).replace(b"\n", b" \n ") + b" \n" for t in texts]
+    got = pc.split_pattern(pa.array(cut, pa.binary()).cast(pa.string()), " ").flatten().dictionary_encode()
+    at, words = got.indices.to_numpy(), got.dictionary
+    number = np.arange(first, first + len(words), dtype=np.int32)
+    for mark, n in (("\n", _END), ("", _NONE)):
+        place = pc.index(words, mark).as_py()
+        if place >= 0:
+            number[place] = n
+    ids = number[at]
+    ids = ids[ids != _NONE]
+    ids = ids[(ids != _END) | np.concatenate([[True], ids[:-1] != _END])]
+    real = number >= _FIRST
+    return ids, words.filter(pa.array(real)), number[real], np.bincount(at, minlength=len(words))[real]
+
+
+def _relation(batches: Iterator[pa.RecordBatch], part_bytes: int) -> Iterator[pa.RecordBatch]:
     """(lang, text) to rows of the relation (part, ids) and of the part's dictionary (part, lang, id, word, n)."""
     names = ["part", "ids", "lang", "id", "word", "n"]
     kinds = [pa.int64(), pa.list_(pa.int32()), pa.string(), pa.int32(), pa.string(), pa.int64()]
+    number = count(TaskContext.get().partitionId() << 12)  # parts of a task; one of over 4,096 would be of 48 GB
 
     def rows(many: int, **given) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(given[c], t) if c in given else pa.nulls(many, t) for c, t in zip(names, kinds, strict=True)], names)
 
-    def end(part: _Part, at: int) -> Iterator[pa.RecordBatch]:
-        for lang, ids, words in part.dictionary():
-            yield rows(len(words), part=np.full(len(words), at), lang=lang, id=ids, word=words, n=part.counts[ids])
-
-    number = count(TaskContext.get().partitionId() << 12)  # parts of a task; a task of over 4,096 would be of 16 billion words
-    at, part = next(number), _Part()
+    def part(by_lang: dict[str, list[bytes]]) -> Iterator[pa.RecordBatch]:
+        at, first = next(number), _FIRST
+        for lang, texts in by_lang.items():
+            ids, words, numbers, n = _numbered(texts, first)
+            first += len(numbers) + 2
+            yield rows(1, part=[at], ids=[ids])
+            for a in range(0, len(numbers), 100_000):
+                z = min(a + 100_000, len(numbers))
+                yield rows(z - a, part=np.full(z - a, at), lang=[lang] * (z - a), id=numbers[a:z], word=words[a:z], n=n[a:z])
+
+    size, by_lang = 0, {}
     for b in batches:
-        langs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-        for some in chunks.groups(texts):
-            yield rows(1, part=[at], ids=[part.add(texts[some], langs[some])])
-            if part.words >= part_words:
-                yield from end(part, at)
-                at, part = next(number), _Part()
-    yield from end(part, at)
+        for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            by_lang.setdefault(lang, []).append(text)
+            size += len(text)
+            if size >= part_bytes:
+                yield from part(by_lang)
+                size, by_lang = 0, {}
+    yield from part(by_lang)
 
 
 def _extend_last(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -115,21 +93,21 @@ def _extend(left: pa.Table, right: pa.Table) -> pa.Table:
     empty = pa.table([pa.array([], t) for t in kinds], names)
     if not left.num_rows or not right.num_rows:
         return empty
-    ids = pa.concat_arrays([c.flatten() for c in left.column("ids").chunks]).to_numpy()
+    ids = np.concatenate([c.flatten().to_numpy() for c in left.column("ids").chunks])
     frequent, g = right.column("id").to_numpy(), right.column("g").to_numpy()
-    place = np.full(max(int(ids.max()), int(frequent.max())) + 1, -1, np.int64)
-    place[frequent] = np.arange(len(frequent))
+    place = np.full(max(int(ids.max()), int(frequent.max())) + 1, -1, np.int32)
+    place[frequent] = np.arange(len(frequent), dtype=np.int32)
     kept = place[ids]  # the semi-join
-    one, two = kept[:-1], kept[1:]
-    both = (one >= 0) & (two >= 0)
+    both = (kept[:-1] >= 0) & (kept[1:] >= 0)
     if not both.any():
         return empty
-    keys, inverse, n = np.unique(one[both] * len(frequent) + two[both], return_inverse=True, return_counts=True)
+    pairs = kept[:-1][both].astype(np.int64) * len(frequent) + kept[1:][both]
+    keys, n = np.unique(pairs, return_counts=True)
     m, part = len(keys), left.column("part")[0].as_py()
     groups = pa.table([pa.array(np.full(m, part)), pa.nulls(m, kinds[1]), pa.array(np.arange(m, dtype=np.int32) + _FIRST),
                        pa.array(g[keys // len(frequent)]), pa.array(g[keys % len(frequent)]), pa.array(n)], names)
     longer = np.zeros(len(ids), np.int32)
-    longer[:-1][both] = inverse + _FIRST
+    longer[:-1][both] = np.searchsorted(keys, pairs) + _FIRST
     longer = longer[(longer != _END) | np.concatenate([[True], longer[:-1] != _END])]
     return pa.concat_tables([groups, pa.table([pa.array([part]), pa.array([longer], kinds[1]), *(pa.nulls(1, t) for t in kinds[2:])], names)])
 
@@ -144,7 +122,7 @@ def _frequent(level: DataFrame, keys: list[str], least: int) -> DataFrame:
 
 
 def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = MIN_COUNT, max_words: int = MAX_WORDS,
-         part_words: int = PART_WORDS) -> tuple[DataFrame, list[DataFrame]]:
+         part_bytes: int = PART_BYTES) -> tuple[DataFrame, list[DataFrame]]:
     """Words of each language and, level by level, all frequent phrases.
 
     First frame: lang, n (all word occurrences). Others, one per number of words from 1: lang, words array, f, ``prefixes`` and ``suffixes``
@@ -152,7 +130,7 @@ def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least:
     """
     d = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"),
                     F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"))
-    level = bucketed(d.mapInArrow(partial(_relation, part_words=part_words), "part long, ids array<int>, lang string, id int, word string, n long"),
+    level = bucketed(d.mapInArrow(partial(_relation, part_bytes=part_bytes), "part long, ids array<int>, lang string, id int, word string, n long"),
                      "part", "relation")
     total = level.where("id is not null").groupBy("lang").agg(F.sum("n").alias("n"))
     keys, found = ["lang", "word"], []
@@ -178,7 +156,7 @@ def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least:
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", top: int = TOP, least: int = MIN_COUNT,
-                 max_words: int = MAX_WORDS, part_words: int = PART_WORDS) -> DataFrame:
+                 max_words: int = MAX_WORDS, part_bytes: int = PART_BYTES) -> DataFrame:
     """Each language's ``top`` phrases of 2 to ``max_words`` words: lang, rank, phrase, a, l, r, n, score.
 
     A phrase's score is that of its lowest cut, floor(1,000,000 a a / (l r)) in exact decimals, ties to the shortest first part. Phrases that stand inside a
@@ -186,7 +164,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     Null texts are empty and give nothing; a null language is ``und``. Repeated rows count as often as they come; ids are not
     looked at, other columns are ignored. A table without a phrase of ``least`` occurrences gives no rows. The largest ``a`` for exact decimals is 10^15.
     """
-    total, found = mine(docs, text_col, lang_col, least, max_words, part_words)
+    total, found = mine(docs, text_col, lang_col, least, max_words, part_bytes)
     scored = []
     for size, p in enumerate(found[1:], 2):
         cut = lambda j: f"struct(cast({SCALE} as decimal(38,0)) * f * f div (cast(prefixes[{j - 1}] as decimal(38,0)) * suffixes[{size - j - 1}]) as score, {j} as j, prefixes[{j - 1}] as l, suffixes[{size - j - 1}] as r)"

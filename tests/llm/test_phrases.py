@@ -43,13 +43,13 @@ WORDS = st.lists(st.sampled_from(["a", "B", "b", "Ä", "c,", ".", "\t", "a\n", "
 @given(st.lists(st.tuples(WORDS, st.sampled_from(["en", "de", None])), min_size=1, max_size=12))
 def test_equals_brute_force(spark, docs):
     df = spark.createDataFrame(docs, "text string, lang string").repartition(3)
-    assert run(df, top=5, least=2, part_words=20) == brute(docs, 5, 2)
+    assert run(df, top=5, least=2, part_bytes=60) == brute(docs, 5, 2)
 
 
 def test_parts_and_ties_do_not_matter(spark):
     docs = [("x y z. x y! y z", "en")] * 30 + [("p q; r s", "en")] * 30 + [("x y z", None)] * 12
     df = spark.createDataFrame(docs, "text string, lang string").repartition(5)
-    assert run(df, part_words=3) == run(df) == brute(docs, 2000, 10)
+    assert run(df, part_bytes=9) == run(df) == brute(docs, 2000, 10)
 
 
 def test_counts_beyond_64_bits(spark):
