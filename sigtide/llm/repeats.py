@@ -2,11 +2,11 @@
 
 A window of 20 words holds at least one whole block of 10 that starts at a multiple of 10. So every text's non-overlapping
 blocks are the index, every rolling window of 10 words is a probe, and a repeat holds a probe that hits a block elsewhere. Hits
-are extended to the 20-word windows around them, which are judged by 128 bits over all documents: all but the first occurrence go, and
+are extended to the 20-word windows around them, which are judged by 96 bits over all documents: all but the first occurrence go, and
 runs of such windows are the maximal repeats.
 
 Documents lie in parts (bounded runs of documents of one task), bucketed by part, so they are never shuffled. A part sends
-its distinct probes as sorted 32-bit numbers within a slice of the hash range, gets its hits back, sends one row per distinct candidate
+its distinct probes as sorted numbers within a slice of the hash range, gets its hits back, sends one row per distinct candidate
 window, and gets the verdicts back. A passage with any number of copies is one row per part.
 """
 
@@ -14,7 +14,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
-from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
@@ -23,33 +22,49 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigtide.llm.common import bucketed, stored
+from sigtide.llm.common import bucketed, whole_text
 
 WINDOW, BLOCK = 20, 10
 #: Bytes of text of a part: what one task holds in memory at a time, with some ten times that for its hashes.
 PART_BYTES = 12_000_000
+#: Bits of a probe's hash within its slice.
+LOW = 30
 _BASE, _MIX = 0x100000001B3, np.uint64(0x9E3779B97F4A7C15)
 _RANGES = "array<struct<start:int,stop:int>>"
 
 
-def _parts(batches: Iterator[pa.RecordBatch], part_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Rows with the number of their part, which is closed once it has so many bytes."""
-    task, size, part = TaskContext.get().partitionId() << 24, 0, 0
+def _numbered(batches: Iterator[pa.RecordBatch], part_bytes: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) to parts: documents as the numbers of their words (doc_id, at), and one row of the part's distinct words."""
+    task, number = TaskContext.get().partitionId() << 24, 0
+    names = ["part", "doc_id", "at", "words"]
+
+    def part(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(rows).combine_chunks()
+        split = pc.ascii_split_whitespace(t.column(1).combine_chunks())
+        got = split.flatten().dictionary_encode()
+        at, none = got.indices.to_numpy(), pc.index(got.dictionary, "").as_py()
+        real = at != none  # white space at a text's ends leaves empty strings
+        upto = np.concatenate([[0], np.cumsum(real)])
+        ends = upto[np.concatenate([[0], np.cumsum(split.value_lengths().to_numpy(zero_copy_only=False))])]
+        docs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at[real], pa.int32()))
+        me, words = pa.array(np.full(t.num_rows, task + number)), pa.list_(pa.binary())
+        yield from pa.table([me, t.column(0), docs, pa.nulls(t.num_rows, words)], names).to_batches(max_chunksize=1000)
+        yield pa.RecordBatch.from_arrays([me[:1], pa.nulls(1, t.column(0).type), pa.nulls(1, docs.type),
+                                          pa.ListArray.from_arrays(pa.array([0, len(got.dictionary)], pa.int32()), got.dictionary.cast(pa.binary()))], names)
+
+    size, rows = 0, []
     for b in batches:
-        lengths = np.diff(np.frombuffer(b.column(1).buffers()[1], np.int32)[b.column(1).offset:][:b.num_rows + 1]) if b.num_rows else np.zeros(0, int)
-        numbers = np.zeros(b.num_rows, np.int64)
+        lengths = pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False)
+        a = 0
         for i, n in enumerate(lengths):
-            if size >= part_bytes:
-                size, part = 0, part + 1
-            numbers[i] = task + part
             size += int(n)
-        yield pa.RecordBatch.from_arrays([pa.array(numbers), *b.columns], ["part", *b.schema.names])
-
-
-class _Number(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
+            if size >= part_bytes:
+                yield from part([*rows, b.slice(a, i + 1 - a)])
+                size, rows, a, number = 0, [], i + 1, number + 1
+        if a < b.num_rows:
+            rows.append(b.slice(a))
+    if rows:
+        yield from part(rows)
 
 
 def _rolling(h: np.ndarray, size: int) -> np.ndarray:
@@ -73,15 +88,22 @@ def _rolling(h: np.ndarray, size: int) -> np.ndarray:
 class _Words:
     """The words of a part's documents one after the other."""
 
-    def __init__(self, texts: pa.ChunkedArray):
-        number = _Number()
-        runs = [np.fromiter(map(number.__getitem__, words), np.int32, len(words)) for words in (t.as_py().split() for t in texts)]
-        self.lengths = np.array([len(r) for r in runs], np.int64)
+    def __init__(self, t: pa.Table):
+        self.docs = t.filter(pc.is_valid(t.column("at")))
+        self.distinct = [w for x in t.filter(pc.is_valid(t.column("words"))).column("words").chunks for w in x.flatten().to_pylist()]
+        self.lengths = pc.list_value_length(self.docs.column("at")).to_numpy().astype(np.int64)
         self.ends = np.cumsum(self.lengths)
-        self.numbers = np.concatenate([*runs, np.zeros(0, np.int32)])
-        self.doc = np.repeat(np.arange(len(runs)), self.lengths)
+        self.numbers = np.concatenate([np.zeros(0, np.int32), *(c.flatten().to_numpy() for c in self.docs.column("at").chunks)])
+        self.doc = np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
         self.at = np.arange(len(self.numbers))
-        self.distinct = list(number)
+
+    def ranks(self) -> np.ndarray:
+        """The rank of each document of the part: by id, null ids last, then as stored."""
+        at = pc.sort_indices(self.docs.select(["doc_id"]).append_column("nth", pa.array(np.arange(self.docs.num_rows))),
+                             sort_keys=[("doc_id", "ascending"), ("nth", "ascending")], null_placement="at_end").to_numpy()
+        rank = np.empty(len(at), np.int64)
+        rank[at] = np.arange(len(at))
+        return rank
 
     def windows(self, size: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """(places where a window of so many words of one document starts, their hashes)."""
@@ -95,28 +117,34 @@ class _Words:
 
 
 def _keys(h: np.ndarray, bits: int) -> np.ndarray:
-    """A slice number of so many bits with 32 bits of the hash behind it."""
-    return h >> np.uint64(32 - bits)
+    """A slice number of so many bits with LOW bits of the hash behind it."""
+    return h >> np.uint64(64 - LOW - bits)
+
+
+def _written(ordered: np.ndarray) -> bytes:
+    """Sorted numbers as their steps, all lowest bytes first, then all second bytes and so on: steps are small, so that the later ones are zeros to the codec."""
+    return np.diff(ordered.astype("<u4"), prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _read(values: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.cumsum(np.ascontiguousarray(np.frombuffer(x.as_py(), np.uint8).reshape(4, -1).T).view("<u4")[:, 0], dtype=np.uint32) for x in values]
 
 
 def _probes(t: pa.Table, bits: int) -> pa.Table:
     """One part: per slice its distinct windows, those among them that are aligned blocks, and those that it has twice."""
-    w = _Words(t.column("text"))
+    w = _Words(t)
     starts, h = w.windows(BLOCK)
     keys = _keys(h, bits)
     first = (w.ends - w.lengths)[w.doc[starts]]
+    blocks = np.unique(keys[(starts - first) % BLOCK == 0])
     every, n = np.unique(keys, return_counts=True)
-    lists = [every, np.unique(keys[(starts - first) % BLOCK == 0]), every[n > 1]]
-    edges = np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(32)
+    lists = [every, blocks, every[n > 1]]
+    edges = np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(LOW)
     cuts = [np.searchsorted(x, edges) for x in lists]
     some = np.flatnonzero(np.diff(cuts[0]))
-    part = t.column("part")[0].as_py()
-    cols = [pa.array([x[c[s]:c[s + 1]].astype("<u4").tobytes() for s in some], pa.binary()) for x, c in zip(lists, cuts, strict=True)]
-    return pa.table([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), part)), *cols], ["slice", "part", "probes", "blocks", "twice"])
-
-
-def _flat(values: pa.ChunkedArray) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_py(), "<u4") for x in values]
+    low = np.uint64((1 << LOW) - 1)
+    cols = [pa.array([_written(x[c[s]:c[s + 1]] & low) for s in some], pa.binary()) for x, c in zip(lists, cuts, strict=True)]
+    return pa.table([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), t.column("part")[0].as_py())), *cols], ["slice", "part", "probes", "blocks", "twice"])
 
 
 def _among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -128,49 +156,45 @@ def _among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
 
 def _hits(t: pa.Table) -> pa.Table:
     """One slice: of each part's probes those that hit a block and are found at two places at least."""
-    blocks = np.unique(np.concatenate(_flat(t.column("blocks"))))
-    hits = [x[_among(x, blocks)] for x in _flat(t.column("probes"))]
+    blocks = np.unique(np.concatenate(_read(t.column("blocks"))))
+    hits = [x[_among(x, blocks)] for x in _read(t.column("probes"))]
     found, n = np.unique(np.concatenate(hits), return_counts=True)
-    again = np.union1d(found[n > 1], np.concatenate(_flat(t.column("twice"))))
+    again = np.union1d(found[n > 1], np.concatenate(_read(t.column("twice"))))
     hits = [x[_among(x, again)] for x in hits]
-    some = np.array([bool(len(x)) for x in hits])
-    out = pa.table([t.column("part"), t.column("slice"), pa.array([x.tobytes() for x in hits], pa.binary())], ["part", "slice", "hits"])
-    return out.filter(pa.array(some))
+    out = pa.table([t.column("part"), t.column("slice"), pa.array([_written(x) for x in hits], pa.binary())], ["part", "slice", "hits"])
+    return out.filter(pa.array([bool(len(x)) for x in hits]))
 
 
-def _ranks(t: pa.Table) -> np.ndarray:
-    """The rank of each row of a part: by id, null ids last, then by text hash."""
-    at = pc.sort_indices(t, sort_keys=[("doc_id", "ascending"), ("tie", "ascending")], null_placement="at_end").to_numpy()
-    rank = np.empty(t.num_rows, np.int64)
-    rank[at] = np.arange(t.num_rows)
-    return rank
+def _ends(order: np.ndarray, *of: np.ndarray) -> np.ndarray:
+    """Where, in an order that puts equal ones together, a new one begins."""
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for x in of:
+        new[1:] |= x[order][1:] != x[order][:-1]
+    return new
 
 
 def _candidates(docs: pa.Table, hits: pa.Table, bits: int) -> pa.Table:
     """One part: the 20-word windows around its hits, one row per distinct window, for its first occurrence there."""
-    kinds = {"a": pa.int64(), "b": pa.int64(), "doc_id": docs.schema.field("doc_id").type, "tie": pa.int64(), "part": pa.int64(), "twice": pa.bool_()}
-    empty = pa.table([pa.array([], k) for k in kinds.values()], list(kinds))
+    kinds = {"a": pa.int64(), "b": pa.int64(), "doc_id": docs.schema.field("doc_id").type, "part": pa.int64(), "twice": pa.bool_()}
     if not docs.num_rows or not hits.num_rows:
-        return empty
-    w = _Words(docs.column("text"))
-    known = np.sort(np.concatenate([x.astype(np.uint64) + (np.uint64(s) << np.uint64(32))
-                                    for s, x in zip(hits.column("slice").to_pylist(), _flat(hits.column("hits")), strict=True)]))
+        return pa.table([pa.array([], k) for k in kinds.values()], list(kinds))
+    w = _Words(docs)
+    known = np.sort(np.concatenate([x.astype(np.uint64) + (np.uint64(s) << np.uint64(LOW))
+                                    for s, x in zip(hits.column("slice").to_pylist(), _read(hits.column("hits")), strict=True)]))
     starts, h = w.windows(BLOCK)
-    hit = np.zeros(len(w.at) + 1, np.int64)
+    hit = np.zeros(len(w.at) + 1, np.int32)
     hit[starts] = _among(_keys(h, bits), known)
-    upto = np.concatenate([[0], np.cumsum(hit)])
+    upto = np.concatenate([[0], np.cumsum(hit, dtype=np.int32)])
     starts, a = w.windows(WINDOW)
     around = upto[starts + WINDOW - BLOCK + 1] > upto[starts]
-    starts, a, b = starts[around], a[around], w.windows(WINDOW, 1)[1][around]
-    place = _ranks(docs)[w.doc[starts]] << 32 | starts
-    by = np.lexsort((place, b, a))
-    a, b, doc = a[by], b[by], w.doc[starts[by]]
-    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+    starts, a, b = starts[around], a[around], w.windows(WINDOW, 1)[1][around] >> np.uint64(32)
+    order = np.lexsort((w.ranks()[w.doc[starts]] << 32 | starts, b, a))
+    first = np.flatnonzero(_ends(order, a, b))
     many = np.diff(np.concatenate([first, [len(a)]])) > 1
-    doc = pa.array(doc[first])
-    cols = [pa.array(a[first].view(np.int64)), pa.array(b[first].view(np.int64)), docs.column("doc_id").take(doc), docs.column("tie").take(doc),
-            pa.array(np.full(len(first), docs.column("part")[0].as_py())), pa.array(many)]
-    return pa.table(cols, list(kinds))
+    first = order[first]
+    ids = w.docs.column("doc_id").take(pa.array(w.doc[starts[first]]))
+    return pa.table([pa.array(a[first].view(np.int64)), pa.array(b[first].view(np.int64)), ids, pa.array(np.full(len(first), docs.column("part")[0].as_py())), pa.array(many)], list(kinds))
 
 
 def _cleaned(docs: pa.Table, judged: pa.Table) -> pa.Table:
@@ -179,14 +203,14 @@ def _cleaned(docs: pa.Table, judged: pa.Table) -> pa.Table:
     ranges = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
     if not docs.num_rows:
         return pa.table([pa.array([], k) for k in (docs.schema.field("doc_id").type, pa.string(), pa.int64(), ranges)], names)
-    w = _Words(docs.column("text"))
-    gone = np.zeros(len(w.at) + 1, np.int64)
+    w = _Words(docs)
+    gone = np.zeros(len(w.at) + WINDOW + 1, np.int32)
     if judged.num_rows:
         a, b = (judged.column(c).to_numpy().view(np.uint64) for c in "ab")
         by = np.lexsort((b, a))
-        a, b, own = a[by], b[by], judged.column("own").to_numpy(zero_copy_only=False)[by]
+        a, b, own = a[by], b[by], judged.column("own").to_numpy()[by]
         starts, x = w.windows(WINDOW)
-        y = w.windows(WINDOW, 1)[1]
+        y = w.windows(WINDOW, 1)[1] >> np.uint64(32)
         at = np.searchsorted(a, x)
         maybe = np.flatnonzero(at < len(a))
         same = np.zeros(len(x), bool)
@@ -197,44 +221,41 @@ def _cleaned(docs: pa.Table, judged: pa.Table) -> pa.Table:
             at[maybe] += 1
             maybe = maybe[at[maybe] < len(a)]
         starts, at = starts[same], at[same]
-        place = _ranks(docs)[w.doc[starts]] << 32 | starts
-        by = np.lexsort((place, at))
-        first = np.concatenate([[True], at[by][1:] != at[by][:-1]]) if len(by) else np.zeros(0, bool)
-        later = starts[by][~(first & own[at[by]])]
-        np.add.at(gone, later, 1)
-        np.add.at(gone, later + WINDOW, -1)
-    cover = np.cumsum(gone[:-1]) > 0
-    kept, removed = [], []
-    for text, n, end in zip(docs.column("text"), w.lengths, w.ends, strict=True):
-        words, out = text.as_py().split(), cover[end - n:end]
-        edge = np.flatnonzero(np.diff(np.concatenate([[False], out, [False]])))
-        removed.append([{"start": int(i), "stop": int(j)} for i, j in zip(edge[::2], edge[1::2], strict=True)])
-        if len(edge):
-            words = [x for x, o in zip(words, out.tolist(), strict=True) if not o]
-        kept.append(b" ".join(words))
-    return pa.table([docs.column("doc_id"), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(w.lengths), pa.array(removed, ranges)], names)
+        order = np.lexsort((w.ranks()[w.doc[starts]] << 32 | starts, at))
+        later = starts[order][~(_ends(order, at) & own[at[order]])]
+        gone[later] += 1  # a place starts one window
+        gone[later + WINDOW] -= 1
+    out = np.cumsum(gone, dtype=np.int32)[:len(w.at)] > 0
+    change = np.concatenate([[True], w.doc[1:] != w.doc[:-1]]) if len(out) else np.zeros(0, bool)
+    begin = np.flatnonzero(out & (change | ~np.concatenate([[False], out[:-1]])))
+    end = np.flatnonzero(out & np.concatenate([change[1:] | ~out[1:], [True]])) + 1
+    starts = w.ends - w.lengths
+    of = w.doc[begin]
+    spans = pa.StructArray.from_arrays([pa.array((begin - starts[of]).astype(np.int32)), pa.array((end - starts[of]).astype(np.int32))], fields=list(ranges.value_type))
+    removed = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(len(w.ends) + 1)), pa.int32()), spans)
+    left = np.concatenate([[0], np.cumsum(~out)])[np.concatenate([[0], w.ends])]
+    words = pa.array(w.distinct, pa.binary()).cast(pa.string()).take(pa.array(w.numbers[~out]))
+    kept = pc.binary_join(pa.ListArray.from_arrays(pa.array(left, pa.int32()), words), " ")
+    return pa.table([w.docs.column("doc_id"), kept, pa.array(w.lengths), removed], names)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
     """Per document: doc_id, kept (its kept words joined by spaces), n_words, removed (ranges of word numbers, end exclusive).
 
     A word goes if a run of 20 words over it also starts earlier: in a document of a smaller id, or before in the same one. Judged on the input.
-    Null texts have no words. Null ids count as the largest. Rows that repeat an id stand in the order of a hash of their texts; of
-    equal rows one is first. Other columns are ignored; an empty table gives an empty result; a text longer than a part is a part alone.
+    Null texts have no words. Null ids count as the largest. Rows that repeat an id stand in the order in
+    which they are stored; of equal rows one is first. Other columns are ignored; an empty table gives an empty result; a text longer than a part is a part alone.
     """
-    d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"))
+    d = whole_text(docs, id_col, text_col)
     kind = d.schema["doc_id"].dataType.simpleString()
-    d = d.mapInArrow(partial(_parts, part_bytes=part_bytes), f"part long, doc_id {kind}, text binary")
-    d = bucketed(d.withColumn("tie", F.xxhash64("text")), "part", "parts")
+    d = bucketed(d.mapInArrow(partial(_numbered, part_bytes=part_bytes), f"part long, doc_id {kind}, at array<int>, words array<binary>"), "part", "words")
     parts = d.select("part").distinct().count()
-    bits = min(16, max(6, ceil(log2(2 * parts + 1))))  # a slice holds the distinct windows of about half a part, until there are 32,768 parts
-    probes = d.select("part", "text").groupBy("part").applyInArrow(lambda t: _probes(t, bits), "slice int, part long, probes binary, blocks binary, twice binary")
+    bits = min(16, max(6, (2 * parts).bit_length()))  # a slice holds the distinct windows of half a part, until there are 32,768 parts
+    probes = d.groupBy("part").applyInArrow(lambda t: _probes(t, bits), "slice int, part long, probes binary, blocks binary, twice binary")
     hits = probes.groupBy("slice").applyInArrow(_hits, "part long, slice int, hits binary")
-    found = d.groupBy("part").cogroup(hits.groupBy("part")).applyInArrow(
-        lambda x, y: _candidates(x, y, bits), f"a long, b long, doc_id {kind}, tie long, part long, twice boolean")
+    found = d.groupBy("part").cogroup(hits.groupBy("part")).applyInArrow(lambda t, x: _candidates(t, x, bits), f"a long, b long, doc_id {kind}, part long, twice boolean")
     same = Window.partitionBy("a", "b")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", "part")
-    judged = (found.withColumn("place", place).withColumn("first", F.min("place").over(same)).withColumn("n", F.count("*").over(same))
-              .where("n > 1 or twice").select("part", "a", "b", (F.col("place") == F.col("first")).alias("own")))
-    judged = stored(judged, "judged")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "part")
+    judged = found.withColumn("place", place).withColumn("own", F.col("place") == F.min("place").over(same))
+    judged = judged.where("twice or not own").select("part", "a", "b", "own")  # a part's first occurrences stay where no verdict comes back
     return d.groupBy("part").cogroup(judged.groupBy("part")).applyInArrow(_cleaned, f"doc_id {kind}, kept string, n_words long, removed {_RANGES}")
