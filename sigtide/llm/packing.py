@@ -2,7 +2,7 @@
 
 Both work on how many pieces there are of each length, so their input is bounded by the capacity, however many
 documents there are. The plan says which ranks within a length go to which sequences; every piece knows its rank from a
-count per (task, length) and its place within that, and looks its sequence up.
+count per (part, length) and its place within that, and looks its sequence up.
 """
 
 from __future__ import annotations
@@ -10,12 +10,13 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sigtide.llm import chunks
 from sigtide.llm.common import stored, whole_text
@@ -137,33 +138,33 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
 
 def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text",
                with_ids: bool = False) -> DataFrame:
-    """Pieces of every document: doc_id, piece, start, length, ids_crc32, the task and the rank there; ``ids`` if asked for."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = chunks.byte_bpe(tokenizer)
-        task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        end = np.array([END], "<u4").tobytes()
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            for part in chunks.groups(texts):
-                rows, bodies = [], []
-                for i, raw in zip(range(part.start, part.stop), ids_of(texts[part]), strict=True):
-                    raw += end
-                    n = len(raw) // 4
-                    cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
-                    for k, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                        rows.append((i, k, a, z - a, zlib.crc32(memoryview(raw)[4 * a:4 * z]), seen[z - a]))
-                        seen[z - a] += 1
-                        if with_ids:
-                            bodies.append(np.frombuffer(raw, "<i4")[a:z])
-                c = np.array(rows, np.int64).T
-                cols = [b.column(0).take(pa.array(c[0])), pa.array(c[1].astype(np.int32)), *map(pa.array, c[2:5]),
-                        pa.array(np.full(len(rows), task, np.int32)), pa.array(c[5])]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"]
-                yield pa.RecordBatch.from_arrays(cols + [pa.array(bodies, pa.list_(pa.int32()))] * with_ids, names + ["ids"] * with_ids)
-
+    """Pieces of every document: doc_id, piece, start, length, ids_crc32, the part and the rank there; ``ids`` if asked for."""
     d = whole_text(docs, id_col, text_col)
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, task int, nth long"
-                        + ", ids array<int>" * with_ids)
+    key = to_arrow_type(d.schema["doc_id"].dataType)
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"] + ["ids"] * with_ids
+    kinds = [key, pa.int32(), *[pa.int64()] * 5] + [pa.list_(pa.int32())] * with_ids
+
+    def finish(part: int, documents: Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]) -> pa.Table:
+        seen, tables = np.zeros(capacity + 1, np.int64), [pa.table([pa.array([], k) for k in kinds], names)]
+        end = np.array([END], "<u4").tobytes()
+        for keys, ends, ids in documents:
+            rows, bodies, flat = [], [], ids.astype("<u4").tobytes()
+            for i, (x, y) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+                raw = flat[4 * x:4 * y] + end
+                n = y - x + 1
+                cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
+                for k, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                    rows.append((i, k, a, z - a, zlib.crc32(memoryview(raw)[4 * a:4 * z]), part, seen[z - a]))
+                    seen[z - a] += 1
+                    if with_ids:
+                        bodies.append(np.frombuffer(raw, "<i4")[a:z])
+            c = np.array(rows, np.int64).T
+            cols = [keys.take(pa.array(c[0])), pa.array(c[1].astype(np.int32)), *map(pa.array, c[2:])]
+            tables.append(pa.table(cols + [pa.array(bodies, pa.list_(pa.int32()))] * with_ids, names))
+        return pa.concat_tables(tables)
+
+    return chunks.token_ids(d, partial(chunks.byte_bpe, tokenizer), finish, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, part long, nth long"
+                            + ", ids array<int>" * with_ids)
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -175,11 +176,11 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str
     """
     spark = docs.sparkSession
     p = stored(cut_pieces(docs, tokenizer, capacity, id_col, text_col, with_ids), "pieces")
-    each = stored(p.groupBy("task", "length").count(), "lengths")
+    each = stored(p.groupBy("part", "length").count(), "lengths")
     rows = plan({r["length"]: r["n"] for r in each.groupBy("length").agg(F.sum("count").alias("n")).collect()}, capacity)  # capacity rows at most
-    before = F.sum("count").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
-    first = each.select("task", "length", F.coalesce(before, F.lit(0)).alias("first"))
-    ranked = p.join(first, ["task", "length"]).withColumn("rank", F.col("first") + F.col("nth"))
+    before = F.sum("count").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    first = each.select("part", "length", F.coalesce(before, F.lit(0)).alias("first"))
+    ranked = p.join(first, ["part", "length"]).withColumn("rank", F.col("first") + F.col("nth"))
     shared = spark.sparkContext.broadcast(rows)  # bounded by the capacity, like the lengths
     given = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 

@@ -1,13 +1,14 @@
-"""SentencePiece encoding and decoding of whole texts with a distinct-chunk table in every task."""
+"""SentencePiece encoding and decoding of whole texts with one table of distinct chunks."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sigtide.llm import chunks
 from sigtide.llm.common import whole_text
@@ -19,24 +20,20 @@ def _decoder(path: str):
     return SentencePieceProcessor(model_file=path).decode
 
 
-def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = chunks.PART_BYTES) -> DataFrame:
     """(doc_id, ids): all ids of each text, no begin or end ids, no sampling.
 
     Null and empty texts have no ids. Every input row gives one row, repeated rows and null ids included; other columns are
     ignored. Texts of any length stay whole. ``model``: a path that every executor has.
     """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = chunks.pieces(model)
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            for part in chunks.groups(texts):
-                raw = list(ids_of(texts[part]))
-                ends = np.cumsum([0, *(len(x) // 4 for x in raw)])
-                flat = pa.array(np.frombuffer(b"".join(raw), "<i4"))
-                yield pa.RecordBatch.from_arrays([b.column(0)[part.start:part.stop], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["doc_id", "ids"])
+    def finish(part: int, documents: Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]) -> pa.Table:
+        kind = pa.list_(pa.int32())
+        got = [pa.table([keys, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))], ["doc_id", "ids"]) for keys, ends, ids in documents]
+        return pa.concat_tables(got) if got else pa.table([pa.array([], id_kind), pa.array([], kind)], ["doc_id", "ids"])
 
     d = whole_text(docs, id_col, text_col)
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    id_kind = to_arrow_type(d.schema["doc_id"].dataType)
+    return chunks.token_ids(d, partial(chunks.pieces, model), finish, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, ids array<int>", part_bytes)
 
 
 def decode(encoded: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:

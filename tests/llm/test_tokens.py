@@ -4,10 +4,13 @@ import hashlib
 import random
 import zlib
 from collections import Counter
+from functools import partial
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
@@ -26,12 +29,39 @@ def fuzz():
     return [*words, "  <|endoftext|>  a", "", " ", "\n\n", "▁", "▁▁ ▁a", *(t or "" for _, t in ROWS if len(t or "") < 100)]
 
 
-@pytest.mark.parametrize("rows", [600_000, 50])
-def test_chunk_tables_equal_the_libraries(fuzz, rows):
+@pytest.mark.parametrize("part_bytes", [16_000_000, 200])
+def test_chunk_tables_equal_the_libraries(spark, fuzz, part_bytes):
     t, sp = Tokenizer.from_file(BYTE_BPE), SentencePieceProcessor(model_file=PIECE_BPE)
-    for table, want in ((chunks.byte_bpe(BYTE_BPE, rows), [e.ids for e in t.encode_batch(fuzz, add_special_tokens=False)]), (chunks.pieces(PIECE_BPE, rows), sp.encode(fuzz))):
-        got = [np.frombuffer(b, "<u4").tolist() for part in chunks.groups(fuzz, 2000) for b in table(fuzz[part])]
-        assert got == want
+    d = spark.createDataFrame(list(enumerate(fuzz)), "doc_id long, text string").repartition(3)
+
+    def finish(part, documents):
+        rows = [(k.as_py(), ids[a:z].tolist()) for keys, ends, ids in documents for k, a, z in zip(keys, ends[:-1], ends[1:], strict=True)]
+        return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int32()))], ["doc_id", "ids"])
+
+    for scheme, want in ((partial(chunks.byte_bpe, BYTE_BPE), [e.ids for e in t.encode_batch(fuzz, add_special_tokens=False)]), (partial(chunks.pieces, PIECE_BPE), sp.encode(fuzz))):
+        got = chunks.token_ids(d, scheme, finish, "doc_id long, ids array<int>", part_bytes).orderBy("doc_id").collect()
+        assert [list(r.ids) for r in got] == want
+
+
+def test_a_chunk_is_encoded_once(spark):
+    """Words that all parts share reach the encoder once for each slice of the hash, not once a part."""
+    d = spark.createDataFrame([(i, f"shared words here {i}") for i in range(400)], "doc_id long, text string").repartition(8)
+    calls = spark.sparkContext.accumulator(0)
+
+    def scheme():
+        own = chunks.byte_bpe(BYTE_BPE)
+
+        def counted(part):
+            calls.add(len([c for c in part if c]))
+            return own.encode(part)
+
+        return own._replace(encode=counted)
+
+    def finish(part, documents):
+        return pa.table([pa.array([len(ids) for _, _, ids in documents], pa.int64())], ["n"])
+
+    assert chunks.token_ids(d, scheme, finish, "n long", 700).agg(F.sum("n")).first()[0] > 1200
+    assert calls.value == 403
 
 
 def test_sentencepiece_query(spark, sf):
