@@ -136,15 +136,15 @@ def feature_influence(signals: DataFrame, importance: DataFrame, corr: DataFrame
 
 
 def notable_combinations(signals: DataFrame, corr: DataFrame, keys: list[str]) -> DataFrame:
-    """Correlation patterns behind the passing signals: combination, 3- and 7-day lead, season, defence."""
+    """Correlation patterns behind the passing signals: combination, 3- and 7-day lead, and for site types season and defence."""
     passing = signals.filter("passes").select(*keys, "outcome", "dimension")
     c = passing.join(corr.filter(F.col("r").isNotNull()), [*keys, "outcome"]).withColumn("size", F.abs("r"))
     kind = (
         F.when((F.col("feature") == "s_mention_x_s_report") & (F.col("size") > 0.07), "combination")
         .when(F.col("feature").endswith("_lag3") & (F.col("size") > 0.06), "lead_3d")
         .when(F.col("feature").endswith("_lag7") & (F.col("size") > 0.06), "lead_7d")
-        .when((F.col("feature") == "is_heating_season") & (F.col("dimension") == "infrastructure"), "season"))
-    defence = F.col("feature").contains("defence") & (F.col("dimension") == "infrastructure") & (F.col("size") > 0.05)
+        .when((F.col("feature") == "is_heating_season") & (F.col("dimension") == K.TYPE_DIMENSION), "season"))
+    defence = F.col("feature").contains("defence") & (F.col("dimension") == K.TYPE_DIMENSION) & (F.col("size") > 0.05)
     kinds = F.array_compact(F.array(kind, F.when(defence, "defence")))
     best = F.max_by(F.struct("feature", "outcome", "r", "size"), F.struct("size", "feature", "outcome"))
     rows = c.withColumn("pattern", F.explode(kinds)).groupBy(*keys, "pattern").agg(

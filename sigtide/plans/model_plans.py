@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigtide import constants as K
-from sigtide.operators import clusters, evaluate, models
+from sigtide.operators import clusters, evaluate, forecast, models, summary
 from sigtide.operators import features as ft
 from sigtide.plans.common import LONG, long_daily, rounded
 from sigtide.plans.registry import query
-from sigtide.session import materialise
+from sigtide.session import materialise, work_dir
 
 @query("ML3 ML6 J10 U2")
 def grid_results(spark, sf):
@@ -39,12 +39,31 @@ def stability(spark, sf):
     return evaluate.stable_configs(grid, [*LONG, "outcome"])
 
 
+#: Folders that hold what several queries of a session share, by session and input.
+_SHARED: dict[tuple[str, str, str], str] = {}
+
+
+def shared(spark: SparkSession, sf: str, name: str, make) -> str:  # noqa: ANN001
+    """The folder that ``make(folder)`` has filled for this session and input; filled once."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _SHARED:
+        folder = work_dir(spark, name)
+        make(folder)
+        _SHARED[key] = folder
+    return _SHARED[key]
+
+
 def bank(spark: SparkSession, sf: str) -> DataFrame:
+    """The session's bank of this input, trained once."""
+    return spark.read.parquet(shared(spark, sf, "bank", lambda folder: trained_bank(spark, sf).write.parquet(folder)))
+
+
+def trained_bank(spark: SparkSession, sf: str) -> DataFrame:
     """Every outcome at every forecast horizon with the lookback that the grid finds, at its best parameters, and the predictor configurations."""
     d = long_daily(spark, sf)
     grid = materialise(models.grid_search(d, LONG, specs=K.OUTCOMES, with_baseline=False), "bank_grid")
     chosen = materialise(evaluate.bank_configs(grid, LONG), "bank_configs")
-    return materialise(models.train_chosen(d, LONG, chosen, K.OUTCOMES), "bank")
+    return models.train_chosen(d, LONG, chosen, K.OUTCOMES)
 
 
 @query("ML20 ML22 ML25")
@@ -60,11 +79,53 @@ def recent_window_bank(spark, sf):
     return models.choose_window(b, LONG).select(*LONG, "outcome", "lookback", "horizon", "status", "n", "cv_auc", "cv_std", "recent_rows")
 
 
+def scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Latest window of each series scored by every model of its bank."""
+    return models.score(ft.latest_window(long_daily(spark, sf), LONG, K.LOOKBACKS), bank(spark, sf), LONG)
+
+
+def forecast_folder(spark: SparkSession, sf: str) -> str:
+    """The logs of one forecast run of the session's bank. The run is repeated, as after a failure, which adds nothing."""
+    def make(folder: str) -> None:
+        scored, dims = scores(spark, sf), summary.dimension_table(spark)
+        for _ in range(2):
+            forecast.run_forecast(scored, bank(spark, sf), dims, folder, RUN_ID, LONG)
+
+    return shared(spark, sf, "forecast", make)
+
+
+RUN_ID = "fixture"
+
+
+@query("ML26 ML27 S11 P8 P9 P10 U4")
+def bank_prediction_log(spark, sf):
+    """The bank's own scores as logged signals."""
+    log = forecast.read_log(spark, forecast_folder(spark, sf), "predictions", RUN_ID)
+    return log.select(*LONG, "band", "dimension", "outcome", "label", "lookback", "horizon", "prob", "cv_auc", "cv_std", "tier")
+
+
+@query("ML25 ML26 S12")
+def bank_auc_log(spark, sf):
+    return forecast.read_log(spark, forecast_folder(spark, sf), "models", RUN_ID).drop("run_id")
+
+
+@query("ML27 A20 O6 D6")
+def bank_documents(spark, sf):
+    """Each series' forecast document with its warning level."""
+    return forecast.read_log(spark, forecast_folder(spark, sf), "documents", RUN_ID).drop("run_id")
+
+
+@query("R3 S13 ML25")
+def bank_age(spark, sf):
+    """Freshness of the logged bank: each series' latest day of data against the run that holds its models."""
+    seen = long_daily(spark, sf).select(*LONG, F.col("date").cast("timestamp").alias("at"))
+    return forecast.bank_age(spark, forecast_folder(spark, sf), seen, LONG).select(*LONG, F.to_date("analysed_at").alias("analysed_on"), "state")
+
+
 @query("ML20 ML23 ML26 S6 O4 O5 P13")
 def forecast_scores(spark, sf):
     """Latest window of each series scored by every model of its bank."""
-    d = long_daily(spark, sf)
-    scored = models.score(ft.latest_window(d, LONG, K.LOOKBACKS), bank(spark, sf), LONG)
+    scored = scores(spark, sf)
     top = F.array_join(F.transform("top_features", lambda t: t["feature"]), ", ")
     return scored.select(*LONG, "outcome", "lookback", "horizon", "status", "prob", "predicted", "cv_auc", "data_through",
                          top.alias("top_features")).orderBy(*LONG, F.desc("prob"))
@@ -100,7 +161,8 @@ def ridge_totals(spark, sf):
 def boosted_scores(spark, sf):
     """Boosted trees on the pooled panel, all rounds, scored on it."""
     spec = [s for s in K.OUTCOMES if s["name"] == K.SIGNIFICANT]
-    data = ft.build_dataset(long_daily(spark, sf), LONG, [10], [1], spec).persist()
+    data = ft.build_dataset(long_daily(spark, sf), LONG, [10], [1], spec)
+    data = materialise(data, "boosted")
     model = models.boosted_model(data, K.SIGNIFICANT)
     from pyspark.ml.functions import vector_to_array
     scored = model.transform(data).select(*LONG, "date", K.SIGNIFICANT, vector_to_array("probability")[1].alias("prob"))
@@ -115,12 +177,19 @@ def signal_profiles(spark, sf):
 
 
 def detected(spark: SparkSession, sf: str) -> tuple[DataFrame, list[list[float]]]:
-    """Every day with its regime, and the centroids that K-means found, k by silhouette."""
-    rolled = clusters.rolling_signals(long_daily(spark, sf), LONG)
-    scaled = clusters.standardise(rolled, LONG, K.REGIME_SIGNALS).persist()
-    k = clusters.choose_k(scaled, K.REGIME_SIGNALS, scaled.count())
-    centroids = clusters.fit_kmeans(scaled, K.REGIME_SIGNALS, k, seed=0)
-    return clusters.assign_regimes(scaled, LONG, K.REGIME_SIGNALS, centroids), centroids
+    """Every day with its regime, and the centroids that K-means found, k by silhouette; found once a session and input."""
+    def make(folder: str) -> None:
+        rolled = clusters.rolling_signals(long_daily(spark, sf), LONG)
+        clusters.standardise(rolled, LONG, K.REGIME_SIGNALS).write.parquet(f"{folder}/days")
+        scaled = spark.read.parquet(f"{folder}/days")
+        k = clusters.choose_k(scaled, K.REGIME_SIGNALS, scaled.count())
+        centroids = clusters.fit_kmeans(scaled, K.REGIME_SIGNALS, k, seed=0)
+        found = [(i, [float(x) for x in c]) for i, c in enumerate(centroids)]  # nine at most
+        spark.createDataFrame(found, "regime int, centre array<double>").coalesce(1).write.parquet(f"{folder}/centroids")
+
+    folder = shared(spark, sf, "regimes", make)
+    centroids = [r.centre for r in spark.read.parquet(f"{folder}/centroids").orderBy("regime").collect()]
+    return clusters.assign_regimes(spark.read.parquet(f"{folder}/days"), LONG, K.REGIME_SIGNALS, centroids), centroids
 
 
 @query("ML14 ML15")

@@ -55,7 +55,8 @@ def stream_matches(spark, sf):
     cands = _arrivals(spark, sf).select("cand_id", "area", "incident_date", "site_types", "ts", "seg")
     cands.write.mode("overwrite").parquet(landed)
     stream = spark.readStream.schema(cands.schema).option("maxFilesPerTrigger", 1000).parquet(landed)
-    ingest.run_available(match_stream(stream), out, checkpoint)
+    with ingest.keyed_state(spark):
+        ingest.run_available(match_stream(stream), out, checkpoint)
     return spark.read.parquet(out)
 
 

@@ -18,13 +18,15 @@ _N = len(TARGETS)
 _DIM = "CASE " + " ".join(f"WHEN outcome = {o.q(t)} THEN {o.q(d)}" for d, t in K.DIMENSIONS) + " END"
 _LABEL = "array_to_string(list_transform(string_split(replace(regexp_replace(outcome, '^type_', ''), '_', ' '), ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
 
+#: Signals of a table ``preds`` of scores.
+SIGNALS_SQL = f"""sig AS (SELECT *, {_DIM} AS dimension, {_LABEL} AS label,
+  CASE WHEN prob >= 0.65 AND cv_auc >= 0.70 THEN 'high' WHEN prob >= 0.55 AND cv_auc >= 0.62 THEN 'medium' WHEN prob >= 0.42 AND cv_auc >= 0.55 THEN 'low' END AS tier,
+  prob >= 0.55 AND cv_auc >= 0.62 AS passes, CASE WHEN horizon <= 3 THEN 'near_term' WHEN horizon <= 10 THEN 'weekly' ELSE 'extended' END AS band FROM preds)"""
 _PREDS = f"""preds AS (SELECT c_nationkey AS series, [{', '.join(o.q(t) for t in TARGETS)}][CAST(c_custkey % {_N} AS INTEGER) + 1] AS outcome,
   round(avg((c_custkey * 37 % 101) / 101.0 * 0.6 + 0.38), 6) AS prob, round(avg((c_custkey * 17 % 89) / 89.0 * 0.35 + 0.5), 6) AS cv_auc,
   round(avg((c_custkey % 13) / 130.0), 6) AS cv_std, CAST(min(c_custkey % 14) + 1 AS INTEGER) AS horizon, CAST(min(c_custkey % 10) + 1 AS INTEGER) AS lookback
   FROM customer GROUP BY ALL),
-sig AS (SELECT *, {_DIM} AS dimension, {_LABEL} AS label,
-  CASE WHEN prob >= 0.65 AND cv_auc >= 0.70 THEN 'high' WHEN prob >= 0.55 AND cv_auc >= 0.62 THEN 'medium' WHEN prob >= 0.42 AND cv_auc >= 0.55 THEN 'low' END AS tier,
-  prob >= 0.55 AND cv_auc >= 0.62 AS passes, CASE WHEN horizon <= 3 THEN 'near_term' WHEN horizon <= 10 THEN 'weekly' ELSE 'extended' END AS band FROM preds)"""
+{SIGNALS_SQL}"""
 SERIES = ["series"]
 
 
@@ -140,8 +142,8 @@ def feature_influence(spark, sf):
 
 _PATTERNS = [
     ("combination", "feature = 's_mention_x_s_report' AND abs(r) > 0.07"), ("lead_3d", "feature LIKE '%\\_lag3' ESCAPE '\\' AND abs(r) > 0.06"),
-    ("lead_7d", "feature LIKE '%\\_lag7' ESCAPE '\\' AND abs(r) > 0.06"), ("season", "feature = 'is_heating_season' AND dimension = 'infrastructure'"),
-    ("defence", "contains(feature, 'defence') AND dimension = 'infrastructure' AND abs(r) > 0.05")]
+    ("lead_7d", "feature LIKE '%\\_lag7' ESCAPE '\\' AND abs(r) > 0.06"), ("season", f"feature = 'is_heating_season' AND dimension = {o.q(K.TYPE_DIMENSION)}"),
+    ("defence", f"contains(feature, 'defence') AND dimension = {o.q(K.TYPE_DIMENSION)} AND abs(r) > 0.05")]
 
 
 @query("ML28", f"""WITH {_INFO}, c AS (SELECT series, outcome, dimension, feature, r FROM sig JOIN info USING (outcome) WHERE passes),

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,25 @@ from sigtide.rules import RulePack
 from sigtide.sources.sinks import upsert_signals
 
 
+#: The only state store that keeps several state variables a key, which the matcher needs.
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """The state store of keyed processors, for the queries that start inside; the session's own setting comes back after."""
+    name, provider = STATE_STORE
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, provider)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def land_distinct(messages: DataFrame, out: str, checkpoint: str) -> None:
     """Append the messages whose id has not landed yet, however late they are; replays and repeats drop.
 

@@ -15,8 +15,6 @@ def spark():
     s = build_session("tests", "local[4]", **{
         "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "6g",
         "spark.sql.dataFrameQueryContext.enabled": "false",
-        "spark.sql.streaming.stateStore.providerClass":
-            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     })
     s.sparkContext.setLogLevel("ERROR")
     yield s

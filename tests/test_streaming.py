@@ -78,7 +78,10 @@ def test_matcher_stream_equals_batch_fold(spark):
         spark.createDataFrame(rows[k * 50:(k + 1) * 50], CAND).coalesce(1).write.mode("append").parquet(path)
     schema = spark.read.parquet(path).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
-    ingest.run_available(match_stream(stream, "365 days"), out, work_dir(spark, "cp"))
+    before = spark.conf.get(ingest.STATE_STORE[0], None)
+    with ingest.keyed_state(spark):
+        ingest.run_available(match_stream(stream, "365 days"), out, work_dir(spark, "cp"))
+    assert spark.conf.get(ingest.STATE_STORE[0], None) == before
     got = {r["cand_id"]: r["incident_id"] for r in spark.read.parquet(out).collect()}
     want = {r["cand_id"]: r["incident_id"] for r in merge.assign_incidents(spark.createDataFrame(rows, CAND)).collect()}
     assert got == want
@@ -106,3 +109,10 @@ def test_rule_tables_build_a_pack(spark):
 def test_message_range_is_half_open(spark):
     df = spark.createDataFrame([(1, "2024-01-04 21:00:00"), (2, "2024-01-05 21:00:00"), (3, None)], "msg_id int, t string").withColumn("ts", F.col("t").cast("timestamp_ntz"))
     assert [r["msg_id"] for r in src.local_days(df, dt.date(2024, 1, 5), dt.date(2024, 1, 5)).collect()] == [1]
+
+
+def test_registered_matcher_runs_in_a_session_without_settings(spark, sf):
+    from sigtide.plans.incident_plans import _arrivals
+    from sigtide.plans.stream_plans import stream_matches
+
+    assert stream_matches(spark, sf).count() == _arrivals(spark, sf).count() > 0
