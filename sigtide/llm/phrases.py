@@ -3,13 +3,13 @@
 Level 1 numbers the words of a part (a bounded run of documents of one task) and writes the occurrence
 relation, in order of piece and position, with a dictionary of the part's distinct words and their counts. Each further level
 counts the groups over all parts, semi-joins every part's relation with those that are frequent, and merge-joins it with
-itself at the next position of the same piece. Dictionaries, never occurrences, are shuffled: the relation lies in buckets
-by part, and a part gets back only its own frequent groups.
+itself at the next position of the same piece. Distinct groups of a part, never occurrences, are shuffled, from level 2 on as packed lists by slice
+of a hash: the relation lies in buckets by part, and a part gets back only its own frequent groups.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial, reduce
 from itertools import count
 
@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sigtide.llm import packed
 from sigtide.llm.common import bucketed, stored
 
 #: Bytes of text of a part: what one task holds in memory at a time, with some ten times that for its numbers.
@@ -27,6 +28,7 @@ PART_BYTES = 12_000_000
 MIN_COUNT, MAX_WORDS, TOP, ABSORBED_PERCENT, SCALE = 10, 3, 2000, 50, 1_000_000
 #: Piece ends become line feeds, tabs become spaces; then words stand between single spaces.
 _CUT = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 _END, _NONE, _FIRST = 0, 1, 2  # a piece's end, the empty string between two spaces, the first word's number
 
 
@@ -77,24 +79,20 @@ def _relation(batches: Iterator[pa.RecordBatch], part_bytes: int) -> Iterator[pa
     yield from part(by_lang)
 
 
-def _extend_last(left: pa.Table, right: pa.Table) -> pa.Table:
-    """The groups alone."""
-    out = _extend(left, right)
-    return out.filter(pc.is_valid(out.column("id")))
-
-
-def _extend(left: pa.Table, right: pa.Table) -> pa.Table:
-    """One part: its relation (ids) and its frequent groups (id, g) to the groups one word longer, and their relation.
+def _extend(left: pa.Table, right: pa.Table, slices: int, last: bool) -> pa.Table:
+    """One part: its relation (ids) and its frequent groups (id, g) to the groups one word longer, by slice, and their relation unless it is the last.
 
     The relation is in order of piece and position, so the merge join at the next position pairs neighbouring rows.
     """
-    names = ["part", "ids", "id", "g1", "g2", "n"]
-    kinds = [pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    names = ["part", "ids", "slice", "start", "g1", "g2", "n"]
+    kinds = [pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
     empty = pa.table([pa.array([], t) for t in kinds], names)
     if not left.num_rows or not right.num_rows:
         return empty
-    ids = np.concatenate([c.flatten().to_numpy() for c in left.column("ids").chunks])
-    frequent, g = right.column("id").to_numpy(), right.column("g").to_numpy()
+    flat = lambda c: np.concatenate([x.flatten().to_numpy() for x in c.chunks])
+    ids, frequent, g = flat(left.column("ids")), flat(right.column("id")), flat(right.column("g"))
+    order = np.argsort(g)  # so that keys sort as names do
+    frequent, g = frequent[order], g[order]
     place = np.full(max(int(ids.max()), int(frequent.max())) + 1, -1, np.int32)
     place[frequent] = np.arange(len(frequent), dtype=np.int32)
     kept = place[ids]  # the semi-join
@@ -103,22 +101,68 @@ def _extend(left: pa.Table, right: pa.Table) -> pa.Table:
         return empty
     pairs = kept[:-1][both].astype(np.int64) * len(frequent) + kept[1:][both]
     keys, n = np.unique(pairs, return_counts=True)
-    m, part = len(keys), left.column("part")[0].as_py()
-    groups = pa.table([pa.array(np.full(m, part)), pa.nulls(m, kinds[1]), pa.array(np.arange(m, dtype=np.int32) + _FIRST),
-                       pa.array(g[keys // len(frequent)]), pa.array(g[keys % len(frequent)]), pa.array(n)], names)
-    longer = np.zeros(len(ids), np.int32)
-    longer[:-1][both] = np.searchsorted(keys, pairs) + _FIRST
-    longer = longer[(longer != _END) | np.concatenate([[True], longer[:-1] != _END])]
-    return pa.concat_tables([groups, pa.table([pa.array([part]), pa.array([longer], kinds[1]), *(pa.nulls(1, t) for t in kinds[2:])], names)])
-
-
-def _frequent(level: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """The dictionary rows of groups that occur ``least`` times over all parts, with that count f and one name g for equal groups."""
-    same = Window.partitionBy(*keys)
-    own = F.col("part") * F.lit(1 << 31) + F.col("id")
-    d = level.where("id is not null").select("part", "id", *keys, "n", own.alias("own"))
+    one, two = g[keys // len(frequent)], g[keys % len(frequent)]
+    of = ((one.astype(np.uint64) * _MIX ^ two.astype(np.uint64)) * _MIX >> np.uint64(40)).astype(np.int64) % slices
+    by = np.argsort(of, kind="stable")
+    some, starts = np.unique(of[by], return_index=True)
+    ends = np.append(starts[1:], len(by))
+    runs = [by[a:z] for a, z in zip(starts, ends, strict=True)]
+    m, part = len(some), left.column("part")[0].as_py()
+    out = [pa.table([pa.array(np.full(m, part)), pa.nulls(m, kinds[1]), pa.array(some, pa.int32()), pa.array(starts + _FIRST, pa.int32()),
+                     pa.array([packed.written(one[r], True, "<u8") for r in runs]), pa.array([packed.written(two[r], False, "<u8") for r in runs]),
+                     pa.array([packed.written(n[r]) for r in runs])], names)]
+    if not last:
+        new = np.empty(len(by), np.int32)
+        new[by] = np.arange(len(by), dtype=np.int32) + _FIRST
+        longer = np.zeros(len(ids), np.int32)
+        longer[:-1][both] = new[np.searchsorted(keys, pairs)]
+        longer = longer[(longer != _END) | np.concatenate([[True], longer[:-1] != _END])]
+        out.append(pa.table([pa.array([part]), pa.array([longer], kinds[1]), *(pa.nulls(1, t) for t in kinds[2:])], names))
+    return pa.concat_tables(out)
+
+
+def _count(t: pa.Table, slices: int, least: int, last: bool) -> pa.Table:
+    """One slice: groups that occur ``least`` times over all parts, and per part the numbers and names of its own among them."""
+    names = ["part", "id", "g", "g1", "g2", "f"]
+    kinds = [pa.int64(), pa.list_(pa.int32()), *[pa.list_(pa.int64())] * 4]
+    one, two, n = packed.read_all(t.column("g1"), True, "<u8"), packed.read_all(t.column("g2"), False, "<u8"), packed.read_all(t.column("n"))
+    sizes = np.array([len(x) for x in one])
+    one, two, n = np.concatenate(one), np.concatenate(two), np.concatenate(n).astype(np.int64)
+    by = np.lexsort((two, one))
+    first = np.concatenate([[True], (one[by][1:] != one[by][:-1]) | (two[by][1:] != two[by][:-1])])
+    starts = np.flatnonzero(first)
+    f = np.add.reduceat(n[by], starts)
+    often = f >= least
+    name = np.where(often, np.cumsum(often) * slices + t.column("slice")[0].as_py(), -1)
+    head = by[starts[often]]
+    rows = [[None], [None], [name[often]], [one[head].astype(np.int64)], [two[head].astype(np.int64)], [f[often]]]
+    if not last:
+        g = np.empty(len(by), np.int64)
+        g[by] = name[np.cumsum(first) - 1]
+        ends = np.cumsum(sizes)
+        for part, start, a, z in zip(t.column("part").to_pylist(), t.column("start").to_pylist(), ends - sizes, ends, strict=True):
+            at = np.flatnonzero(g[a:z] >= 0)
+            if len(at):
+                for column, value in zip(rows, (part, (start + at).astype(np.int32), g[a:z][at], None, None, None), strict=True):
+                    column.append(value)
+    return pa.table([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names)
+
+
+def _frequent_words(level: DataFrame, least: int) -> DataFrame:
+    """The dictionary rows of words that occur ``least`` times over all parts, with that count f and one name g for equal words."""
+    same = Window.partitionBy("lang", "word")
+    d = level.where("id is not null").select((F.col("part") * F.lit(1 << 31) + F.col("id")).alias("own"), "lang", "word", "n")
     d = d.withColumn("f", F.sum("n").over(same)).withColumn("g", F.min("own").over(same)).where(F.col("f") >= least)
-    return stored(d.select("part", "id", *keys, "f", "g", (F.col("own") == F.col("g")).alias("first")), "frequent")
+    return stored(d.select(F.shiftright("own", 31).alias("part"), F.col("own").bitwiseAND((1 << 31) - 1).cast("int").alias("id"), "lang", "word", "f", "g",
+                           (F.col("own") == F.col("g")).alias("first")), "frequent")
+
+
+def _of_one(step: Callable[..., pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    return lambda t: step(t)  # Spark looks at the number of parameters
+
+
+def _of_two(step: Callable[..., pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    return lambda left, right: step(left, right)
 
 
 def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = MIN_COUNT, max_words: int = MAX_WORDS,
@@ -133,25 +177,28 @@ def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least:
     level = bucketed(d.mapInArrow(partial(_relation, part_bytes=part_bytes), "part long, ids array<int>, lang string, id int, word string, n long"),
                      "part", "relation")
     total = level.where("id is not null").groupBy("lang").agg(F.sum("n").alias("n"))
-    keys, found = ["lang", "word"], []
-    for size in range(1, max_words + 1):
-        f = _frequent(level, keys, least)
-        own = f.where("first").drop("part", "id", "first")
-        if size == 1:
-            none = F.array().cast("array<long>")
-            own = own.select("lang", F.array("word").alias("words"), "f", none.alias("prefixes"), none.alias("suffixes"), "g")
-        else:
-            a = found[-1].select(F.col("g").alias("g1"), "lang", "words", "prefixes", F.col("f").alias("f1"))
-            b = found[-1].select(F.col("g").alias("g2"), F.element_at("words", -1).alias("tail"), "suffixes", F.col("f").alias("f2"))
-            own = own.join(a, "g1").join(b, "g2").select(
-                "lang", F.concat("words", F.array("tail")).alias("words"), "f", F.concat("prefixes", F.array("f1")).alias("prefixes"),
-                F.concat("suffixes", F.array("f2")).alias("suffixes"), "g", "g1", "g2")
+    slices = 1 << min(16, max(6, (2 * d.rdd.getNumPartitions()).bit_length()))
+    words = _frequent_words(level, least)
+    none = F.array().cast("array<long>")
+    found = [stored(words.where("first").select("lang", F.array("word").alias("words"), "f", none.alias("prefixes"), none.alias("suffixes"), "g"), "phrases")]
+    back = words.select("part", F.array("id").alias("id"), F.array("g").alias("g"))
+    for size in range(2, max_words + 1):
+        last = size == max_words
+        rel = level.where("ids is not null").select("part", "ids")
+        longer = rel.groupBy("part").cogroup(back.groupBy("part")).applyInArrow(
+            _of_two(partial(_extend, slices=slices, last=last)), "part long, ids array<int>, slice int, start int, g1 binary, g2 binary, n binary")
+        level = bucketed(longer, "part", "relation")
+        groups = level.where("slice is not null").drop("ids").groupBy("slice").applyInArrow(
+            _of_one(partial(_count, slices=slices, least=least, last=last)), "part long, id array<int>, g array<long>, g1 array<long>, g2 array<long>, f array<long>")
+        groups = stored(groups, "groups")
+        back = groups.where("part is not null").select("part", "id", "g")
+        own = groups.where("part is null").select(F.inline(F.arrays_zip("g", "g1", "g2", "f")))
+        a = found[-1].select(F.col("g").alias("g1"), "lang", "words", "prefixes", F.col("f").alias("f1"))
+        b = found[-1].select(F.col("g").alias("g2"), F.element_at("words", -1).alias("tail"), "suffixes", F.col("f").alias("f2"))
+        own = own.join(a, "g1").join(b, "g2").select(
+            "lang", F.concat("words", F.array("tail")).alias("words"), "f", F.concat("prefixes", F.array("f1")).alias("prefixes"),
+            F.concat("suffixes", F.array("f2")).alias("suffixes"), "g", "g1", "g2")
         found.append(stored(own, "phrases"))
-        if size < max_words:
-            rel, back = level.where("ids is not null").select("part", "ids"), f.select("part", "id", "g")
-            longer = rel.groupBy("part").cogroup(back.groupBy("part")).applyInArrow(
-                _extend_last if size + 1 == max_words else _extend, "part long, ids array<int>, id int, g1 long, g2 long, n long")
-            level, keys = bucketed(longer, "part", "relation"), ["g1", "g2"]
     return total, found
 
 
