@@ -43,6 +43,12 @@ def test_chunk_tables_equal_the_libraries(spark, fuzz, part_bytes):
         assert [list(r.ids) for r in got] == want
 
 
+@pytest.mark.parametrize("rows", [600_000, 50])
+def test_worker_table_equals_the_library(fuzz, rows):
+    table, sp = pieces.ChunkTable(chunks.pieces(PIECE_BPE), rows), SentencePieceProcessor(model_file=PIECE_BPE)
+    assert [np.frombuffer(b, "<u4").tolist() for part in pieces.groups(fuzz, 2000) for b in table.ids(fuzz[part])] == sp.encode(fuzz)
+
+
 def test_a_chunk_is_encoded_once(spark):
     """Words that all parts share reach the encoder once for each slice of the hash, not once a part."""
     d = spark.createDataFrame([(i, f"shared words here {i}") for i in range(400)], "doc_id long, text string").repartition(8)
