@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from sigtide.llm.common import stored, work_dir
 
-CHUNK, MIN_REVISIT, LEVEL, MAX_HEADER = 1 << 18, 1000, 1, 1 << 16
+#: A header holds its row's URL, so it may be long; beyond MAX_HEADER a file is taken for damaged.
+CHUNK, MIN_REVISIT, LEVEL, MAX_HEADER = 1 << 18, 1000, 1, 1 << 28
 MANIFEST = "file string, records long"
 CHUNKS = "record_id string, page_id long, record_type string, target_uri string, refers_to long, payload_digest string, chunk_no int, chunk_bytes long, payload_so_far long, digest_so_far string"
 

@@ -41,6 +41,13 @@ def test_round_trip(spark):
     assert warc.archive(pages(spark, [])).count() == 0
 
 
+def test_long_url(spark):
+    """A header longer than several reads of the archive."""
+    rows = [(1, "http://a/" + "xy z" * 100_000, "<p>one</p>"), (2, "http://b/", "two" * 1000)]
+    got = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert sorted((r.page_id, r.payload_bytes, r.record_type) for r in got.collect()) == [(1, 10, "response"), (2, 3000, "response")]
+
+
 def test_all_pages(spark, sf):
     d = spark.read.parquet(f"{sf}/pages.parquet")
     rows = [(r.page_id, r.url, r.html) for r in d.collect()]
