@@ -142,15 +142,32 @@ def typed(linked: DataFrame) -> DataFrame:
             .withColumn("site_type", t))
 
 
-def type_days(linked: DataFrame, keys: list[str], types: list[str]) -> DataFrame:
-    """Binary column per site type and day. ``types`` is explicit so that the schema stays fixed.
+def type_outcomes(linked: DataFrame, keys: list[str], least: int = K.MIN_TYPE_OCCURRENCES) -> DataFrame:
+    """Long form of the frequent site types: distinct (keys, date, outcome), the outcome named as its column would be.
 
-    Rows collapse to distinct (series, day, type) first; the pivot then sees at most one row each.
+    Types are what the rows hold, at least ``least`` linked incidents in all; two that give one name are one outcome. Rows collapse to
+    (series, day, type) first, so a type that a third of all rows share is no more than its days.
     """
-    distinct = typed(linked).filter(F.col("site_type").isin(types)).select(*keys, "date", "site_type").distinct()
-    wide = distinct.groupBy(*keys, "date").pivot("site_type", types).agg(F.lit(1))
-    names = {t: "type_" + t.replace(" ", "_").replace("/", "_") for t in types}
-    return wide.select(*keys, "date", *[F.coalesce(F.col(f"`{t}`"), F.lit(0)).alias(n) for t, n in names.items()])
+    days = typed(linked).groupBy(*keys, "date", "site_type").agg(F.count("*").alias("n"))
+    often = days.groupBy("site_type").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("site_type")
+    return days.join(often, "site_type").select(*keys, "date", tx.column_name_of(F.col("site_type")).alias("outcome")).distinct()
+
+
+def type_columns(outcomes: DataFrame, most: int = K.MAX_TYPE_COLUMNS) -> list[str]:
+    """Names of the outcomes in order, for the wide form; more than ``most`` are an error, not a cut: the long form has no such bound."""
+    names = [r["outcome"] for r in outcomes.select("outcome").distinct().limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"over {most} site types; use the long form")
+    return sorted(names)
+
+
+def type_days(outcomes: DataFrame, keys: list[str]) -> DataFrame:
+    """Wide form of ``type_outcomes``: one 0/1 column per type, a row per series and day that has any."""
+    names = type_columns(outcomes)
+    if not names:
+        return outcomes.select(*keys, "date").distinct()
+    wide = outcomes.groupBy(*keys, "date").pivot("outcome", names).agg(F.lit(1))
+    return wide.select(*keys, "date", *[F.coalesce(F.col(f"`{n}`"), F.lit(0)).alias(n) for n in names])
 
 
 def dataset_summary(df: DataFrame, keys: list[str]) -> DataFrame:

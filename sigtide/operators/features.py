@@ -146,6 +146,22 @@ def build_labels(daily: DataFrame, keys: list[str], horizons: list[int], specs:
     return daily.withColumn("labels", F.array(*per_h))
 
 
+def next_types(daily: DataFrame, outcomes: DataFrame, keys: list[str], longest: int) -> DataFrame:
+    """Daily rows plus ``ahead_outcome`` and ``ahead_wait``: the type outcomes of rows 0 .. longest-1 and the rows until the first of each.
+
+    An outcome is positive at horizon h where its wait is less than h. The plan is the same for any number of types.
+    """
+    per_day = outcomes.groupBy(*keys, "date").agg(F.collect_set("outcome").alias("_types"))
+    w = series_window(keys)
+    rows = daily.join(per_day, [*keys, "date"], "left").withColumn("_at", F.row_number().over(w))
+    here = F.transform(F.coalesce("_types", F.array().cast("array<string>")), lambda t: F.struct(t.alias("outcome"), F.col("_at").alias("at")))
+    rows = rows.withColumn("_here", here).withColumn("_next", F.flatten(F.collect_list("_here").over(w.rowsBetween(0, longest - 1))))
+    rows = rows.withColumn("ahead_outcome", F.array_sort(F.array_distinct(F.col("_next.outcome"))))
+    first = F.transform("ahead_outcome", lambda n: F.array_min(F.transform(
+        F.filter("_next", lambda x: x["outcome"] == n), lambda x: x["at"])) - F.col("_at"))
+    return rows.withColumn("ahead_wait", first).drop("_types", "_at", "_here", "_next")
+
+
 def valid_rows() -> Column:
     """Rows with a full lookback behind and a full horizon ahead."""
     return (F.col("row_no") > F.col("lookback")) & (F.col("row_no") <= F.col("n_rows") - F.col("horizon") + 1)

@@ -104,11 +104,37 @@ def label_column(name: str, horizon: int) -> str:
     return f"y_{name}_{horizon}"
 
 
-def training_table(daily: DataFrame, keys: list[str], lookbacks: list[int], specs: list[dict], horizons: list[int]) -> DataFrame:
-    """Features per lookback with one label column per (outcome, horizon)."""
+AHEAD = ["ahead_outcome", "ahead_wait"]
+
+
+def training_table(daily: DataFrame, keys: list[str], lookbacks: list[int], specs: list[dict], horizons: list[int],
+                   types: DataFrame | None = None) -> DataFrame:
+    """Features per lookback with one label column per (outcome, horizon).
+
+    ``types``: outcomes found in the data, as (keys, date, outcome) rows. They come as two array columns, so that the plan does not grow with them.
+    """
     w = ft.series_window(keys)
     labels = {label_column(s["name"], h): ft.outcome(s, daily.columns, w, h) for s in specs for h in horizons}
-    return ft.build_features(daily.withColumns(labels), keys, lookbacks, carry=list(labels), few_series=True)
+    labelled, carry = daily.withColumns(labels), list(labels)
+    if types is not None:
+        labelled, carry = ft.next_types(labelled, types, keys, max(horizons)), [*carry, *AHEAD]
+    return ft.build_features(labelled, keys, lookbacks, carry=carry, few_series=True)
+
+
+def with_type_labels(g: pd.DataFrame, horizons: list[int]) -> tuple[pd.DataFrame, list[str]]:
+    """The rows of one (series, lookback) with a label column per type outcome and horizon, and the outcomes that occur among them."""
+    if AHEAD[0] not in g or not len(g):
+        return g, []
+    row = np.repeat(np.arange(len(g)), g[AHEAD[0]].map(len).to_numpy())
+    outcome, wait = (np.concatenate(g[c].to_numpy()) for c in AHEAD)
+    found, labels = [], {}
+    for name in sorted(set(outcome.tolist())):
+        until, own = np.full(len(g), np.inf), outcome == name
+        until[row[own]] = wait[own].astype(float)
+        if (until == 0).any():
+            found.append(name)
+            labels |= {label_column(name, h): (until < h).astype(float) for h in horizons}
+    return pd.concat([g, pd.DataFrame(labels, index=g.index)], axis=1), found
 
 
 def _cell(g: pd.DataFrame, feats: list[str], h: int, name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -132,16 +158,19 @@ def keyed_schema(df: DataFrame, keys: list[str], rest: str) -> str:
 
 
 def grid_search(daily: DataFrame, keys: list[str], specs: list[dict] = K.GRID_TARGETS, lookbacks: list[int] = K.LOOKBACKS,
-                horizons: list[int] = K.HORIZONS, with_baseline: bool = True) -> DataFrame:
-    """Cross-validated score of every (outcome, lookback, horizon) of every series: one row each."""
-    table = training_table(daily, keys, lookbacks, specs, horizons)
+                horizons: list[int] = K.HORIZONS, with_baseline: bool = True, types: DataFrame | None = None) -> DataFrame:
+    """Cross-validated score of every (outcome, lookback, horizon) of every series: one row each.
+
+    ``types`` adds the outcomes that its rows name, in each series and lookback whose feature rows hold a day of theirs.
+    """
+    table = training_table(daily, keys, lookbacks, specs, horizons, types)
     feats, names = ft.feature_names(), [s["name"] for s in specs]
 
     def fit(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("row_no")
+        g, found = with_type_labels(g.sort_values("row_no"), horizons)
         lb, rows = int(key[-1]), []
         for h in horizons:
-            for name in names:
+            for name in [*names, *found]:
                 x, y = _cell(g, feats, h, name)
                 row = dict(zip(keys, key)) | {"outcome": name, "lookback": lb, "horizon": h, "n": len(y),
                                              "pos_rate": float(y.mean()) if len(y) else None}
@@ -199,16 +228,16 @@ def train_bank(daily: DataFrame, keys: list[str], configs: list[dict], specs: li
 
 
 def train_chosen(daily: DataFrame, keys: list[str], chosen: DataFrame, specs: list[dict], lookbacks: list[int] = K.LOOKBACKS,
-                 horizons: list[int] = K.HORIZONS) -> DataFrame:
+                 horizons: list[int] = K.HORIZONS, types: DataFrame | None = None) -> DataFrame:
     """One model row per row of ``chosen`` (keys, outcome, lookback, horizon), which may differ from series to series.
 
-    The lookbacks and horizons must cover those of ``chosen``. A configuration without a row of features is one class.
+    The lookbacks and horizons must cover those of ``chosen``, ``specs`` and ``types`` its outcomes. A configuration without a row of features is one class.
     """
     feats = ft.feature_names()
-    table = training_table(daily, keys, lookbacks, specs, horizons)
+    table = training_table(daily, keys, lookbacks, specs, horizons, types)
 
     def fit(key: tuple, g: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        g, rows = g.sort_values("row_no"), []
+        g, rows = with_type_labels(g.sort_values("row_no"), horizons)[0], []
         for c in own.sort_values(["outcome", "horizon"]).itertuples():
             x, y = _cell(g, feats, int(c.horizon), c.outcome)
             rows.append(dict(zip(keys, key)) | {"outcome": c.outcome, "lookback": int(key[-1]), "horizon": int(c.horizon)} | _fit_row(x, y, feats))

@@ -102,7 +102,6 @@ def dataset_summary(spark, sf):
 _LINKED = f"""{o.INC_LONG}, links AS (SELECT DISTINCT l_orderkey AS incident_id, l_partkey AS site_id FROM lineitem),
 linked AS (SELECT date, macro_area, lower(trim(p_type)) AS site_type FROM inc_long JOIN links USING (incident_id) JOIN part ON site_id = p_partkey
            WHERE status = 'active' AND p_type IS NOT NULL AND lower(trim(p_type)) NOT IN ('unknown', 'other', ''))"""
-TYPES = ["economy", "large", "medium", "promo", "small", "standard"]
 
 
 def linked(spark, sf):
@@ -116,20 +115,37 @@ def frequent_types(spark, sf):
     return daily.frequent_types(linked(spark, sf))
 
 
-@query("A7", f"""WITH {_LINKED} SELECT macro_area, date, {', '.join(f"max(CASE WHEN site_type = '{t}' THEN 1 ELSE 0 END) AS type_{t}" for t in TYPES)}
-FROM linked GROUP BY ALL""")
+TYPE_DAYS = f"""{_LINKED}, often AS (SELECT site_type FROM linked GROUP BY 1 HAVING count(*) >= 5),
+tdays AS (SELECT DISTINCT macro_area, date, 'type_' || replace(replace(site_type, ' ', '_'), '/', '_') AS outcome FROM linked JOIN often USING (site_type))"""
+
+
+def type_outcomes(spark, sf):
+    return daily.type_outcomes(linked(spark, sf), LONG)
+
+
+@query("A7", f"WITH {TYPE_DAYS} PIVOT tdays ON outcome USING count(*) GROUP BY macro_area, date")
 def type_days(spark, sf):
-    return daily.type_days(linked(spark, sf), LONG, TYPES)
+    return daily.type_days(type_outcomes(spark, sf), LONG)
 
 
-@query("J4 A7", o.LONG_DAILY + f""", links AS (SELECT DISTINCT l_orderkey AS incident_id, l_partkey AS site_id FROM lineitem),
-tdays AS (SELECT macro_area, date, {', '.join(f"max(CASE WHEN lower(p_type) = '{t}' THEN 1 ELSE 0 END) AS type_{t}" for t in TYPES)}
-  FROM inc_long JOIN links USING (incident_id) JOIN part ON site_id = p_partkey WHERE status = 'active' GROUP BY ALL)
-SELECT macro_area, date, inc_count, s_broad, {', '.join(f'coalesce(type_{t}, 0) AS type_{t}' for t in TYPES)} FROM full_daily LEFT JOIN tdays USING (macro_area, date)""")
+@query("J4 A7", o.LONG_DAILY + f""", {TYPE_DAYS.removeprefix(o.INC_LONG + ", ")},
+every AS (SELECT macro_area, date, inc_count, s_broad, outcome FROM full_daily LEFT JOIN tdays USING (macro_area, date))
+PIVOT every ON outcome USING count(*) GROUP BY macro_area, date, inc_count, s_broad""")
 def full_daily_with_types(spark, sf):
     inc = daily.daily_incidents(td.incidents_long(spark, sf), td.reach_long(spark, sf), LONG)
-    full = daily.full_daily(inc, td.signals_long(spark, sf), LONG, daily.type_days(linked(spark, sf), LONG, TYPES))
-    return full.select("macro_area", "date", "inc_count", "s_broad", *[f"type_{t}" for t in TYPES])
+    types = daily.type_days(type_outcomes(spark, sf), LONG)
+    full = daily.full_daily(inc, td.signals_long(spark, sf), LONG, types)
+    return full.select("macro_area", "date", "inc_count", "s_broad", *[c for c in types.columns if c not in ("macro_area", "date")])
+
+
+@query("ML7 W15", o.LONG_DAILY + f""", {TYPE_DAYS.removeprefix(o.INC_LONG + ", ")}
+SELECT f.macro_area, f.date, outcome, min(t.date - f.date)::INTEGER AS days_ahead FROM full_daily f JOIN tdays t
+  ON t.macro_area = f.macro_area AND t.date BETWEEN f.date AND f.date + {max(K.HORIZONS) - 1} GROUP BY ALL""")
+def type_labels(spark, sf):
+    """Long form of the outcomes from types: days until each type's next day, where that lies within the longest horizon."""
+    ahead = ft.next_types(long_daily(spark, sf).select(*LONG, "date"), type_outcomes(spark, sf), LONG, max(K.HORIZONS))
+    return (ahead.select(*LONG, "date", F.inline(F.arrays_zip("ahead_outcome", "ahead_wait")))
+            .withColumnsRenamed({"ahead_outcome": "outcome", "ahead_wait": "days_ahead"}))
 
 
 @query("A10", f"""WITH {_LINKED}, c AS (SELECT macro_area, site_type, count(*) AS n FROM linked GROUP BY ALL)

@@ -10,23 +10,47 @@ from pyspark.sql import functions as F
 from sigtide import constants as K
 from sigtide.operators import clusters, evaluate, forecast, models, summary
 from sigtide.operators import features as ft
+from sigtide.plans import oracle as o
 from sigtide.plans.common import LONG, long_daily, rounded
+from sigtide.plans.daily_plans import TYPE_DAYS, type_outcomes
 from sigtide.plans.registry import query
 from sigtide.session import materialise, work_dir
 
+#: Positives of a run of rows are differences of running totals; a fold counts where its training and its test rows hold both classes.
+_GRID_COUNTS = o.LONG_DAILY + f""", {TYPE_DAYS.removeprefix(o.INC_LONG + ", ")},
+num AS (SELECT *, row_number() OVER (PARTITION BY macro_area ORDER BY date) AS r, count(*) OVER (PARTITION BY macro_area) AS n_rows FROM full_daily),
+long AS (UNPIVOT (SELECT macro_area, r, n_rows, {', '.join(f'{c}::BIGINT AS {c}' for c in sorted({s["col"] for s in K.OUTCOMES}))} FROM num)
+  ON {', '.join(sorted({s["col"] for s in K.OUTCOMES}))} INTO NAME col VALUE v),
+outs(outcome, col, op, bound) AS (VALUES {', '.join(f"('{s['name']}', '{s['col']}', '{s['op']}', {s['threshold']})" for s in K.OUTCOMES)}),
+vals AS (SELECT macro_area, r, n_rows, outcome, op, bound, v, n_rows AS last_seen FROM long JOIN outs USING (col)
+  UNION ALL SELECT n.macro_area, n.r, n.n_rows, s.outcome, 'sum_ge', 1, (t.date IS NOT NULL)::BIGINT,
+    max(CASE WHEN t.date IS NOT NULL THEN n.r END) OVER (PARTITION BY n.macro_area, s.outcome)
+  FROM num n JOIN (SELECT DISTINCT macro_area, outcome FROM tdays) s USING (macro_area)
+  LEFT JOIN tdays t ON t.macro_area = n.macro_area AND t.date = n.date AND t.outcome = s.outcome),
+lab AS ({' UNION ALL '.join(f"""SELECT macro_area, outcome, n_rows, last_seen, {h} AS horizon, r, (CASE op WHEN 'sum_ge' THEN sum(v) OVER w ELSE max(v) OVER w END >= bound)::INT AS y
+  FROM vals WINDOW w AS (PARTITION BY macro_area, outcome ORDER BY r ROWS BETWEEN CURRENT ROW AND {h - 1} FOLLOWING)""" for h in K.HORIZONS)}),
+upto AS (SELECT macro_area, outcome, horizon, r, sum(y) OVER (PARTITION BY macro_area, outcome, horizon ORDER BY r) AS c FROM lab
+  UNION ALL SELECT DISTINCT macro_area, outcome, horizon, 0, 0 FROM lab),
+cfg AS (SELECT *, greatest(n_rows - horizon + 1 - lookback, 0) AS n, n // {K.CV_SPLITS + 1} AS size FROM (SELECT DISTINCT macro_area, outcome, horizon, n_rows, last_seen FROM lab),
+  (SELECT unnest({K.LOOKBACKS}) AS lookback) WHERE n_rows > lookback AND last_seen > lookback),
+whole AS (SELECT cfg.*, b.c - a.c AS pos FROM cfg JOIN upto a USING (macro_area, outcome, horizon) JOIN upto b USING (macro_area, outcome, horizon)
+  WHERE a.r = lookback AND b.r = lookback + n),
+fold AS (SELECT macro_area, outcome, horizon, lookback, count(*) AS ok FROM
+  (SELECT *, n - size * ({K.CV_SPLITS} - k) AS s FROM cfg, (SELECT unnest(range({K.CV_SPLITS})) AS k) WHERE size > 0) f
+  JOIN upto a USING (macro_area, outcome, horizon) JOIN upto b USING (macro_area, outcome, horizon) JOIN upto e USING (macro_area, outcome, horizon)
+  WHERE a.r = lookback AND b.r = lookback + s AND e.r = lookback + s + size AND b.c - a.c > 0 AND b.c - a.c < s AND e.c - b.c > 0 AND e.c - b.c < size GROUP BY ALL)
+SELECT macro_area, outcome, lookback::INTEGER AS lookback, horizon, n::BIGINT AS n, round(CASE WHEN n > 0 THEN pos / n END, 6) AS pos_rate,
+  CASE WHEN pos IN (0, n) THEN 0 ELSE coalesce(ok, 0) END::INTEGER AS n_folds,
+  CASE WHEN pos IN (0, n) THEN 'one_class' WHEN ok = {K.CV_SPLITS} THEN 'scored' ELSE 'folds_missing' END AS note
+FROM whole LEFT JOIN fold USING (macro_area, outcome, horizon, lookback)"""
+
+
 @query("ML3 ML6 J10 U2")
 def grid_results(spark, sf):
     """Every lookback by every horizon for both targets of every series, with lift over the random baseline."""
     return models.grid_search(long_daily(spark, sf), LONG)
 
 
-@query("ML7 A13")
-def outcome_grid_best(spark, sf):
-    """All outcomes over the whole grid, best configuration per outcome under the positive-rate gate."""
-    grid = models.grid_search(long_daily(spark, sf), LONG, specs=K.OUTCOMES, with_baseline=False)
-    return evaluate.best_under_gate(grid, [*LONG, "outcome"])
-
-
 @query("ML8 O3 R2")
 def grid_selected(spark, sf):
     grid = models.grid_search(long_daily(spark, sf), LONG)
@@ -53,6 +77,26 @@ def shared(spark: SparkSession, sf: str, name: str, make) -> str:  # noqa: ANN00
     return _SHARED[key]
 
 
+def outcome_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """The session's whole grid of this input: the outcomes of counters, and one per frequent site type."""
+    def make(folder: str) -> None:
+        models.grid_search(long_daily(spark, sf), LONG, specs=K.OUTCOMES, with_baseline=False, types=type_outcomes(spark, sf)).write.parquet(f"{folder}/grid")
+
+    return spark.read.parquet(f"{shared(spark, sf, 'outcome_grid', make)}/grid")
+
+
+@query("ML7 A13")
+def outcome_grid_best(spark, sf):
+    """All outcomes over the whole grid, best configuration per outcome under the positive-rate gate."""
+    return evaluate.best_under_gate(outcome_grid(spark, sf), [*LONG, "outcome"])
+
+
+@query("ML2 ML7 W15 A17", _GRID_COUNTS)
+def outcome_grid_counts(spark, sf):
+    """What the grid worked on: rows, positive rate, folds with both classes and outcome of the fit, per configuration."""
+    return rounded(outcome_grid(spark, sf).select(*LONG, "outcome", "lookback", "horizon", "n", "pos_rate", "n_folds", "note"), "pos_rate")
+
+
 def bank(spark: SparkSession, sf: str) -> DataFrame:
     """The session's bank of this input, trained once."""
     return spark.read.parquet(shared(spark, sf, "bank", lambda folder: trained_bank(spark, sf).write.parquet(folder)))
@@ -60,10 +104,8 @@ def bank(spark: SparkSession, sf: str) -> DataFrame:
 
 def trained_bank(spark: SparkSession, sf: str) -> DataFrame:
     """Every outcome at every forecast horizon with the lookback that the grid finds, at its best parameters, and the predictor configurations."""
-    d = long_daily(spark, sf)
-    grid = materialise(models.grid_search(d, LONG, specs=K.OUTCOMES, with_baseline=False), "bank_grid")
-    chosen = materialise(evaluate.bank_configs(grid, LONG), "bank_configs")
-    return models.train_chosen(d, LONG, chosen, K.OUTCOMES)
+    chosen = materialise(evaluate.bank_configs(outcome_grid(spark, sf), LONG), "bank_configs")
+    return models.train_chosen(long_daily(spark, sf), LONG, chosen, K.OUTCOMES, types=type_outcomes(spark, sf))
 
 
 @query("ML20 ML22 ML25")

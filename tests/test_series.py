@@ -301,3 +301,67 @@ def test_recent_window_bank_has_every_predictor_configuration(spark, monkeypatch
     got = model_plans.recent_window_bank(spark, "").collect()
     want = {(s, c["outcome"], c["lookback"], c["horizon"]) for s in "ab" for c in K.PREDICTOR_CONFIGS}
     assert len(got) == len(want) and {(r.macro_area, r.outcome, r.lookback, r.horizon) for r in got} == want
+
+
+def linked_rows(types):
+    """Six links of each type on days 3, 13, .. of series a; series b has the first type alone."""
+    rows = [("a", D0 + dt.timedelta(days=3 + 10 * k + i), t) for i, t in enumerate(types) for k in range(6)]
+    rows += [("b", D0 + dt.timedelta(days=k), types[0].upper() + " ") for k in range(3)]
+    return rows + [("a", D0, "Rare kind"), ("a", D0, "Other"), ("b", D0, None), ("a", D0 + dt.timedelta(days=3), types[0])]
+
+
+def test_types_are_what_the_rows_hold(spark):
+    types = ["depot", "rail yard", "port/quay", "mill", "plant", "bridge", "seventh kind"]
+    names = ["type_" + t.replace(" ", "_").replace("/", "_") for t in types]
+    rows = linked_rows(types)
+    got = daily.type_outcomes(spark.createDataFrame(rows, "ch string, date date, site_type string"), KEYS)
+    want = {(s, d, "type_" + t.strip().lower().replace(" ", "_").replace("/", "_")) for s, d, t in rows if t not in (None, "Other", "Rare kind")}
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    wide = daily.type_days(got, KEYS)
+    assert wide.columns == ["ch", "date", *sorted(names)]
+    assert {(r["ch"], r["date"], n) for r in wide.collect() for n in names if r[n]} == want
+    with pytest.raises(ValueError, match="long form"):
+        daily.type_columns(got, most=6)
+    none = daily.type_outcomes(spark.createDataFrame([], "ch string, date date, site_type string"), KEYS)
+    assert daily.type_days(none, KEYS).columns == KEYS + ["date"] and daily.type_days(none, KEYS).count() == 0
+
+
+def test_types_become_outcomes_of_the_grid_and_the_bank(spark):
+    types = ["depot", "seventh kind"]
+    panel_ = panel(60, ("a", "b"))
+    df, rows = spark.createDataFrame(panel_), spark.createDataFrame(linked_rows(types), "ch string, date date, site_type string")
+    long = daily.type_outcomes(rows, KEYS)
+    days = {(r["ch"], r["outcome"], r["date"]) for r in long.collect()}
+    ahead = ft.next_types(df.select("ch", "date"), long, KEYS, 5).collect()
+    assert len(ahead) == len(panel_)
+    for r in ahead:
+        want = {}
+        for wait in range(5):
+            for s, o, d in days:
+                if s == r["ch"] and d == r["date"] + dt.timedelta(days=wait):
+                    want.setdefault(o, wait)
+        assert dict(zip(r["ahead_outcome"], r["ahead_wait"])) == want and r["ahead_outcome"] == sorted(want)
+    grid = models.grid_search(df, KEYS, lookbacks=[2, 5], horizons=[1, 3], with_baseline=False, types=long)
+    found = {(r["ch"], r["outcome"], r["lookback"], r["horizon"]): r for r in grid.collect()}
+    assert {(k[0], k[1]) for k in found if k[1].startswith("type_")} == {("a", "type_depot"), ("a", "type_seventh_kind"), ("b", "type_depot")}
+    assert ("b", "type_depot", 2, 1) in found and ("b", "type_depot", 5, 1) not in found   # its days are 0 to 2
+    r, dates = found["a", "type_seventh_kind", 5, 3], sorted(panel_[panel_.ch == "a"]["date"])
+    y = [any(("a", "type_seventh_kind", d + dt.timedelta(days=k)) in days for k in range(3)) for d in dates[5:-2]]
+    assert r["n"] == len(y) and r["pos_rate"] == pytest.approx(np.mean(y))
+    plain = models.grid_search(df, KEYS, lookbacks=[2], horizons=[1], with_baseline=False)
+    key = ["ch", "outcome", "lookback", "horizon"]
+    for a in plain.collect():
+        assert found[tuple(a[k] for k in key)] == a
+    chosen = grid.select(*KEYS, "outcome", "lookback", "horizon").where("lookback = 5 and horizon = 3 and outcome like 'type%'")
+    trained = models.train_chosen(df, KEYS, chosen, K.GRID_TARGETS, [2, 5], [1, 3], types=long).collect()
+    assert {(m["outcome"], m["n"], m["status"]) for m in trained} == {("type_depot", len(y), "trained"), ("type_seventh_kind", len(y), "trained")}
+
+
+def test_plan_does_not_grow_with_the_types(spark):
+    df = spark.createDataFrame(panel(40, ("a",)))
+
+    def size(types):
+        long = daily.type_outcomes(spark.createDataFrame(linked_rows(types), "ch string, date date, site_type string"), KEYS)
+        return models.training_table(df, KEYS, [2], K.GRID_TARGETS, [1], long)._jdf.queryExecution().optimizedPlan().toString().count("\n")
+
+    assert size(["one"]) == size([f"kind {i}" for i in range(300)])
