@@ -122,78 +122,102 @@ def scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return out
 
 
-def best(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, top: int) -> pd.DataFrame:
-    """The top vectors of a block for each query of a block; ties go to the smaller id, a query is not its own neighbour."""
+def best(query_rows: np.ndarray, query_ids: np.ndarray, q: np.ndarray, rows: np.ndarray, ids: np.ndarray, v: np.ndarray, top: int) -> pd.DataFrame:
+    """The top vectors of a block for each query of a block; ties go to the smaller id, a query's own row is not its neighbour."""
     order = np.argsort(ids, kind="stable")
-    ids, v = ids[order], v[order]
-    rows = []
+    rows, ids, v = rows[order], ids[order], v[order]
+    out = []
     for at in range(0, len(q), 64):
         s = scores(q[at:at + 64], v)
-        s[query_ids[at:at + 64, None] == ids[None, :]] = -np.inf
+        s[query_rows[at:at + 64, None] == rows[None, :]] = -np.inf
         k = min(top, s.shape[1])
         edge = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
         for i, e in enumerate(edge):
             near = np.flatnonzero((s[i] >= e) & (s[i] > -np.inf))
             near = near[np.argsort(-s[i, near], kind="stable")[:k]]
-            rows.append((np.full(len(near), query_ids[at + i]), ids[near], s[i, near]))
-    c = [np.concatenate(x) for x in zip(*rows, strict=True)] if rows else [np.zeros(0)] * 3
-    return pd.DataFrame({"query_id": c[0].astype(np.int64), "vec_id": c[1].astype(np.int64), "score": c[2].astype(float)})
+            out.append((np.full(len(near), query_rows[at + i]), np.full(len(near), query_ids[at + i]), rows[near], ids[near], s[i, near]))
+    c = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0)] * 5
+    kinds = (np.int64, np.int64, np.int64, np.int64, float)
+    return pd.DataFrame({n: x.astype(t) for n, x, t in zip(("query_row", "query_id", "row", "vec_id", "score"), c, kinds, strict=True)})
 
 
 def sound(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(vec_id, v): vectors that take part, as doubles: not null or zero, all components finite, of the commonest length (the smaller of two as common)."""
+    """(row, vec_id, v): vectors that take part, as doubles: not null or zero, all components finite. ``row`` tells rows of one id apart."""
     x = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vec_col}`").cast("array<double>").alias("v"))
     x = x.where(F.col("vec_id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
                 & F.exists("v", lambda c: c != 0))
-    lengths = sorted(((-r["count"], r["n"]) for r in x.groupBy(F.size("v").alias("n")).count().collect()))  # one row per length
-    return x.where(F.size("v") == lengths[0][1]) if lengths else x
+    return x.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v")
 
 
 def nearest(vectors: DataFrame, is_query: str = "vec_id % 20 = 0", top: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", p: Params = Params()) -> DataFrame:
     """Of each query row its ``top`` nearest found by inner product: query_id, rank, vec_id, score.
 
-    ``is_query``: a condition on vec_id. Null, zero and non-finite vectors and null ids take no part; of rows that repeat an id the largest vector counts. Other
-    columns are ignored; an empty table has no neighbours. Parts and queries of any size are cut into blocks, so a part that holds a third of
-    all vectors is many tasks; equal vectors are told apart by id alone.
+    ``is_query``: a condition on vec_id. Null, zero and non-finite vectors and null ids take no part. Every other row is a candidate of every
+    query but itself: rows that repeat an id are told apart, and each query among them has its own ranks. A query meets vectors of its own
+    length alone; those of the commonest length (the smaller of two as common) are routed, of any other length all are compared. A query whose
+    parts hold fewer than ``top`` vectors is sent to its remaining parts as well. Other columns are ignored; an empty table has no neighbours.
+    Parts and queries of any size are cut into blocks, so a part that holds a third of all vectors is many tasks.
     """
     spark = vectors.sparkSession
-    x = stored(sound(vectors, id_col, vec_col).groupBy("vec_id").agg(F.max("v").alias("v")), "vectors")
-    n = max(1, x.count())
-    some = x.where(F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(n)) < 2 * p.sample)  # keeps the ordered sample below small in every task
-    got = some.orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id").limit(p.sample).select("v").toArrow()
-    sample = np.array(got.column(0).to_pylist(), float) if got.num_rows else np.zeros((0, 1))
+    x = stored(sound(vectors, id_col, vec_col), "vectors")
+    lengths = sorted((-r["count"], r["n"]) for r in x.groupBy(F.size("v").alias("n")).count().collect())  # one row per length
+    n, width = (-lengths[0][0], lengths[0][1]) if lengths else (1, 1)
+    some = x.where((F.size("v") == width) & (F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(n)) < 2 * p.sample))  # keeps the ordered sample below small in every task
+    got = some.orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id", "v").limit(p.sample).select("v").toArrow()
+    sample = np.array(got.column(0).to_pylist(), float) if got.num_rows else np.zeros((0, width))
     router = spark.sparkContext.broadcast(fit(sample, p))  # a number per dimension and part
 
-    def place(many: int):  # noqa: ANN202
+    def place(first: int, last: int | None):  # noqa: ANN202
+        """Parts of a vector from the ``first`` to before the ``last`` most probable; one of any other length has the part -length."""
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                if b.num_rows:
-                    m = np.asarray(b.column(1).flatten()).reshape(b.num_rows, -1)
-                    z = router.value.logits(m)
-                    parts = np.argsort(-z, axis=1, kind="stable")[:, :many]
-                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(parts.astype(np.int32)), pa.list_(pa.int32()))], ["vec_id", "v", "parts"])
+                sizes = np.diff(np.asarray(b.column(2).offsets))
+                parts = [np.array([-k][first:last], np.int32) for k in sizes]
+                own = np.flatnonzero(sizes == width)
+                if len(own):
+                    m = np.asarray(b.column(2).take(pa.array(own)).flatten()).reshape(len(own), width)
+                    for i, best_parts in zip(own, np.argsort(-router.value.logits(m), axis=1, kind="stable")[:, first:last], strict=True):
+                        parts[i] = best_parts.astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(parts, pa.list_(pa.int32()))], ["row", "vec_id", "v", "parts"])
         return run
 
-    kinds = "vec_id long, v array<double>, parts array<int>"
-    placed = stored(x.mapInArrow(place(1), kinds).select("vec_id", "v", F.col("parts")[0].alias("part")), "placed")
-    asked = x.where(is_query).mapInArrow(place(p.probes), kinds).select("vec_id", "v", F.explode("parts").alias("part"))
-    asked = stored(asked, "asked")
-
-    def blocks(df: DataFrame, size: int, name: str) -> DataFrame:
-        return df.groupBy("part").agg(F.ceil(F.count("*") / size).alias(name))  # a row per part
-
-    many = F.broadcast(blocks(placed, p.vector_block, "nv").join(blocks(asked, p.query_block, "nq"), "part"))
-    v = placed.join(many, "part").withColumn("vb", F.pmod(F.xxhash64("vec_id"), F.col("nv")))
-    v = v.select("part", "vb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nq") - 1)).alias("qb"), "vec_id", "v")
-    q = asked.join(many, "part").withColumn("qb", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("nq")))
-    q = q.select("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nv") - 1)).alias("vb"), "qb", "vec_id", "v")
+    kinds = "row long, vec_id long, v array<double>, parts array<int>"
+    placed = stored(x.mapInArrow(place(0, 1), kinds).select("row", "vec_id", "v", F.col("parts")[0].alias("part")), "placed")
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        def block(d: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            return d["row"].to_numpy(), d["vec_id"].to_numpy(), np.stack(d["v"].to_numpy()) if len(d) else np.zeros((0, 1))
+
         if a.empty or b.empty:
-            return best(np.zeros(0, np.int64), np.zeros((0, 1)), np.zeros(0, np.int64), np.zeros((0, 1)), top)
-        return best(a["vec_id"].to_numpy(), np.stack(a["v"].to_numpy()), b["vec_id"].to_numpy(), np.stack(b["v"].to_numpy()), top)
+            a, b = a[:0], b[:0]
+        return best(*block(a), *block(b), top)
+
+    def blocks(df: DataFrame, size: int, name: str) -> DataFrame:
+        return df.groupBy("part").agg(F.ceil(F.count("*") / size).alias(name))  # a row per part
 
-    keys = ["part", "vb", "qb"]
-    found = q.groupBy(*keys).cogroup(v.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score double")
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+    def search(asked: DataFrame) -> DataFrame:
+        """Best of each block for the queries ``asked`` (row, vec_id, v, part)."""
+        many = F.broadcast(blocks(placed, p.vector_block, "nv").join(blocks(asked, p.query_block, "nq"), "part"))
+        v = placed.join(many, "part").withColumn("vb", F.pmod(F.xxhash64("row"), F.col("nv")))
+        v = v.select("part", "vb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nq") - 1)).alias("qb"), "row", "vec_id", "v")
+        q = asked.join(many, "part").withColumn("qb", F.pmod(F.xxhash64("row", F.lit(3)), F.col("nq")))
+        q = q.select("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nv") - 1)).alias("vb"), "qb", "row", "vec_id", "v")
+        keys = ["part", "vb", "qb"]
+        found = "query_row long, query_id long, row long, vec_id long, score double"
+        return q.groupBy(*keys).cogroup(v.groupBy(*keys)).applyInPandas(meet, found)
+
+    def ask(queries: DataFrame, first: int, last: int | None) -> DataFrame:
+        return stored(queries.mapInArrow(place(first, last), kinds).select("row", "vec_id", "v", F.explode("parts").alias("part")), "asked")
+
+    by = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top)
+
+    queries = x.where(is_query)
+    found = stored(ranked(search(ask(queries, 0, p.probes))), "found")
+    full = found.groupBy("query_row").count().where(F.col("count") >= top).select(F.col("query_row").alias("row"))
+    rest = ask(queries.join(full, "row", "left_anti"), p.probes, None)
+    if not rest.isEmpty():
+        found = ranked(found.drop("rank").unionByName(search(rest)))
+    return found.select("query_id", "rank", "vec_id", "score")

@@ -97,13 +97,44 @@ def test_all_probes_find_all_with_ties_and_small_blocks(spark):
     x = rng.normal(size=(400, 8)).round(1)
     x[100:250] = x[100]   # one vector, many ids
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 8), (902, [float("nan")] * 8), (903, [1.0] * 7 + [None]), (904, [float("inf")] + [1.0] * 7), (905, [1.0, 2.0]), (None, [1.0] * 8)]
-    rows += [(5, x[5].tolist())]   # a repeated row
     d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as part", "2 as v", "3 as rank")
     for p in (ann.Params(probes=16, vector_block=64, query_block=8), ann.Params(probes=16)):
         got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(d, p=p).collect())
         assert got == exact(np.arange(400), x, range(0, 400, 20), 20)
 
 
+def by_rows(rows, is_query, top):
+    """Every row against every other of its length, from the contract."""
+    out = []
+    for i, (q, a) in enumerate(rows):
+        if is_query(q):
+            near = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), v) for j, (v, b) in enumerate(rows) if j != i and len(a) == len(b))[:top]
+            out += [(q, k + 1, v, -s) for k, (s, v) in enumerate(near)]
+    return sorted(out)
+
+
+def test_repeated_ids_and_other_lengths_are_candidates(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.integers(-9, 9, 6).astype(float).tolist()) for i in range(90)]
+    rows += [(20, rows[20][1]), (20, [9.0] * 6), (1, [8.0] * 6), (1, [8.0] * 6), (7, rows[7][1])]   # ids that come two and three times
+    rows += [(i, rng.integers(1, 9, 3).astype(float).tolist()) for i in range(100, 130)] + [(140, [1.0, 2.0])]   # two other lengths
+    rows += [(140, [float(i), 1.0]) for i in range(1, 3)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    for p in (ann.Params(probes=16, vector_block=16, query_block=2), ann.Params(probes=16)):
+        got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(d, p=p).collect())
+        assert got == by_rows(rows, lambda i: i % 20 == 0, 20)
+
+
+def test_queries_whose_parts_hold_too_few_see_the_rest(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=5).round(2).tolist()) for i in range(60)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(d, p=ann.Params(probes=2)).collect()   # 2 of 16 parts hold about 8
+    assert sorted((r.query_id, r["rank"]) for r in got) == [(q, k) for q in (0, 20, 40) for k in range(1, 21)]
+    want = {(q, v) for q, _, v, _ in by_rows(rows, lambda i: i % 20 == 0, 20)}
+    assert {(r.query_id, r.vec_id) for r in got} == want
+
+
 def test_few_or_no_vectors(spark):
     schema = "vec_id long, embedding array<float>"
     assert ann.nearest(spark.createDataFrame([], schema)).count() == 0
