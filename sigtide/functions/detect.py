@@ -69,6 +69,7 @@ class Detector:
 
     # ── signals ───────────────────────────────────────────────────────────────
     def explosions(self, low: Column) -> Column:
+        """The largest of the words counted and the numbers read; a number that no BIGINT holds takes no part."""
         count = tx.count_matches(low, self.pack.group("explosion")).cast("bigint")
         floor = [F.coalesce(tx.capture_number(low, p), F.lit(0)) for p in self.pack.group("explosion_number")]
         several = F.when(self.has(low, "explosion_several"), 3).otherwise(0)
@@ -111,7 +112,8 @@ class Detector:
         return F.concat(*found)
 
     def scale(self, low: Column) -> Column:
-        top = F.array_max(self.numbers(low))
+        """Bucket of the largest number; one too large to hold is over every limit."""
+        top = F.array_max(F.transform(self.numbers(low), lambda n: F.coalesce(n, F.lit(15))))
         return (F.when(top >= 15, "massive").when(top >= 5, "swarm").when(top >= 1, "few")
                  .when(self.has(low, "update_only"), F.lit(None).cast("string"))
                  .when(self.has(low, "drone"), "few"))

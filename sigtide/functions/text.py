@@ -18,7 +18,6 @@ _NBSP, _ZERO_WIDTH = "\u00a0", "\u200b"
 _META = set(r".^$*+?{}[]|()\\")
 
 SOFT_TYPES = ["unknown", "other"]
-_SATURATED = 10**18
 
 
 def clean_text(c: Column) -> Column:
@@ -88,19 +87,18 @@ def count_matches(c: Column, patterns: Iterable[str]) -> Column:
 
 
 def parse_count(s: Column) -> Column:
-    """Digits to BIGINT; runs longer than 18 digits saturate."""
-    digits = F.regexp_replace(s, "^0+(?=[0-9])", "")
-    return F.when(F.length(digits) > 18, F.lit(_SATURATED)).otherwise(digits.try_cast("bigint"))
+    """Digits to BIGINT. A number that no BIGINT holds is null: it was read, but is no count."""
+    return s.try_cast("bigint")
 
 
 def capture_number(c: Column, pattern: str) -> Column:
-    """First captured number of the pattern, null when it does not match."""
+    """First captured number of the pattern, null when it does not match or no BIGINT holds it."""
     got = F.regexp_extract(c, pattern, 1)
     return F.when(got != "", parse_count(got))
 
 
 def capture_numbers(c: Column, patterns: Iterable[str]) -> Column:
-    """All captured numbers over all patterns."""
+    """All captured numbers over all patterns; a null marks one that no BIGINT holds."""
     found = [F.transform(F.regexp_extract_all(c, F.lit(p), F.lit(1)), parse_count) for p in patterns]
     return F.concat(*found) if found else F.array().cast("array<bigint>")
 

@@ -59,9 +59,8 @@ def count_sql(col: str, group: str) -> str:
 
 
 def number_sql(text: str) -> str:
-    """Digit string to BIGINT, saturating above 18 digits; null for the empty string."""
-    d = f"regexp_replace({text}, '^0+([0-9])', '\\1')"
-    return f"CASE WHEN length({d}) > 18 THEN 1000000000000000000 ELSE TRY_CAST({d} AS BIGINT) END"
+    """Digit string to BIGINT; null for the empty string and for what no BIGINT holds."""
+    return f"TRY_CAST({text} AS BIGINT)"
 
 
 def explosions_sql(col: str) -> str:
@@ -81,7 +80,7 @@ def numbers_sql(col: str) -> str:
 
 
 def scale_sql(col: str) -> str:
-    top = f"list_max({numbers_sql(col)})"
+    top = f"list_max(list_transform({numbers_sql(col)}, lambda n: coalesce(n, 15)))"
     return (f"CASE WHEN {top} >= 15 THEN 'massive' WHEN {top} >= 5 THEN 'swarm' WHEN {top} >= 1 THEN 'few' "
             f"WHEN {has(col, 'update_only')} THEN NULL WHEN {has(col, 'drone')} THEN 'few' END")
 

@@ -54,12 +54,19 @@ def test_counts_overlap_twice(spark):
 
 
 @pytest.mark.parametrize("text,want", [
-    ("at least 4 blasts and a blast", 4), ("several blasts", 3), ("many blasts", 5), ("big blast", 2), ("quiet", 0)])
+    ("at least 4 blasts and a blast", 4), ("several blasts", 3), ("many blasts", 5), ("big blast", 2), ("quiet", 0),
+    ("at least 9223372036854775807 blasts", 2**63 - 1), ("at least 000000000000000000000012 blasts", 12), ("at least 9223372036854775808 blasts", 1)])
 def test_explosions(spark, text, want):
     assert one(spark, DET.explosions(F.col("t")), t=text) == want
     assert one(spark, DET.has_explosion(F.col("t")), t=text) == (want > 0)
 
 
+def test_numbers_that_no_bigint_holds_are_marked(spark):
+    assert one(spark, tx.capture_number(F.col("t"), "([0-9]+)"), t="9" * 18) == 10**18 - 1
+    assert one(spark, tx.capture_number(F.col("t"), "([0-9]+)"), t="9" * 19) is None
+    assert one(spark, tx.capture_numbers(F.col("t"), ["([0-9]+)"]), t=f"{'9' * 40} and 007 and {'0' * 30}4") == [None, 7, 4]
+
+
 @pytest.mark.parametrize("text,want", [("the north port", "NP"), ("the north", "N"), ("nothing", None), ("bbbbb aaaaa", "B1")])
 def test_longest_alias_then_priority(spark, text, want):
     assert one(spark, DET.area(F.col("t")), t=text) == want
