@@ -7,6 +7,7 @@ are removed, and a document that loses too large a share of its characters is re
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -40,6 +41,7 @@ class Rules:
 
 
 SEPARATOR = r"(?<=[\x20\x09])(?:[|>/»·•]|::|->)(?=[\x20\x09])"
+WORD = r"[^\x20\x09-\x0D]"
 THREE_WORDS = r"^[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]"
 ENDS = (".", "!", "?", "…", ":", ";", ")", '"', "”", "»", ",")
 
@@ -74,8 +76,8 @@ def _covered(windows: Column) -> Column:
     return F.array_sort(F.array_distinct(same))
 
 
-def failing(text: Column, low: Column, lines: Column, r: Rules = Rules()) -> Column:
-    """The lines that fail. A text without any mark or word of the costlier rules is spared them; ``low``: the text in small letters.
+def _judged(text: Column, low: Column, lines: Column, r: Rules, keep: Callable[[Column, Column], Column]) -> Column:
+    """The lines for which ``keep``, given whether a line fails and the line, holds. A text without any mark or word of the costlier rules is spared them; ``low``: the text in small letters.
 
     Markup: too many symbols. Shouting: three words without a small letter, or too many exclamation marks.
     Navigation: standing separators, or one or two words that end no sentence. Boilerplate: a stock phrase.
@@ -93,12 +95,22 @@ def failing(text: Column, low: Column, lines: Column, r: Rules = Rules()) -> Col
                 | ((n - F.length(_without(x, "!")) > r.marks * n) & three(x)) | (F.size(F.split(x, SEPARATOR)) > r.separators))
 
     stock = reduce(Column.__or__, [low.contains(w) for w in STOCK_WORDS])
-    return (F.when(stock, F.filter(lines, lambda x: marked(x) | x.rlike(BOILERPLATE)))
-            .when(text.rlike(MARKS), F.filter(lines, marked)).otherwise(F.filter(lines, plain)))
+    return (F.when(stock, F.filter(lines, lambda x: keep(marked(x) | x.rlike(BOILERPLATE), x)))
+            .when(text.rlike(MARKS), F.filter(lines, lambda x: keep(marked(x), x))).otherwise(F.filter(lines, lambda x: keep(plain(x), x))))
+
+
+def failing(text: Column, low: Column, lines: Column, r: Rules = Rules()) -> Column:
+    """The lines that fail."""
+    return _judged(text, low, lines, r, lambda fails, line: fails)
+
+
+def passing(text: Column, low: Column, lines: Column, r: Rules = Rules()) -> Column:
+    """The lines that do not fail, and those without a word."""
+    return _judged(text, low, lines, r, lambda fails, line: ~fails | ~line.rlike(WORD))
 
 
 def _with_words(lines: Column) -> Column:
-    return F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    return F.filter(lines, lambda x: x.rlike(WORD))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
@@ -135,9 +147,24 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return d.select("doc_id", F.inline(one))
 
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
-    """The rows whose document passes, with all columns and whole texts. A narrow filter: nothing is joined or shuffled."""
+def _good(docs: DataFrame, text_col: str, rules: Rules) -> DataFrame:
+    """The measures of the rows whose document passes, the whole row as ``doc_id``."""
     doc, text = fresh(docs, "doc", "text")
     tagged = docs.withColumns({doc: F.struct(*[F.col(f"`{c}`") for c in docs.columns]), text: F.col(f"`{text_col}`")})
-    judged = quality_rules(tagged, doc, text, rules)
-    return judged.where("kept").select("doc_id.*")
+    return quality_rules(tagged, doc, text, rules).where("kept")
+
+
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
+    """The rows whose document passes, with all columns and whole texts. A narrow filter: nothing is joined or shuffled."""
+    return _good(docs, text_col, rules).select("doc_id.*")
+
+
+def clean_lines(docs: DataFrame, text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
+    """The rows whose document passes, with all columns, the failing lines taken out of their texts.
+
+    Lines without a word stay, and so does a text none of whose lines fails, to the letter. Rejected documents, null and empty texts among them,
+    have no row; repeated rows have one each. A line is judged alone, so nothing else fails once these are gone. Narrow like ``keep_good``.
+    """
+    text = F.col(f"doc_id.`{text_col}`")
+    clean = F.when(F.col("kept_share") < 1, F.array_join(passing(text, F.lower(text), F.split(text, "\n", -1), rules), "\n")).otherwise(text)
+    return _good(docs, text_col, rules).select(*[(clean if c == text_col else F.col(f"doc_id.`{c}`")).alias(c) for c in docs.columns])

@@ -3,7 +3,7 @@
 import re
 from collections import Counter
 
-from sigtide.llm.quality_rules import keep_good, quality_rules
+from sigtide.llm.quality_rules import clean_lines, keep_good, quality_rules
 
 from .helpers import awkward, empty
 
@@ -48,6 +48,27 @@ def test_rules_one_by_one(spark):
     assert got["fine"].kept_share == 1.0 and got["fine"].kept
 
 
+def test_failing_lines_go_and_the_rest_stays(spark):
+    good = ["This is a plain sentence of ordinary words that goes on for a while.", "", "Dies ist ein weiterer Satz mit eigenen Wörtern, der bleibt.",
+            "  \t", "Une autre phrase suit, avec des mots qui sont bien à elle.", "Y otra frase más cierra el texto, sin falta alguna."]
+    bad = ["re*** nt### of%%% are&&& an$$$ on### it***", "BUY!! NOW!! ALL!! OF!! IT!!", "ALLES HIER WIRD OHNE ENDE GESCHRIEN", "Home | News | Sport | About | Contact",
+           "All rights reserved by us.", "Next page"]
+    last = "One more sentence of some length stands at the very end, so that the greater part of this text passes."
+    mixed = [x for pair in zip(good, bad, strict=True) for x in pair]
+    rows = [(k, "\n".join([b, *good, b]), "x") for k, b in enumerate(bad)] + [(6, "\n".join(good), "x"), (7, "\n".join([*mixed, last]), "y")]
+    rows += [(8, "\n".join(good[:1] + bad * 5), "z"), (9, None, "z"), (10, "", "z"), (6, "\n".join(good), "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, kept_share string")
+    got = clean_lines(d)
+    assert got.columns == d.columns
+    want = [(k, "\n".join(good), "x") for k in range(6)] + [(6, "\n".join(good), "x")] * 2 + [(7, "\n".join([*good, last]), "y")]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    again = quality_rules(got).collect()
+    assert all(r.kept_share == 1.0 and r.kept for r in again)
+    assert clean_lines(empty(spark)).count() == 0 and clean_lines(awkward(spark)).count() == keep_good(awkward(spark)).count()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Exchange" not in plan
+
+
 def test_awkward_rows(spark):
     d = awkward(spark)
     got = quality_rules(d)
