@@ -14,8 +14,14 @@ from sigtide.rules import RulePack
 
 
 class Detector:
-    def __init__(self, pack: RulePack):
-        self.pack = pack
+    """``known``: what the whole message holds of a dictionary (``operators.gazetteer``); it then stands for the pack's aliases and sites."""
+
+    def __init__(self, pack: RulePack, known: Column | None = None):
+        self.pack, self.known = pack, known
+
+    def _held(self, low: Column, kind: str) -> Column:
+        """The dictionary entries of the message that this part of it holds, in their order."""
+        return F.filter(self.known[kind], lambda k: low.contains(k["pattern"]))
 
     def has(self, low: Column, *groups: str) -> Column:
         return tx.any_of(low, [p for g in groups for p in self.pack.group(g)])
@@ -28,13 +34,15 @@ class Detector:
         return self.has(low, "editorial", "summary", "outbound")
 
     def in_scope(self, low: Column) -> Column:
-        known = F.lit(False)
+        known = F.lit(False) if self.known is None else F.exists(self.known["areas"], lambda k: low.contains(k["pattern"]))
         for alias, _ in self.pack.ordered_aliases():
             known = known | low.contains(alias)
         return ~self.has(low, "out_of_scope") | known
 
     # ── places and sites ──────────────────────────────────────────────────────
     def area(self, low: Column) -> Column:
+        if self.known is not None:
+            return F.get(self._held(low, "areas"), F.lit(0))["label"]
         return tx.lookup_longest(low, self.pack.ordered_aliases())
 
     def macro_area(self, area: Column) -> Column:
@@ -45,7 +53,8 @@ class Detector:
 
     def has_target(self, low: Column) -> Column:
         patterns = [p for _, _, ps in self.pack.sites for p in ps] + [p for p, _ in self.pack.facility]
-        return tx.any_of(low, patterns)
+        named = F.lit(False) if self.known is None else F.exists(self.known["sites"], lambda k: low.contains(k["pattern"]))
+        return named | tx.any_of(low, patterns)
 
     def targets(self, low: Column) -> Column:
         """Array of (label, type): every named site that matches, else one generic facility, else empty."""
@@ -58,6 +67,9 @@ class Detector:
             entry = F.struct(F.lit(label).alias("label"), F.lit(kind).alias("type"))
             named.append(F.when(tx.any_of(low, every), entry))
         found = F.array_compact(F.array(*named))
+        if self.known is not None:
+            own = F.filter(self._held(low, "sites"), lambda k: k["named"])
+            found = F.array_distinct(F.transform(own, lambda k: F.struct(k["label"].alias("label"), k["type"].alias("type"))))
         kind = self.facility(low)
         pretty = F.coalesce(
             tx.first_match(kind, list(self.pack.type_labels.items()), lambda c, k: c == k), F.lit("Unknown Facility"))

@@ -9,6 +9,7 @@ from sigtide import constants as K
 from sigtide.functions import dates, scoring
 from sigtide.functions import text as tx
 from sigtide.functions.detect import Detector
+from sigtide.operators.gazetteer import Dictionary, known_in_message
 from sigtide.operators.segments import split_events
 from sigtide.rules import RulePack
 from sigtide.session import spread
@@ -65,17 +66,20 @@ INCIDENT_COLUMNS = [
 
 
 def extract_incidents(messages: DataFrame, pack: RulePack, matched: Column | None = None,
-                      offset_hours: int = K.UTC_OFFSET_HOURS) -> DataFrame:
+                      offset_hours: int = K.UTC_OFFSET_HOURS, dictionary: Dictionary | None = None) -> DataFrame:
     """Parse messages (msg_id, channel, ts, text) into incident candidates, one row each.
 
     Whole-message rejection runs before segmentation. Rows without a candidate vanish in the final
     explode; there is no filter on a derived column before it (see ``split_events``). Per message and (date, area, types) the
-    segment with the best signal score stays, the earliest on ties.
+    segment with the best signal score stays, the earliest on ties. A ``dictionary`` stands for the pack's aliases and sites.
     """
-    det = Detector(pack)
+    det = Detector(pack) if dictionary is None else Detector(pack, F.col("_known"))
     matched = F.lit(False) if matched is None else matched
+    ready = prepare(spread(messages), offset_hours)
+    if dictionary is not None:
+        ready = ready.withColumn("_known", known_in_message(dictionary, F.col("clean"), F.col("low")))
     kept = (
-        prepare(spread(messages), offset_hours)
+        ready
         .withColumn("msg_area", det.area(F.col("low")))
         .withColumn("_matched", matched)
     )

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import replace
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,11 +16,12 @@ from sigtide.functions.detect import Detector
 from sigtide.operators import segments
 from sigtide.operators.areas import area_table, with_macro_area
 from sigtide.operators.extract import count_signals, extract_incidents, prepare
+from sigtide.operators.gazetteer import known, write_dictionary
 from sigtide.operators.prefix import running_before
 from sigtide.plans import oracle as o
 from sigtide.plans.common import PACK
 from sigtide.plans.registry import query
-from sigtide.session import spread
+from sigtide.session import spread, work_dir
 from sigtide.sources import messages as src
 from sigtide.sources import testdata as td
 
@@ -254,6 +257,37 @@ def parsed_incidents(spark, sf):
     return flat_incidents(extract_incidents(td.messages(spark, sf), PACK))
 
 
+@query("X24 T9 X3 X13", INCIDENTS_SQL)
+def dictionary_incidents(spark, sf):
+    """As ``parsed_incidents``, with the aliases and the sites as a dictionary table instead of expressions of the plan."""
+    aliases = spark.createDataFrame(PACK.gazetteer, "alias string, area string, prio long")
+    rows = [(label, kind, p, i) for i, (label, kind, patterns) in enumerate(PACK.sites) for p in patterns]
+    named = write_dictionary(work_dir(spark, "dictionary"), aliases, spark.createDataFrame(rows, "label string, type string, pattern string, prio long"))
+    return flat_incidents(extract_incidents(td.messages(spark, sf), replace(PACK, gazetteer=[], sites=[]), dictionary=named))
+
+
+#: Runs of letters of texts; those of five letters and more in three texts are aliases, and each is the area of its first three letters.
+_PLACES_SQL = f"""WITH runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{ascii_uppercase}', '{ascii_lowercase}'), '[a-z]+')) AS run FROM documents),
+own AS (SELECT DISTINCT doc_id, run FROM runs WHERE length(run) >= 5),
+alias AS (SELECT run AS alias FROM own GROUP BY run HAVING count(*) >= 3),
+sizes AS (SELECT DISTINCT length(alias) AS size FROM alias),
+parts AS (SELECT DISTINCT run, substr(run, i::BIGINT, size) AS alias FROM (SELECT DISTINCT run FROM own) JOIN sizes ON length(run) >= size, unnest(range(1, length(run) - size + 2)) AS t(i)),
+held AS (SELECT DISTINCT doc_id, alias FROM own JOIN parts USING (run) JOIN alias USING (alias))
+SELECT doc_id, first(left(alias, 3) ORDER BY length(alias) DESC, alias) AS area, first(alias ORDER BY length(alias) DESC, alias) AS alias, count(*) AS n_aliases FROM held GROUP BY doc_id"""
+
+
+@query("T9", _PLACES_SQL)
+def dictionary_places(spark, sf):
+    """Longest alias and area of every document by a dictionary of the corpus' own words."""
+    docs = spread(td.table(spark, sf, "documents")).select("doc_id", F.translate("text", ascii_uppercase, ascii_lowercase).alias("low"))
+    runs = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit("([a-z]+)"), F.lit(1)))).alias("alias"))
+    often = runs.filter(F.length("alias") >= 5).groupBy("alias").agg(F.count_distinct("doc_id").alias("n")).filter("n >= 3")
+    words = write_dictionary(work_dir(spark, "dictionary"), often.select("alias", F.left("alias", F.lit(3)).alias("area"), F.lit(0).alias("prio")))
+    held = docs.withColumn("_known", known(words, F.col("low"))).select("doc_id", F.col("_known.areas").alias("areas")).filter(F.size("areas") > 0)
+    return held.select("doc_id", F.col("areas")[0]["label"].alias("area"), F.col("areas")[0]["pattern"].alias("alias"),
+                       F.size("areas").cast("long").alias("n_aliases"))
+
+
 _SIG = {"s_mention": o.has("low", "sig_mention"), "s_defence": o.has("low", "sig_defence"), "s_transit": o.has("low", "sig_transit"),
         "s_uncertain": o.has("low", "sig_uncertain"), "s_report": f"{o.has('low', 'sig_facility')} AND {o.has('low', 'sig_attack')}",
         "s_confirmed": f"{o.has('low', 'sig_facility')} AND {o.has('low', 'sig_attack')} AND {o.has('low', 'sig_official')}",

@@ -9,6 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from sigtide.operators.extract import count_signals, extract_incidents
+from sigtide.operators.gazetteer import Dictionary
 from sigtide.rules import RulePack
 from sigtide.sources.sinks import upsert_signals
 
@@ -64,9 +65,9 @@ def run_batches(df: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint:
      .trigger(availableNow=True).start().awaitTermination())
 
 
-def ingest_incidents(messages: DataFrame, pack: RulePack, out: str, checkpoint: str) -> None:
+def ingest_incidents(messages: DataFrame, pack: RulePack, out: str, checkpoint: str, dictionary: Dictionary | None = None) -> None:
     """Parse a message stream into incident candidates. The plan is the batch plan: no state, no shuffle."""
-    run_available(extract_incidents(messages, pack), out, checkpoint)
+    run_available(extract_incidents(messages, pack, dictionary=dictionary), out, checkpoint)
 
 
 def ingest_signals(spark: SparkSession, messages: DataFrame, pack: RulePack, path: str, checkpoint: str) -> None:
