@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigtide import constants as K
-from sigtide.operators import clusters, evaluate, forecast, models, summary
+from sigtide.operators import boosting, clusters, correlate, evaluate, forecast, models, summary
 from sigtide.operators import features as ft
 from sigtide.plans import oracle as o
 from sigtide.plans.common import LONG, long_daily, rounded
@@ -211,6 +211,64 @@ def boosted_scores(spark, sf):
     return evaluate.roc_auc(scored, "prob", K.SIGNIFICANT, LONG)
 
 
+#: Lookback and horizons at which every outcome is boosted, whatever the grid finds.
+BOOSTED_LOOKBACK, BOOSTED_HORIZONS = 10, [1, 7]
+
+
+def boosted_fits(spark: SparkSession, sf: str) -> DataFrame:
+    """The session's time-fold fits of boosted trees, one per series, outcome (of counters and of frequent types) and horizon."""
+    def make(folder: str) -> None:
+        daily, types = long_daily(spark, sf), type_outcomes(spark, sf)
+        counters = daily.select(*LONG).distinct().withColumn("outcome", F.explode(F.array(*[F.lit(s["name"]) for s in K.OUTCOMES])))
+        every = counters.union(types.select(*LONG, "outcome").distinct())
+        chosen = every.withColumn("lookback", F.lit(BOOSTED_LOOKBACK)).withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in BOOSTED_HORIZONS])))
+        fits = boosting.train_boosted(daily, LONG, chosen, K.OUTCOMES, [BOOSTED_LOOKBACK], BOOSTED_HORIZONS, types, with_model=False)
+        fits.drop("splits", "values", "leaves", "importance").write.parquet(folder)
+
+    return spark.read.parquet(shared(spark, sf, "boosted_fits", make))
+
+
+@query("ML2 ML4 ML7 W15", f"SELECT * FROM ({_GRID_COUNTS}) WHERE lookback = {BOOSTED_LOOKBACK} AND horizon IN ({', '.join(map(str, BOOSTED_HORIZONS))})")
+def boosted_counts(spark, sf):
+    """What the boosted fits worked on: rows, positive rate, folds with both classes and outcome of the fit."""
+    note = F.when(F.col("status") == "one_class", "one_class").when(F.col("n_folds") == K.CV_SPLITS, "scored").otherwise("folds_missing")
+    return rounded(boosted_fits(spark, sf).select(*LONG, "outcome", "lookback", "horizon", "n", "pos_rate", "n_folds", note.alias("note")), "pos_rate")
+
+
+@query("ML4 ML7")
+def boosted_folds(spark, sf):
+    """AUC of boosted trees over the expanding time folds, every outcome of every series."""
+    return boosted_fits(spark, sf)
+
+
+def boosted_models(spark: SparkSession, sf: str) -> DataFrame:
+    """The session's boosted bank: per series and outcome the trees at the best parameters that the grid finds."""
+    def make(folder: str) -> None:
+        chosen = materialise(evaluate.best_params(outcome_grid(spark, sf), [*LONG, "outcome"]), "boosted_configs")
+        boosting.train_boosted(long_daily(spark, sf), LONG, chosen, K.OUTCOMES, types=type_outcomes(spark, sf)).write.parquet(folder)
+
+    return spark.read.parquet(shared(spark, sf, "boosted_bank", make))
+
+
+def boosted_latest(spark: SparkSession, sf: str) -> DataFrame:
+    return boosting.score_boosted(ft.latest_window(long_daily(spark, sf), LONG, K.LOOKBACKS), boosted_models(spark, sf), LONG)
+
+
+@query("ML4 ML9 ML25 ML26")
+def boosted_bank(spark, sf):
+    """Boosted trees at each outcome's best parameters, with the probability of the latest window."""
+    return boosted_latest(spark, sf).select(*LONG, "outcome", "lookback", "horizon", "status", "n", "pos_rate", "cv_auc", "cv_std", "n_folds", "prob", "predicted")
+
+
+@query("ML4 ML27 A19 J12")
+def boosted_influence(spark, sf):
+    """Features by gain importance over the passing signals of the boosted bank."""
+    found = summary.forecast_signals(boosted_latest(spark, sf), summary.dimension_table(spark), "low")
+    data = ft.build_dataset(long_daily(spark, sf), LONG, [10], [3], K.OUTCOMES)
+    corr = correlate.feature_outcome_corr(data, LONG, ft.feature_names(), [s["name"] for s in K.OUTCOMES])
+    return summary.feature_influence(found, boosting.gain_importance(boosted_models(spark, sf), LONG), corr, LONG)
+
+
 @query("ML13 A18")
 def signal_profiles(spark, sf):
     data = ft.build_dataset(long_daily(spark, sf), LONG, [10], [3], K.OUTCOMES)

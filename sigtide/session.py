@@ -59,11 +59,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def fan_out(df: DataFrame) -> DataFrame:
-    """Spread a compact frame over all cores ahead of row work that multiplies it.
+def fan_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a compact frame, by its keys if there are any, over all cores ahead of work that multiplies it.
 
     The explicit partition number keeps adaptive execution from merging small partitions back.
     """
     spark = df.sparkSession
     n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(n)
+    return df.repartition(n, *keys)
