@@ -45,6 +45,35 @@ SELECT macro_area, outcome, lookback::INTEGER AS lookback, horizon, n::BIGINT AS
 FROM whole LEFT JOIN fold USING (macro_area, outcome, horizon, lookback)"""
 
 
+#: Folders that hold what several queries of a session share, by session and input.
+_SHARED: dict[tuple[str, str, str], str] = {}
+
+
+def shared(spark: SparkSession, sf: str, name: str, make) -> str:  # noqa: ANN001
+    """The folder that ``make(folder)`` has filled for this session and input; filled once."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _SHARED:
+        folder = work_dir(spark, name)
+        make(folder)
+        _SHARED[key] = folder
+    return _SHARED[key]
+
+
+def once(spark: SparkSession, sf: str, name: str, make) -> DataFrame:  # noqa: ANN001
+    """The frame ``make(spark, sf)``, written once a session and input."""
+    return spark.read.parquet(shared(spark, sf, name, lambda folder: make(spark, sf).write.parquet(folder)))
+
+
+def days(spark: SparkSession, sf: str) -> DataFrame:
+    """The session's daily frame: bounded by the calendar, while the incidents behind it are as large as the input, so they are read once for all passes."""
+    return once(spark, sf, "days", long_daily)
+
+
+def types(spark: SparkSession, sf: str) -> DataFrame:
+    """The session's outcomes from types, at most one row per series, day and type; the links behind them are read once."""
+    return once(spark, sf, "types", type_outcomes)
+
+
 @query("ML3 ML6 J10 U2")
 def grid_results(spark, sf):
     """Every lookback by every horizon for both targets of every series, with lift over the random baseline."""
@@ -63,20 +92,6 @@ def stability(spark, sf):
     return evaluate.stable_configs(grid, [*LONG, "outcome"])
 
 
-#: Folders that hold what several queries of a session share, by session and input.
-_SHARED: dict[tuple[str, str, str], str] = {}
-
-
-def shared(spark: SparkSession, sf: str, name: str, make) -> str:  # noqa: ANN001
-    """The folder that ``make(folder)`` has filled for this session and input; filled once."""
-    key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _SHARED:
-        folder = work_dir(spark, name)
-        make(folder)
-        _SHARED[key] = folder
-    return _SHARED[key]
-
-
 def outcome_grid(spark: SparkSession, sf: str) -> DataFrame:
     """The session's whole grid of this input: the outcomes of counters, and one per frequent site type."""
     def make(folder: str) -> None:
@@ -99,7 +114,7 @@ def outcome_grid_counts(spark, sf):
 
 def bank(spark: SparkSession, sf: str) -> DataFrame:
     """The session's bank of this input, trained once."""
-    return spark.read.parquet(shared(spark, sf, "bank", lambda folder: trained_bank(spark, sf).write.parquet(folder)))
+    return once(spark, sf, "bank", trained_bank)
 
 
 def trained_bank(spark: SparkSession, sf: str) -> DataFrame:
@@ -218,11 +233,11 @@ BOOSTED_LOOKBACK, BOOSTED_HORIZONS = 10, [1, 7]
 def boosted_fits(spark: SparkSession, sf: str) -> DataFrame:
     """The session's time-fold fits of boosted trees, one per series, outcome (of counters and of frequent types) and horizon."""
     def make(folder: str) -> None:
-        daily, types = long_daily(spark, sf), type_outcomes(spark, sf)
+        daily, found = days(spark, sf), types(spark, sf)
         counters = daily.select(*LONG).distinct().withColumn("outcome", F.explode(F.array(*[F.lit(s["name"]) for s in K.OUTCOMES])))
-        every = counters.union(types.select(*LONG, "outcome").distinct())
+        every = counters.union(found.select(*LONG, "outcome").distinct())
         chosen = every.withColumn("lookback", F.lit(BOOSTED_LOOKBACK)).withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in BOOSTED_HORIZONS])))
-        fits = boosting.train_boosted(daily, LONG, chosen, K.OUTCOMES, [BOOSTED_LOOKBACK], BOOSTED_HORIZONS, types, with_model=False)
+        fits = boosting.train_boosted(daily, LONG, chosen, K.OUTCOMES, [BOOSTED_LOOKBACK], BOOSTED_HORIZONS, found, with_model=False)
         fits.drop("splits", "values", "leaves", "importance").write.parquet(folder)
 
     return spark.read.parquet(shared(spark, sf, "boosted_fits", make))
