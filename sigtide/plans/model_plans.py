@@ -77,25 +77,25 @@ def types(spark: SparkSession, sf: str) -> DataFrame:
 @query("ML3 ML6 J10 U2")
 def grid_results(spark, sf):
     """Every lookback by every horizon for both targets of every series, with lift over the random baseline."""
-    return models.grid_search(long_daily(spark, sf), LONG)
+    return models.grid_search(days(spark, sf), LONG)
 
 
 @query("ML8 O3 R2")
 def grid_selected(spark, sf):
-    grid = models.grid_search(long_daily(spark, sf), LONG)
+    grid = models.grid_search(days(spark, sf), LONG)
     return evaluate.select_configs(grid, [*LONG, "outcome"])
 
 
 @query("ML12 U1")
 def stability(spark, sf):
-    grid = models.stability_grid(long_daily(spark, sf), LONG)
+    grid = models.stability_grid(days(spark, sf), LONG)
     return evaluate.stable_configs(grid, [*LONG, "outcome"])
 
 
 def outcome_grid(spark: SparkSession, sf: str) -> DataFrame:
     """The session's whole grid of this input: the outcomes of counters, and one per frequent site type."""
     def make(folder: str) -> None:
-        models.grid_search(long_daily(spark, sf), LONG, specs=K.OUTCOMES, with_baseline=False, types=type_outcomes(spark, sf)).write.parquet(f"{folder}/grid")
+        models.grid_search(days(spark, sf), LONG, specs=K.OUTCOMES, with_baseline=False, types=types(spark, sf)).write.parquet(f"{folder}/grid")
 
     return spark.read.parquet(f"{shared(spark, sf, 'outcome_grid', make)}/grid")
 
@@ -120,7 +120,7 @@ def bank(spark: SparkSession, sf: str) -> DataFrame:
 def trained_bank(spark: SparkSession, sf: str) -> DataFrame:
     """Every outcome at every forecast horizon with the lookback that the grid finds, at its best parameters, and the predictor configurations."""
     chosen = materialise(evaluate.bank_configs(outcome_grid(spark, sf), LONG), "bank_configs")
-    return models.train_chosen(long_daily(spark, sf), LONG, chosen, K.OUTCOMES, types=type_outcomes(spark, sf))
+    return models.train_chosen(days(spark, sf), LONG, chosen, K.OUTCOMES, types=types(spark, sf))
 
 
 @query("ML20 ML22 ML25")
@@ -132,13 +132,13 @@ def model_bank(spark, sf):
 def recent_window_bank(spark, sf):
     """Every predictor configuration with the training window chosen for it."""
     feats = clusters.model_columns(ft.feature_names())
-    b = models.train_bank(long_daily(spark, sf), LONG, K.PREDICTOR_CONFIGS, K.GRID_TARGETS, feats, K.RECENT_WINDOWS)
+    b = models.train_bank(days(spark, sf), LONG, K.PREDICTOR_CONFIGS, K.GRID_TARGETS, feats, K.RECENT_WINDOWS)
     return models.choose_window(b, LONG).select(*LONG, "outcome", "lookback", "horizon", "status", "n", "cv_auc", "cv_std", "recent_rows")
 
 
 def scores(spark: SparkSession, sf: str) -> DataFrame:
     """Latest window of each series scored by every model of its bank."""
-    return models.score(ft.latest_window(long_daily(spark, sf), LONG, K.LOOKBACKS), bank(spark, sf), LONG)
+    return models.score(ft.latest_window(days(spark, sf), LONG, K.LOOKBACKS), bank(spark, sf), LONG)
 
 
 def forecast_folder(spark: SparkSession, sf: str) -> str:
@@ -175,7 +175,7 @@ def bank_documents(spark, sf):
 @query("R3 S13 ML25")
 def bank_age(spark, sf):
     """Freshness of the logged bank: each series' latest day of data against the run that holds its models."""
-    seen = long_daily(spark, sf).select(*LONG, F.col("date").cast("timestamp").alias("at"))
+    seen = days(spark, sf).select(*LONG, F.col("date").cast("timestamp").alias("at"))
     return forecast.bank_age(spark, forecast_folder(spark, sf), seen, LONG).select(*LONG, F.to_date("analysed_at").alias("analysed_on"), "state")
 
 
@@ -190,7 +190,7 @@ def forecast_scores(spark, sf):
 
 def each_predictor(spark: SparkSession, sf: str, run) -> DataFrame:  # noqa: ANN001
     """One trained bank of the predictor configurations, and what ``run`` makes of each, in one frame."""
-    d = long_daily(spark, sf)
+    d = days(spark, sf)
     trained = materialise(models.train_bank(d, LONG, K.PREDICTOR_CONFIGS, K.GRID_TARGETS), "predictors")
     spec = {s["name"]: s for s in K.GRID_TARGETS}
     parts = [run(d, LONG, trained, spec[c["outcome"]], c["lookback"], c["horizon"], cfg=c) for c in K.PREDICTOR_CONFIGS]
@@ -211,14 +211,14 @@ def permutation_importance(spark, sf):
 
 @query("ML5")
 def ridge_totals(spark, sf):
-    return models.ridge_scores(long_daily(spark, sf), LONG, {"name": "total", "col": "inc_count", "op": "sum"}, 10, 3)
+    return models.ridge_scores(days(spark, sf), LONG, {"name": "total", "col": "inc_count", "op": "sum"}, 10, 3)
 
 
 @query("ML4")
 def boosted_scores(spark, sf):
     """Boosted trees on the pooled panel, all rounds, scored on it."""
     spec = [s for s in K.OUTCOMES if s["name"] == K.SIGNIFICANT]
-    data = ft.build_dataset(long_daily(spark, sf), LONG, [10], [1], spec)
+    data = ft.build_dataset(days(spark, sf), LONG, [10], [1], spec)
     data = materialise(data, "boosted")
     model = models.boosted_model(data, K.SIGNIFICANT)
     from pyspark.ml.functions import vector_to_array
@@ -260,13 +260,13 @@ def boosted_models(spark: SparkSession, sf: str) -> DataFrame:
     """The session's boosted bank: per series and outcome the trees at the best parameters that the grid finds."""
     def make(folder: str) -> None:
         chosen = materialise(evaluate.best_params(outcome_grid(spark, sf), [*LONG, "outcome"]), "boosted_configs")
-        boosting.train_boosted(long_daily(spark, sf), LONG, chosen, K.OUTCOMES, types=type_outcomes(spark, sf)).write.parquet(folder)
+        boosting.train_boosted(days(spark, sf), LONG, chosen, K.OUTCOMES, types=types(spark, sf)).write.parquet(folder)
 
     return spark.read.parquet(shared(spark, sf, "boosted_bank", make))
 
 
 def boosted_latest(spark: SparkSession, sf: str) -> DataFrame:
-    return boosting.score_boosted(ft.latest_window(long_daily(spark, sf), LONG, K.LOOKBACKS), boosted_models(spark, sf), LONG)
+    return boosting.score_boosted(ft.latest_window(days(spark, sf), LONG, K.LOOKBACKS), boosted_models(spark, sf), LONG)
 
 
 @query("ML4 ML9 ML25 ML26")
@@ -279,7 +279,7 @@ def boosted_bank(spark, sf):
 def boosted_influence(spark, sf):
     """Features by gain importance over the passing signals of the boosted bank."""
     found = summary.forecast_signals(boosted_latest(spark, sf), summary.dimension_table(spark), "low")
-    data = ft.build_dataset(long_daily(spark, sf), LONG, [10], [3], K.OUTCOMES)
+    data = ft.build_dataset(days(spark, sf), LONG, [10], [3], K.OUTCOMES)
     corr = correlate.feature_outcome_corr(data, LONG, ft.feature_names(), [s["name"] for s in K.OUTCOMES])
     return summary.feature_influence(found, boosting.gain_importance(boosted_models(spark, sf), LONG), corr, LONG)
 
@@ -294,7 +294,7 @@ def signal_profiles(spark, sf):
 def detected(spark: SparkSession, sf: str) -> tuple[DataFrame, list[list[float]]]:
     """Every day with its regime, and the centroids that K-means found, k by silhouette; found once a session and input."""
     def make(folder: str) -> None:
-        rolled = clusters.rolling_signals(long_daily(spark, sf), LONG)
+        rolled = clusters.rolling_signals(days(spark, sf), LONG)
         clusters.standardise(rolled, LONG, K.REGIME_SIGNALS).write.parquet(f"{folder}/days")
         scaled = spark.read.parquet(f"{folder}/days")
         k = clusters.choose_k(scaled, K.REGIME_SIGNALS, scaled.count())
@@ -316,12 +316,12 @@ def detected_regimes(spark, sf):
 @query("ML17 R4")
 def regime_bank(spark, sf):
     regimes, _ = detected(spark, sf)
-    return clusters.regime_summary(clusters.train_regime_bank(long_daily(spark, sf), LONG, regimes), regimes, LONG)
+    return clusters.regime_summary(clusters.train_regime_bank(days(spark, sf), LONG, regimes), regimes, LONG)
 
 
 @query("ML18 J11")
 def regime_predictions(spark, sf):
-    d, (regimes, centroids) = long_daily(spark, sf), detected(spark, sf)
+    d, (regimes, centroids) = days(spark, sf), detected(spark, sf)
     trained = clusters.train_regime_bank(d, LONG, regimes)
     current = regimes.groupBy(*LONG).agg(F.max_by(F.struct("regime", "ood"), "date").alias("c")).select(*LONG, "c.*")
     serving = clusters.serve_regime(trained, current, centroids, LONG)

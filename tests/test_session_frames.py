@@ -65,3 +65,17 @@ def test_boosted_folds_get_kept_frames(spark, tables, monkeypatch):
     with pytest.raises(Stop):
         mp.boosted_folds(spark, tables)
     assert len(frames(seen)) == 3 and not any(large(f) for f in frames(seen))
+
+
+def test_boosted_influence_reads_kept_frames(spark, tables, monkeypatch):
+    days = mp.days(spark, tables)
+    grid = handed(monkeypatch, mp.models, "grid_search")
+    with pytest.raises(Stop):
+        mp.boosted_influence(spark, tables)
+    monkeypatch.setattr(mp, "boosted_latest", lambda *_: days)
+    monkeypatch.setattr(mp.summary, "forecast_signals", lambda *_: days)
+    corr = handed(monkeypatch, correlate, "feature_outcome_corr")
+    with pytest.raises(Stop):
+        mp.boosted_influence(spark, tables)
+    assert len(frames(grid)) == 2 and len(frames(corr)) == 1
+    assert not any(large(f) for f in [*frames(grid), *frames(corr)])
