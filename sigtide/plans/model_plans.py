@@ -286,7 +286,7 @@ def boosted_influence(spark, sf):
 
 @query("ML13 A18")
 def signal_profiles(spark, sf):
-    data = ft.build_dataset(long_daily(spark, sf), LONG, [10], [3], K.OUTCOMES)
+    data = materialise(ft.build_dataset(days(spark, sf), LONG, [10], [3], K.OUTCOMES), "profiles")
     p = clusters.find_profiles(data, ft.feature_names(), [s["name"] for s in K.OUTCOMES])
     return p.withColumn("dominant", F.array_join("dominant", ", ")).withColumn("suppressed", F.array_join("suppressed", ", "))
 

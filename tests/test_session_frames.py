@@ -79,3 +79,11 @@ def test_boosted_influence_reads_kept_frames(spark, tables, monkeypatch):
         mp.boosted_influence(spark, tables)
     assert len(frames(grid)) == 2 and len(frames(corr)) == 1
     assert not any(large(f) for f in [*frames(grid), *frames(corr)])
+
+
+def test_profiles_scale_and_cluster_stored_rows(spark, tables, monkeypatch):
+    seen = handed(monkeypatch, clusters, "find_profiles")
+    with pytest.raises(Stop):
+        mp.signal_profiles(spark, tables)
+    stored = frames(seen)[0]
+    assert stored.count() and stored.inputFiles() and not any("days-" in f for f in stored.inputFiles()) and not large(stored)
