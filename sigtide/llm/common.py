@@ -45,13 +45,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+def bucket_count(df: DataFrame) -> int:
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * df.rdd.getNumPartitions())
+
+
+def bucketed(df: DataFrame, key: str, name: str, buckets: int | None = None) -> DataFrame:
     """Write to the shared folder in buckets of ``key`` and read back: later groupings and cogroupings by ``key`` need no shuffle of it.
 
+    Give ``buckets`` for a plan with shuffles: asking such a plan for its partitions runs them, and the write would run them again.
+
     The table's name lives in the session's catalogue only while it is looked up; the files stay, as those of ``stored``.
     """
     spark = df.sparkSession
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * df.rdd.getNumPartitions())
+    buckets = buckets or bucket_count(df)
     label = f"{name}_{uuid.uuid4().hex}"
     (df.write.bucketBy(min(buckets, 100_000), key).option("path", work_dir(spark, name)).option("compression", "zstd").saveAsTable(label))
     out = spark.table(label)

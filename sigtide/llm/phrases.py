@@ -3,8 +3,8 @@
 Level 1 numbers the words of a part (a bounded run of documents of one task) and writes the occurrence
 relation, in order of piece and position, with a dictionary of the part's distinct words and their counts. Each further level
 counts the groups over all parts, semi-joins every part's relation with those that are frequent, and merge-joins it with
-itself at the next position of the same piece. Distinct groups of a part, never occurrences, are shuffled, from level 2 on as packed lists by slice
-of a hash: the relation lies in buckets by part, and a part gets back only its own frequent groups.
+itself at the next position of the same piece. Distinct groups of a part, never occurrences, are shuffled, as packed lists by slice
+of a hash: the relation lies in buckets by part, and a part gets back only its own frequent groups, packed as well.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import partial, reduce
 from itertools import count
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigtide.llm import packed
-from sigtide.llm.common import bucketed, stored
+from sigtide.llm.common import bucket_count, bucketed, stored
 
 #: Bytes of text of a part: what one task holds in memory at a time, with some ten times that for its numbers.
 PART_BYTES = 12_000_000
@@ -32,27 +33,40 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _END, _NONE, _FIRST = 0, 1, 2  # a piece's end, the empty string between two spaces, the first word's number
 
 
-def _numbered(texts: list[bytes], first: int) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
-    """Texts of one language to their occurrences in order (a number per word from ``first`` on, one mark between pieces), words, their numbers and counts."""
+def _packed(x: np.ndarray, steps: bool = False, kind: str = "<u4") -> bytes:
+    return packed.squeezed(packed.written(x, steps, kind))
+
+
+def _unpacked(column: pa.ChunkedArray, steps: bool = False, kind: str = "<u4") -> list[np.ndarray]:
+    return [packed.read(packed.unsqueezed(x.as_py()), steps, kind) for x in column]
+
+
+def _numbered(texts: list[bytes], first: int, slices: int) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """Texts of one language to their occurrences in order (a number per word from ``first`` on, one mark between pieces), words in order of their
+    numbers, the slices of their hashes, in order too, and their counts."""
     cut = [t.lower().translate(_CUT).replace(b"\n", b" \n ") + b" \n" for t in texts]
     got = pc.split_pattern(pa.array(cut, pa.binary()).cast(pa.string()), " ").flatten().dictionary_encode()
     at, words = got.indices.to_numpy(), got.dictionary
-    number = np.arange(first, first + len(words), dtype=np.int32)
+    number, real = np.zeros(len(words), np.int32), np.ones(len(words), bool)
     for mark, n in (("\n", _END), ("", _NONE)):
         place = pc.index(words, mark).as_py()
         if place >= 0:
-            number[place] = n
+            number[place], real[place] = n, False
+    own = np.flatnonzero(real)
+    words = words.take(pa.array(own))
+    of = np.fromiter((crc32(w) % slices for w in words.cast(pa.binary()).to_pylist()), np.int32, len(own))
+    by = pc.sort_indices(pa.table([pa.array(of), words], ["slice", "word"]), [("slice", "ascending"), ("word", "ascending")]).to_numpy()
+    number[own[by]] = np.arange(first, first + len(own), dtype=np.int32)
     ids = number[at]
     ids = ids[ids != _NONE]
     ids = ids[(ids != _END) | np.concatenate([[True], ids[:-1] != _END])]
-    real = number >= _FIRST
-    return ids, words.filter(pa.array(real)), number[real], np.bincount(at, minlength=len(words))[real]
+    return ids, words.take(pa.array(by)), of[by], np.bincount(at, minlength=len(number))[own[by]]
 
 
-def _relation(batches: Iterator[pa.RecordBatch], part_bytes: int) -> Iterator[pa.RecordBatch]:
-    """(lang, text) to rows of the relation (part, ids) and of the part's dictionary (part, lang, id, word, n)."""
-    names = ["part", "ids", "lang", "id", "word", "n"]
-    kinds = [pa.int64(), pa.list_(pa.int32()), pa.string(), pa.int32(), pa.string(), pa.int64()]
+def _relation(batches: Iterator[pa.RecordBatch], part_bytes: int, slices: int) -> Iterator[pa.RecordBatch]:
+    """(lang, text) to rows of the relation (part, ids) and of the part's dictionary by slice (part, lang, slice, start, words, n, total)."""
+    names = ["part", "ids", "lang", "slice", "start", "words", "n", "total"]
+    kinds = [pa.int64(), pa.list_(pa.int32()), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64()]
     number = count(TaskContext.get().partitionId() << 12)  # parts of a task; one of over 4,096 would be of 48 GB
 
     def rows(many: int, **given) -> pa.RecordBatch:
@@ -61,12 +75,15 @@ def _relation(batches: Iterator[pa.RecordBatch], part_bytes: int) -> Iterator[pa
     def part(by_lang: dict[str, list[bytes]]) -> Iterator[pa.RecordBatch]:
         at, first = next(number), _FIRST
         for lang, texts in by_lang.items():
-            ids, words, numbers, n = _numbered(texts, first)
-            first += len(numbers) + 2
+            ids, words, of, n = _numbered(texts, first, slices)
             yield rows(1, part=[at], ids=[ids])
-            for a in range(0, len(numbers), 100_000):
-                z = min(a + 100_000, len(numbers))
-                yield rows(z - a, part=np.full(z - a, at), lang=[lang] * (z - a), id=numbers[a:z], word=words[a:z], n=n[a:z])
+            some, starts = np.unique(of, return_index=True)
+            runs = [*zip(starts, np.append(starts, len(of))[1:], strict=True)]
+            m = len(runs)
+            yield rows(m, part=[at] * m, lang=[lang] * m, slice=some, start=starts + first,
+                       words=[packed.squeezed("\n".join(words[a:z].to_pylist()).encode()) for a, z in runs],
+                       n=[_packed(n[a:z]) for a, z in runs], total=[int(n[a:z].sum()) for a, z in runs])
+            first += len(of)
 
     size, by_lang = 0, {}
     for b in batches:
@@ -79,6 +96,35 @@ def _relation(batches: Iterator[pa.RecordBatch], part_bytes: int) -> Iterator[pa
     yield from part(by_lang)
 
 
+def _count_words(t: pa.Table, slices: int, least: int) -> pa.Table:
+    """One slice: words that occur ``least`` times over all parts, by language, and per part the numbers and names of its own among them."""
+    names, kinds = ["part", "id", "g", "lang", "word", "f", "name"], [pa.int64(), pa.binary(), pa.binary(), pa.string(), *[pa.list_(x) for x in (pa.string(), pa.int64(), pa.int64())]]
+    rows: list[list] = [[] for _ in names]
+    given, at = t.column("slice")[0].as_py(), 1
+    for lang in pc.unique(t.column("lang")).to_pylist():
+        own = t.filter(pc.equal(t.column("lang"), lang))
+        texts = pa.array([packed.unsqueezed(x.as_py()) for x in own.column("words")], pa.binary()).cast(pa.string())
+        lists = pc.split_pattern(texts, "\n")
+        codes = (every := lists.flatten().dictionary_encode()).indices.to_numpy()
+        f = np.zeros(len(every.dictionary), np.int64)
+        np.add.at(f, codes, np.concatenate(_unpacked(own.column("n"))).astype(np.int64))
+        ranked = pc.sort_indices(every.dictionary).to_numpy()
+        ranked = ranked[f[ranked] >= least]
+        name = np.full(len(f), -1, np.int64)
+        name[ranked] = np.arange(at, at + len(ranked)) * slices + given
+        at += len(ranked)
+        for column, value in zip(rows, (None, None, None, lang, every.dictionary.take(pa.array(ranked)).to_pylist(), f[ranked], name[ranked]), strict=True):
+            column.append(value)
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy())
+        for part, start, z, size in zip(own.column("part").to_pylist(), own.column("start").to_pylist(), ends, np.diff(ends, prepend=0), strict=True):
+            g = name[codes[z - size:z]]
+            held = np.flatnonzero(g >= 0)
+            if len(held):
+                for column, value in zip(rows, (part, _packed(start + held, True), _packed(g[held], False, "<u8"), None, None, None, None), strict=True):
+                    column.append(value)
+    return pa.table([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names)
+
+
 def _extend(left: pa.Table, right: pa.Table, slices: int, last: bool) -> pa.Table:
     """One part: its relation (ids) and its frequent groups (id, g) to the groups one word longer, by slice, and their relation unless it is the last.
 
@@ -90,7 +136,8 @@ def _extend(left: pa.Table, right: pa.Table, slices: int, last: bool) -> pa.Tabl
     if not left.num_rows or not right.num_rows:
         return empty
     flat = lambda c: np.concatenate([x.flatten().to_numpy() for x in c.chunks])
-    ids, frequent, g = flat(left.column("ids")), flat(right.column("id")), flat(right.column("g"))
+    ids = flat(left.column("ids"))
+    frequent, g = np.concatenate(_unpacked(right.column("id"), True)).astype(np.int32), np.concatenate(_unpacked(right.column("g"), False, "<u8")).astype(np.int64)
     order = np.argsort(g)  # so that keys sort as names do
     frequent, g = frequent[order], g[order]
     place = np.full(max(int(ids.max()), int(frequent.max())) + 1, -1, np.int32)
@@ -109,8 +156,8 @@ def _extend(left: pa.Table, right: pa.Table, slices: int, last: bool) -> pa.Tabl
     runs = [by[a:z] for a, z in zip(starts, ends, strict=True)]
     m, part = len(some), left.column("part")[0].as_py()
     out = [pa.table([pa.array(np.full(m, part)), pa.nulls(m, kinds[1]), pa.array(some, pa.int32()), pa.array(starts + _FIRST, pa.int32()),
-                     pa.array([packed.written(one[r], True, "<u8") for r in runs]), pa.array([packed.written(two[r], False, "<u8") for r in runs]),
-                     pa.array([packed.written(n[r]) for r in runs])], names)]
+                     pa.array([_packed(one[r], True, "<u8") for r in runs]), pa.array([_packed(two[r], False, "<u8") for r in runs]),
+                     pa.array([_packed(n[r]) for r in runs])], names)]
     if not last:
         new = np.empty(len(by), np.int32)
         new[by] = np.arange(len(by), dtype=np.int32) + _FIRST
@@ -123,9 +170,9 @@ def _extend(left: pa.Table, right: pa.Table, slices: int, last: bool) -> pa.Tabl
 
 def _count(t: pa.Table, slices: int, least: int, last: bool) -> pa.Table:
     """One slice: groups that occur ``least`` times over all parts, and per part the numbers and names of its own among them."""
-    names = ["part", "id", "g", "g1", "g2", "f"]
-    kinds = [pa.int64(), pa.list_(pa.int32()), *[pa.list_(pa.int64())] * 4]
-    one, two, n = packed.read_all(t.column("g1"), True, "<u8"), packed.read_all(t.column("g2"), False, "<u8"), packed.read_all(t.column("n"))
+    names = ["part", "id", "g", "name", "g1", "g2", "f"]
+    kinds = [pa.int64(), pa.binary(), pa.binary(), *[pa.list_(pa.int64())] * 4]
+    one, two, n = _unpacked(t.column("g1"), True, "<u8"), _unpacked(t.column("g2"), False, "<u8"), _unpacked(t.column("n"))
     sizes = np.array([len(x) for x in one])
     one, two, n = np.concatenate(one), np.concatenate(two), np.concatenate(n).astype(np.int64)
     by = np.lexsort((two, one))
@@ -135,7 +182,7 @@ def _count(t: pa.Table, slices: int, least: int, last: bool) -> pa.Table:
     often = f >= least
     name = np.where(often, np.cumsum(often) * slices + t.column("slice")[0].as_py(), -1)
     head = by[starts[often]]
-    rows = [[None], [None], [name[often]], [one[head].astype(np.int64)], [two[head].astype(np.int64)], [f[often]]]
+    rows = [[None], [None], [None], [name[often]], [one[head].astype(np.int64)], [two[head].astype(np.int64)], [f[often]]]
     if not last:
         g = np.empty(len(by), np.int64)
         g[by] = name[np.cumsum(first) - 1]
@@ -143,20 +190,11 @@ def _count(t: pa.Table, slices: int, least: int, last: bool) -> pa.Table:
         for part, start, a, z in zip(t.column("part").to_pylist(), t.column("start").to_pylist(), ends - sizes, ends, strict=True):
             at = np.flatnonzero(g[a:z] >= 0)
             if len(at):
-                for column, value in zip(rows, (part, (start + at).astype(np.int32), g[a:z][at], None, None, None), strict=True):
+                for column, value in zip(rows, (part, _packed(start + at, True), _packed(g[a:z][at], False, "<u8"), None, None, None, None), strict=True):
                     column.append(value)
     return pa.table([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names)
 
 
-def _frequent_words(level: DataFrame, least: int) -> DataFrame:
-    """The dictionary rows of words that occur ``least`` times over all parts, with that count f and one name g for equal words."""
-    same = Window.partitionBy("lang", "word")
-    d = level.where("id is not null").select((F.col("part") * F.lit(1 << 31) + F.col("id")).alias("own"), "lang", "word", "n")
-    d = d.withColumn("f", F.sum("n").over(same)).withColumn("g", F.min("own").over(same)).where(F.col("f") >= least)
-    return stored(d.select(F.shiftright("own", 31).alias("part"), F.col("own").bitwiseAND((1 << 31) - 1).cast("int").alias("id"), "lang", "word", "f", "g",
-                           (F.col("own") == F.col("g")).alias("first")), "frequent")
-
-
 def _of_one(step: Callable[..., pa.Table]) -> Callable[[pa.Table], pa.Table]:
     return lambda t: step(t)  # Spark looks at the number of parameters
 
@@ -174,25 +212,30 @@ def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least:
     """
     d = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"),
                     F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"))
-    level = bucketed(d.mapInArrow(partial(_relation, part_bytes=part_bytes), "part long, ids array<int>, lang string, id int, word string, n long"),
-                     "part", "relation")
-    total = level.where("id is not null").groupBy("lang").agg(F.sum("n").alias("n"))
+    buckets = bucket_count(d)
     slices = 1 << min(16, max(6, (2 * d.rdd.getNumPartitions()).bit_length()))
-    words = _frequent_words(level, least)
+    level = bucketed(d.mapInArrow(partial(_relation, part_bytes=part_bytes, slices=slices),
+                                  "part long, ids array<int>, lang string, slice int, start int, words binary, n binary, total long"), "part", "relation", buckets)
+    by_slice = level.where("slice is not null")
+    total = by_slice.groupBy("lang").agg(F.sum("total").alias("n"))
+    words = stored(by_slice.drop("ids", "total").groupBy("slice").applyInArrow(
+        _of_one(partial(_count_words, slices=slices, least=least)),
+        "part long, id binary, g binary, lang string, word array<string>, f array<long>, name array<long>"), "words")
     none = F.array().cast("array<long>")
-    found = [stored(words.where("first").select("lang", F.array("word").alias("words"), "f", none.alias("prefixes"), none.alias("suffixes"), "g"), "phrases")]
-    back = words.select("part", F.array("id").alias("id"), F.array("g").alias("g"))
+    own = words.where("part is null").select("lang", F.inline(F.arrays_zip("word", "f", F.col("name").alias("g"))))
+    found = [stored(own.select("lang", F.array("word").alias("words"), "f", none.alias("prefixes"), none.alias("suffixes"), "g"), "phrases")]
+    back = words.where("part is not null").select("part", "id", "g")
     for size in range(2, max_words + 1):
         last = size == max_words
         rel = level.where("ids is not null").select("part", "ids")
         longer = rel.groupBy("part").cogroup(back.groupBy("part")).applyInArrow(
             _of_two(partial(_extend, slices=slices, last=last)), "part long, ids array<int>, slice int, start int, g1 binary, g2 binary, n binary")
-        level = bucketed(longer, "part", "relation")
+        level = bucketed(longer, "part", "relation", buckets)
         groups = level.where("slice is not null").drop("ids").groupBy("slice").applyInArrow(
-            _of_one(partial(_count, slices=slices, least=least, last=last)), "part long, id array<int>, g array<long>, g1 array<long>, g2 array<long>, f array<long>")
+            _of_one(partial(_count, slices=slices, least=least, last=last)), "part long, id binary, g binary, name array<long>, g1 array<long>, g2 array<long>, f array<long>")
         groups = stored(groups, "groups")
         back = groups.where("part is not null").select("part", "id", "g")
-        own = groups.where("part is null").select(F.inline(F.arrays_zip("g", "g1", "g2", "f")))
+        own = groups.where("part is null").select(F.inline(F.arrays_zip(F.col("name").alias("g"), "g1", "g2", "f")))
         a = found[-1].select(F.col("g").alias("g1"), "lang", "words", "prefixes", F.col("f").alias("f1"))
         b = found[-1].select(F.col("g").alias("g2"), F.element_at("words", -1).alias("tail"), "suffixes", F.col("f").alias("f2"))
         own = own.join(a, "g1").join(b, "g2").select(

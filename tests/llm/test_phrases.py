@@ -7,6 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from sigtide.llm import phrases
 from sigtide.llm.phrases import collocations
 from tests.llm.helpers import awkward, empty
 
@@ -64,3 +65,20 @@ def test_awkward_rows(spark):
     rows = run(df.withColumn("lang", F.lit(None).cast("string")), top=5)
     assert {r[0] for r in rows} <= {"und"} and rows[0][2] == "dolor sit amet"
     assert run(empty(spark).withColumn("lang", F.lit("en"))) == []
+
+
+def test_words_go_out_packed_and_no_shuffle_runs_twice(spark, monkeypatch):
+    """Level 1 sends lists by slice, not a row a word; a plan with shuffles is not run only to ask for its partitions."""
+    levels, real = [], phrases.bucketed
+
+    def spy(df, key, name, *given):
+        levels.append((df, given))
+        return real(df, key, name, *given)
+
+    monkeypatch.setattr(phrases, "bucketed", spy)
+    docs = [(" ".join(f"w{i}" for i in range(500)), "en")] * 12
+    rows = run(spark.createDataFrame(docs, "text string, lang string").coalesce(1))
+    assert rows == brute(docs, 2000, 10) and len(rows)
+    words = levels[0][0]
+    assert words.where("slice is not null").count() <= 128 and words.where("ids is not null").count() == 1
+    assert len(levels) == 3 and len({given for _, given in levels}) == 1 and levels[0][1][0] > 0
