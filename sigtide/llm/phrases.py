@@ -66,7 +66,7 @@ def _numbered(texts: list[bytes], first: int, slices: int) -> tuple[np.ndarray,
 def _relation(batches: Iterator[pa.RecordBatch], part_bytes: int, slices: int) -> Iterator[pa.RecordBatch]:
     """(lang, text) to rows of the relation (part, ids) and of the part's dictionary by slice (part, lang, slice, start, words, n, total)."""
     names = ["part", "ids", "lang", "slice", "start", "words", "n", "total"]
-    kinds = [pa.int64(), pa.list_(pa.int32()), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64()]
+    kinds = [pa.int64(), pa.binary(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64()]
     number = count(TaskContext.get().partitionId() << 12)  # parts of a task; one of over 4,096 would be of 48 GB
 
     def rows(many: int, **given) -> pa.RecordBatch:
@@ -76,7 +76,7 @@ def _relation(batches: Iterator[pa.RecordBatch], part_bytes: int, slices: int) -
         at, first = next(number), _FIRST
         for lang, texts in by_lang.items():
             ids, words, of, n = _numbered(texts, first, slices)
-            yield rows(1, part=[at], ids=[ids])
+            yield rows(1, part=[at], ids=[_packed(ids)])
             some, starts = np.unique(of, return_index=True)
             runs = [*zip(starts, np.append(starts, len(of))[1:], strict=True)]
             m = len(runs)
@@ -131,12 +131,11 @@ def _extend(left: pa.Table, right: pa.Table, slices: int, last: bool) -> pa.Tabl
     The relation is in order of piece and position, so the merge join at the next position pairs neighbouring rows.
     """
     names = ["part", "ids", "slice", "start", "g1", "g2", "n"]
-    kinds = [pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
     empty = pa.table([pa.array([], t) for t in kinds], names)
     if not left.num_rows or not right.num_rows:
         return empty
-    flat = lambda c: np.concatenate([x.flatten().to_numpy() for x in c.chunks])
-    ids = flat(left.column("ids"))
+    ids = np.concatenate(_unpacked(left.column("ids"))).astype(np.int32)
     frequent, g = np.concatenate(_unpacked(right.column("id"), True)).astype(np.int32), np.concatenate(_unpacked(right.column("g"), False, "<u8")).astype(np.int64)
     order = np.argsort(g)  # so that keys sort as names do
     frequent, g = frequent[order], g[order]
@@ -164,7 +163,7 @@ def _extend(left: pa.Table, right: pa.Table, slices: int, last: bool) -> pa.Tabl
         longer = np.zeros(len(ids), np.int32)
         longer[:-1][both] = new[np.searchsorted(keys, pairs)]
         longer = longer[(longer != _END) | np.concatenate([[True], longer[:-1] != _END])]
-        out.append(pa.table([pa.array([part]), pa.array([longer], kinds[1]), *(pa.nulls(1, t) for t in kinds[2:])], names))
+        out.append(pa.table([pa.array([part]), pa.array([_packed(longer)]), *(pa.nulls(1, t) for t in kinds[2:])], names))
     return pa.concat_tables(out)
 
 
@@ -215,7 +214,7 @@ def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least:
     buckets = bucket_count(d)
     slices = 1 << min(16, max(6, (2 * d.rdd.getNumPartitions()).bit_length()))
     level = bucketed(d.mapInArrow(partial(_relation, part_bytes=part_bytes, slices=slices),
-                                  "part long, ids array<int>, lang string, slice int, start int, words binary, n binary, total long"), "part", "relation", buckets)
+                                  "part long, ids binary, lang string, slice int, start int, words binary, n binary, total long"), "part", "relation", buckets)
     by_slice = level.where("slice is not null")
     total = by_slice.groupBy("lang").agg(F.sum("total").alias("n"))
     words = stored(by_slice.drop("ids", "total").groupBy("slice").applyInArrow(
@@ -229,7 +228,7 @@ def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least:
         last = size == max_words
         rel = level.where("ids is not null").select("part", "ids")
         longer = rel.groupBy("part").cogroup(back.groupBy("part")).applyInArrow(
-            _of_two(partial(_extend, slices=slices, last=last)), "part long, ids array<int>, slice int, start int, g1 binary, g2 binary, n binary")
+            _of_two(partial(_extend, slices=slices, last=last)), "part long, ids binary, slice int, start int, g1 binary, g2 binary, n binary")
         level = bucketed(longer, "part", "relation", buckets)
         groups = level.where("slice is not null").drop("ids").groupBy("slice").applyInArrow(
             _of_one(partial(_count, slices=slices, least=least, last=last)), "part long, id binary, g binary, name array<long>, g1 array<long>, g2 array<long>, f array<long>")
