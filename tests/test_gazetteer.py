@@ -52,6 +52,13 @@ def test_plan_does_not_grow_and_has_no_shuffle(spark, tmp_path):
     assert abs(len(plans[0]) - len(plans[1])) < 500 and plans[1].count("Exchange") == 1
 
 
+def test_a_message_is_split_once_and_facilities_are_looked_up_once(spark, tmp_path):
+    df = spark.createDataFrame([(1, "c", "x")], "msg_id long, channel string, text string").withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz"))
+    plan = extract_incidents(df, bare(), dictionary=demo_dictionary(spark, tmp_path / "d"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+    assert plan.count(" THEN depot") == 1 and "eaule|euxle" not in plan
+
+
 def test_incidents_equal_those_of_the_pack(spark, sf, tmp_path):
     from sigtide.sources import testdata as td
     d = demo_dictionary(spark, tmp_path / "d")

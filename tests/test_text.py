@@ -148,3 +148,33 @@ def test_tenth_bank_is_loaded(spark):
         sinks.save_bank(spark.createDataFrame([(k,)], "n int"), path, f"v{k}")
     assert [r.n for r in sinks.load_bank(spark, path).collect()] == [10]
     assert [r.n for r in sinks.load_bank(spark, path, "v9").collect()] == [9]
+
+
+def test_sentence_cuts_equal_the_three_forms(spark):
+    """White space after a sentence's end, or white space around a dash."""
+    import random
+    rng = random.Random(5)
+    texts = [(i, "".join(rng.choices("ab.!?-–—  \t\n ", k=rng.randint(0, 40)))) for i in range(2000)]
+    plain = F.split("t", r"(?<=[.!?])\s+|\s+—\s+|\s+[-–]\s+")
+    df = spark.createDataFrame(texts, "id long, t string")
+    assert df.filter(F.split("t", tx._SENTENCE) != plain).isEmpty()
+
+
+def test_plain_starts_and_alternatives_decide_as_the_regex(spark):
+    import random
+    assert [tx.literal_start(p) for p in ["licen[cs]e", "[+]([0-9]+)", "with ([0-9]+)", "ab*c", "ab+c", "ab?", "a{2}", "^ab", "ab|cd", r"a\.b", "[^]a]b", "a(b|c)"]] == [
+        "licen", "+", "with ", "a", "ab", "a", "", "", "", "a", "", ""]
+    assert tx.literals("ab|cd") == ["ab", "cd"] and tx.literals("ab|") == tx.literals("a.|b") == []
+    rng = random.Random(6)
+    df = spark.createDataFrame([(None,), ("",), *[("".join(rng.choices("abc+ 12", k=rng.randint(1, 12))),) for _ in range(2000)]], "t string")
+    c = F.col("t")
+    for ps in (["ab|cb"], ["abc", "ab"], ["ab[12]", "abc"], ["ab[12]", "b"], ["ab?c", "[+]([0-9]+)"], ["b+1", "(^|[^a])c"], ["a|", "b"], [""]):
+        assert df.filter(~tx.any_of(c, ps).eqNullSafe(c.rlike("|".join(f"(?:{p})" for p in ps)))).isEmpty()
+        assert df.filter(~tx.first_match(c, [(p, p) for p in ps]).eqNullSafe(
+            tx.first_match(c, [(p, p) for p in ps], lambda x, p: x.rlike(p)))).isEmpty()
+    for p in ("[+]([0-9]+)", "ab([0-9]+)", "([0-9]+) [a-c]"):
+        got = F.regexp_extract(c, p, 1)
+        every = F.transform(F.regexp_extract_all(c, F.lit(p), F.lit(1)), tx.parse_count)
+        assert df.filter(~tx.capture_number(c, p).eqNullSafe(F.when(got != "", tx.parse_count(got)))).isEmpty()
+        assert df.filter(~tx.capture_numbers(c, [p]).eqNullSafe(every)).isEmpty()
+        assert df.filter(~tx.count_matches(c, [p]).eqNullSafe(F.regexp_count(c, F.lit(p)))).isEmpty()
