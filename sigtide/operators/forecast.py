@@ -21,17 +21,21 @@ LOGS = {
 
 
 def append_run(df: DataFrame, path: str, run_id: str, keys: list[str]) -> None:
-    """Add the rows of one run that its partition of the log lacks; rows are known by ``keys``. Repeated keys in ``df`` count once."""
-    spark, fresh = df.sparkSession, df.dropDuplicates(keys)
+    """Add the rows of one run that its partition of the log lacks; rows are known by ``keys``. Repeated keys in ``df`` count once.
+
+    A partitioned write of no rows leaves no file, so the columns of a log without rows are kept beside it.
+    """
+    spark, fresh = df.sparkSession, df.dropDuplicates(keys).withColumn("run_id", F.lit(run_id))
     try:
         landed = spark.read.option("mergeSchema", False).parquet(path).where(F.col("run_id").cast("string") == run_id)
     except AnalysisException as e:
         if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
+        fresh.limit(0).write.mode("overwrite").parquet(f"{path}_schema")
     else:
         same = [F.col(f"n.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys]
         fresh = fresh.alias("n").join(landed.select(*keys).alias("o"), same, "left_anti")
-    fresh.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(path)
+    fresh.write.mode("append").partitionBy("run_id").parquet(path)
 
 
 def run_forecast(scores: DataFrame, bank: DataFrame, dimensions: DataFrame, folder: str, run_id: str, keys: list[str], mode: str = "medium") -> None:
@@ -58,7 +62,13 @@ def finished_runs(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_log(spark: SparkSession, folder: str, name: str, run_id: str | None = None) -> DataFrame:
     """A log's rows of finished runs, or of one of them."""
-    log = spark.read.parquet(f"{folder}/{name}").withColumn("run_id", F.col("run_id").cast("string"))
+    try:
+        log = spark.read.parquet(f"{folder}/{name}")
+    except AnalysisException as e:
+        if e.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        log = spark.read.parquet(f"{folder}/{name}_schema")  # no run has had rows
+    log = log.withColumn("run_id", F.col("run_id").cast("string"))
     if run_id is not None:
         log = log.where(F.col("run_id") == run_id)
     return log.join(finished_runs(spark, folder).select("run_id"), "run_id", "left_semi")

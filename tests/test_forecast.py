@@ -72,6 +72,22 @@ def test_broken_run_is_not_read_and_is_completed(spark, scores, tmp_path):
     check(spark, scores, folder)
 
 
+def test_run_without_rows_has_empty_logs(spark, scores, tmp_path):
+    """A bank without a trained model, and one without a passing signal, leave logs that can be read, and a later run adds its rows."""
+    s, dims, folder = spark.read.parquet(scores), summary.dimension_table(spark), str(tmp_path / "run")
+    none = s.where("prob IS NULL")
+    for _ in range(2):
+        forecast.run_forecast(none, none, dims, folder, "none", SERIES)
+    for name in forecast.LOGS:
+        assert forecast.read_log(spark, folder, name, "none").count() == 0
+    at = spark.createDataFrame([(0, dt.datetime(2000, 1, 1))], "series long, at timestamp")
+    assert rows(forecast.bank_age(spark, folder, at, SERIES), "series", "state") == [(0, "not trained")]
+    empty = {name: set(forecast.read_log(spark, folder, name).columns) for name in forecast.LOGS}
+    forecast.run_forecast(s, s, dims, folder, RUN, SERIES)
+    assert {name: set(forecast.read_log(spark, folder, name).columns) for name in forecast.LOGS} == empty
+    check(spark, scores, folder)
+
+
 def test_freshness_from_the_runs(spark, scores, tmp_path):
     s, folder = spark.read.parquet(scores).where("series < 5"), str(tmp_path / "run")
     forecast.run_forecast(s, s, summary.dimension_table(spark), folder, RUN, SERIES)
