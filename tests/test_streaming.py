@@ -116,3 +116,14 @@ def test_registered_matcher_runs_in_a_session_without_settings(spark, sf):
     from sigtide.plans.stream_plans import stream_matches
 
     assert stream_matches(spark, sf).count() == _arrivals(spark, sf).count() > 0
+
+
+def test_stream_of_a_table_that_is_a_folder(spark, sf, tmp_path):
+    """A table is one file or a folder of files; a stream reads all rows of both."""
+    from sigtide.plans import stream_plans
+
+    docs = td.table(spark, sf, "documents")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    want = sorted(map(tuple, td.as_messages(docs).selectExpr("msg_id", "channel", "CAST(ts AS DATE)").collect()))
+    for folder in (sf, str(tmp_path)):
+        assert sorted(map(tuple, stream_plans.stream_distinct(spark, folder).collect())) == want
