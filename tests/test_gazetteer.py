@@ -1,11 +1,12 @@
 import random
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
 
 from sigtide.functions.detect import Detector
 from sigtide.operators.extract import extract_incidents
-from sigtide.operators.gazetteer import known, split_rules, write_dictionary
+from sigtide.operators.gazetteer import PART_ROWS, _to_arrow, known, split_rules, write_dictionary
 from sigtide.rules import RulePack, demo_pack
 from sigtide.streaming.ingest import ingest_incidents
 
@@ -108,3 +109,15 @@ def test_empty_dictionary_and_empty_table(spark, tmp_path):
     df = spark.createDataFrame([("some text",), (None,)], "low string")
     assert [r["n"] for r in df.select(F.size(known(d, F.col("low"))["areas"]).alias("n")).collect()] == [0, 0]
     assert df.limit(0).select(known(d, F.col("low"))).count() == 0
+
+
+def test_hits_of_a_batch_are_not_all_python_objects_at_once():
+    row = [(f"word{i}", (True, 0, "wor", None, True)) for i in range(100)]
+    hits = [row[: k % 101] for k in range(20 * PART_ROWS + 7)]
+    tracemalloc.start()
+    got = _to_arrow(hits)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [len(g["areas"]) for g in got.to_pylist()] == [k % 101 for k in range(len(hits))]
+    assert peak < 10_000_000  # all at once: over 20 MB
+    assert len(_to_arrow([])) == 0
